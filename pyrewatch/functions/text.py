@@ -90,3 +90,9 @@ def non_blank(text: Column) -> Column:
 
 def spaced(name: Column) -> Column:
     return F.replace(name, F.lit("_"), F.lit(" "))
+
+
+def fixed(number: Column, digits: int) -> Column:
+    """Fixed-point text, rounded half to even on the exact binary value, without group separators."""
+    pattern = "0." + "0" * digits if digits else "0"
+    return F.call_function("format_number", number, F.lit(pattern))

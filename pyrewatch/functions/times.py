@@ -35,5 +35,11 @@ def iso_text(ts: Column) -> Column:
     """``yyyy-MM-ddTHH:mm:ss``, with six fraction digits only when the fraction is not zero."""
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
     return F.when(F.date_format(ts, "SSSSSS") == "000000", whole).otherwise(
-        F.concat_ws(".", whole, F.date_format(ts, "SSSSSS"))
+        F.concat(whole, F.lit("."), F.date_format(ts, "SSSSSS"))
     )
+
+
+def step_of(ts: Column, step_minutes: int) -> Column:
+    """Number of whole steps since the epoch: the equi-join key that interval joins are cut into."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.floor(seconds_between(epoch, ts) / (step_minutes * 60))

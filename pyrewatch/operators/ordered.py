@@ -51,6 +51,30 @@ def with_row_number(df: DataFrame, keys: Sequence[str], bucket: Column, order: S
     return with_running_total(df, keys, bucket, order, F.lit(1), name)
 
 
+def with_session_number(df: DataFrame, keys: Sequence[str], bucket: Column, start: str, end: str, gap: Column,
+                        name: str) -> DataFrame:
+    """Number the gap sessions of each key: a row opens one when ``start`` lies more than ``gap`` after ``end`` of
+    the row before. Rows are ordered by ``start`` and must not nest, so ``end`` grows with ``start``.
+
+    Sessions are counted inside a bucket; a bucket's first session is merged with the one still open before it.
+    """
+    rows = df.withColumn(BUCKET, bucket)
+    local = _local(keys, [F.col(start)])
+    before = F.lag(end).over(local)
+    opens = F.when(F.col(start) <= before + gap, 0).otherwise(1)
+    numbered = rows.withColumn("_opens", opens).withColumn(
+        "_local", F.sum("_opens").over(local.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = numbered.groupBy(*keys, BUCKET).agg(
+        F.min(start).alias("_from"), F.max(end).alias("_to"), F.sum("_opens").alias("_sessions"))
+    by_key = Window.partitionBy(*keys).orderBy(BUCKET)
+    joins = F.when(F.col("_from") <= F.lag("_to").over(by_key) + gap, 1).otherwise(0)
+    edges = edges.withColumn("_joins", joins)
+    earlier = by_key.rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum(F.col("_sessions") - F.col("_joins")).over(earlier), F.lit(0)) - F.col("_joins")
+    offsets = edges.select(*keys, BUCKET, offset.alias("_offset"))
+    return numbered.join(offsets, [*keys, BUCKET]).select(*df.columns, (F.col("_offset") + F.col("_local")).alias(name))
+
+
 def with_halo(df: DataFrame, keys: Sequence[str], position: str, halo: int, rows_per_block: int = 65_536) -> DataFrame:
     """Cut each key into blocks of consecutive positions, each one led by the ``halo`` rows before it.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pyrewatch.functions.times import day_of, minutes, minutes_between
-from pyrewatch.operators.ordered import with_previous, with_running_total
+from pyrewatch.operators.ordered import with_session_number
 from pyrewatch.operators.scoring import severity_name, severity_rank
 
 
@@ -15,13 +15,11 @@ def with_window_number(points: DataFrame, max_gap_minutes: float = 2.0) -> DataF
     Borders depend only on the distinct instants of an incident, so the scan runs on those and the numbers
     are joined back on (incident, instant).
     """
-    day = day_of(F.col("timestamp"))
     instants = points.select("incident_id", "timestamp").distinct()
-    gaps = with_previous(instants, ["incident_id"], day, ["timestamp"], {"_before": "timestamp"})
-    opens = F.when(
-        F.col("_before").isNull() | (F.col("timestamp") > F.col("_before") + minutes(max_gap_minutes)), 1
-    ).otherwise(0)
-    numbered = with_running_total(gaps, ["incident_id"], day, ["timestamp"], opens, "window_no").drop("_before")
+    numbered = with_session_number(
+        instants, ["incident_id"], day_of(F.col("timestamp")), "timestamp", "timestamp", minutes(max_gap_minutes),
+        "window_no",
+    )
     return points.join(numbered, ["incident_id", "timestamp"])
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pyrewatch.functions.text import HEX_RUN, NUMBER_RUN, normalize_level  # noqa: F401  (shared with query modules)
 from pyrewatch.functions.times import minutes_between
 from pyrewatch.operators.detector import flag_with_feedback
 from pyrewatch.operators.series import long_series
@@ -191,4 +192,8 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomaly_windows(points(spark, sf_dir))
+    return windows_of(points(spark, sf_dir))
+
+
+def windows_of(found: DataFrame) -> DataFrame:
+    return anomaly_windows(found)

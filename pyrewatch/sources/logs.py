@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pyrewatch import schemas as S
-from pyrewatch.functions.events import classify
+from pyrewatch.functions.events import with_event_type
 from pyrewatch.functions.text import normalize_level
 from pyrewatch.functions.times import parse_iso
 
@@ -18,11 +18,8 @@ REQUIRED = ("service", "host", "logger", "message")
 
 def typed_logs(raw: DataFrame) -> DataFrame:
     """Add level and event type to raw log rows; rows with an unknown level are left out."""
-    return (
-        raw.withColumn("level", normalize_level(F.col("raw_level")))
-        .where(F.col("level").isNotNull())
-        .withColumn("event_type", classify(F.col("message"), F.col("level")))
-    )
+    known = raw.withColumn("level", normalize_level(F.col("raw_level"))).where(F.col("level").isNotNull())
+    return with_event_type(known, F.col("message"), F.col("level"))
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -36,7 +33,7 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     body = F.regexp_replace("value", r"\r?\n\z", "")
     return files.select("path", F.posexplode(F.split(body, r"\r?\n")).alias("_at", "line")).select(
         "path", (F.col("_at") + 1).cast("long").alias("line_no"), "line"
-    ).where(~((F.col("line_no") == 1) & (F.col("line") == "")) | F.lit(False))
+    )
 
 
 def _reasons(record: Column, expected: Column | None) -> Column:
@@ -89,9 +86,9 @@ def valid_logs(checked: DataFrame) -> DataFrame:
     bad_files = checked.where(F.size("reasons") > 0).select("path").distinct()
     record = F.col("record")
     level = normalize_level(record["level"])
-    return good.join(bad_files, "path", "left_anti").select(
+    rows = good.join(bad_files, "path", "left_anti").select(
         "path", F.col("line_no").alias("seq"), parse_iso(record["timestamp"]).alias("timestamp"), "incident_id",
         record["service"].alias("service"), record["host"].alias("host"), level.alias("level"),
         record["logger"].alias("logger"), record["message"].alias("message"), record["trace_id"].alias("trace_id"),
-        classify(record["message"], record["level"]).alias("event_type"),
     )
+    return with_event_type(rows, F.col("message"), F.col("level"))
