@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pyrewatch.functions.evaluate import once
 from pyrewatch.functions.text import HEX_RUN, NUMBER_RUN, normalize_level  # noqa: F401  (shared with query modules)
 from pyrewatch.functions.times import minutes_between
 from pyrewatch.operators.detector import flag_with_feedback
@@ -161,7 +162,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_spark(RAW_LOGS), events=read(spark, sf_dir, "events"))
+    rows = spark.sql(_spark(RAW_LOGS), events=read(spark, sf_dir, "events"))
+    return once(rows, "message", F.col("message"))
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,3 +199,54 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def windows_of(found: DataFrame) -> DataFrame:
     return anomaly_windows(found)
+
+
+# JSON lines as a collector might write them. Some property values carry a fault.
+_QUOTED = "replace(message, '\"', concat(chr(92), '\"'))"
+RAW_LINES = f"""
+SELECT concat('logs/', incident_id, '-', service, '-', hour(timestamp), '.jsonl') AS path, seq AS line_no,
+  CASE k WHEN 13 THEN '{{"timestamp": broken' WHEN 77 THEN '   ' WHEN 51 THEN '[1, 2]'
+  ELSE concat('{{"timestamp":"', cast(timestamp AS {{text}}), CASE k WHEN 57 THEN '+02:00' ELSE '' END,
+    '","service":"', service, '","host":"', CASE k WHEN 37 THEN '' ELSE host END,
+    '","level":"', CASE k WHEN 29 THEN 'FATAL' ELSE raw_level END, '","logger":"', logger,
+    '","message":"', {_QUOTED}, '","incident_id":"',
+    CASE k WHEN 88 THEN 'INC-1' WHEN 91 THEN 'INC-999' ELSE incident_id END, '"',
+    CASE WHEN k = 41 THEN '' WHEN trace_id IS NULL THEN ',"trace_id":null' ELSE concat(',"trace_id":"', trace_id, '"') END,
+    CASE k WHEN 63 THEN ',"event_type":"retry"' WHEN 19 THEN ',"pod":"x"' ELSE '' END, '}}') END AS line, k, raw_level
+FROM ({RAW_LOGS}) raw_logs_for_lines
+"""
+
+# Metric cells as text, ten-minute rows of one file per (incident, service); some cells are faulty.
+RAW_CELLS = f"""
+SELECT concat('metrics/', incident_id, '-', service, '.csv') AS path,
+  cast(2 + 2 * slot + copy AS bigint) AS row_no,
+  CASE WHEN h = 9 AND service = 'svc-4' THEN 'yesterday' ELSE cast(timestamp AS {{text}}) END AS timestamp,
+  incident_id, service,
+  CASE WHEN h = 3 AND service = 'svc-1' THEN 'n/a' ELSE cast(cpu_usage AS {{text}}) END AS cpu_usage,
+  CASE WHEN h = 5 AND service = 'svc-2' THEN '' ELSE cast(memory_usage AS {{text}}) END AS memory_usage,
+  CASE WHEN h = 15 AND service = 'svc-1' THEN '-4' ELSE cast(request_rate AS {{text}}) END AS request_rate,
+  CASE WHEN h = 11 AND service = 'svc-5' THEN 'nan' ELSE cast(latency_ms AS {{text}}) END AS latency_ms,
+  CASE WHEN h = 7 AND service = 'svc-1' THEN '150' ELSE cast(error_rate AS {{text}}) END AS error_rate,
+  coalesce(cast(db_connection_utilization AS {{text}}), '') AS db_connection_utilization,
+  coalesce(cast(downstream_latency_ms AS {{text}}), '') AS downstream_latency_ms, h, copy
+FROM (SELECT m.*, hour(timestamp) AS h, cast((hour(timestamp) * 60 + minute(timestamp)) / 10 AS int) AS slot
+      FROM ({METRICS}) m) rows
+CROSS JOIN (SELECT 0 AS copy UNION ALL SELECT 1) copies
+WHERE copy = 0 OR (h = 13 AND service = 'svc-0')
+"""
+_DUCK_NAMES["text"] = "varchar"
+_SPARK_NAMES["text"] = "string"
+
+
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.sql(_escaped(_spark(RAW_LINES)), events=read(spark, sf_dir, "events"))
+    return once(lines, "line", F.col("line"))
+
+
+def raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_escaped(_spark(RAW_CELLS)), events=read(spark, sf_dir, "events"))
+
+
+def _escaped(text: str) -> str:
+    """Keep literal braces from being read as parameters."""
+    return text.replace("{", "{{").replace("}", "}}").replace("{{events}}", "{events}")

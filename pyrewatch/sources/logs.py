@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pyrewatch import schemas as S
+from pyrewatch.functions.evaluate import once
 from pyrewatch.functions.events import with_event_type
 from pyrewatch.functions.text import normalize_level
 from pyrewatch.functions.times import parse_iso
@@ -36,10 +37,9 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _reasons(record: Column, expected: Column | None) -> Column:
+def _reasons(record: Column, keys: Column, expected: Column | None) -> Column:
     def missing(name):
         return record[name].isNull() | (record[name] == "")
-    keys = F.json_object_keys("line")
     checks = [
         (parse_iso(record["timestamp"]).isNull(), F.lit("timestamp: not a zone-free ISO time")),
         (~F.coalesce(record["incident_id"].rlike(S.INCIDENT_ID_PATTERN), F.lit(False)), F.lit("incident_id: bad id")),
@@ -51,26 +51,27 @@ def _reasons(record: Column, expected: Column | None) -> Column:
     unknown = F.array_except(keys, F.array(*[F.lit(c) for c in S.RAW_LOG.names if c != "_corrupt"]))
     checks.append((F.size(unknown) > 0, F.concat(F.lit("unexpected fields: "), F.array_join(F.array_sort(unknown), ","))))
     found = [F.when(bad, reason) for bad, reason in checks]
-    if expected is not None:
-        foreign = F.concat(F.lit("record belongs to "), record["incident_id"], F.lit(", expected "), expected)
-        clean = F.size(F.array_compact(F.array(*found))) == 0
-        found.append(F.when(clean & (record["incident_id"] != expected), foreign))
-    return F.array_compact(F.array(*found))
+    own = F.array_compact(F.array(*found))
+    if expected is None:
+        return own
+    foreign = F.concat(F.lit("record belongs to "), record["incident_id"], F.lit(", expected "), expected)
+    strange = F.coalesce(record["incident_id"] != expected, F.lit(False))
+    return F.when(F.concat_ws("", *found) != "", own).when(strange, F.array(foreign)).otherwise(own)
 
 
 def check_log_lines(lines: DataFrame, expected: Column | None = None) -> DataFrame:
     """Add ``record``, ``reasons`` (empty when valid) and the claimed ``incident_id`` to (path, line_no, line)."""
-    parsed = lines.withColumn("record", F.from_json("line", S.RAW_LOG, {"columnNameOfCorruptRecord": "_corrupt"}))
-    record = F.col("record")
+    parsed = once(lines, "record", F.from_json("line", S.RAW_LOG, {"columnNameOfCorruptRecord": "_corrupt"}))
+    parsed = once(parsed, "_keys", F.json_object_keys("line"))
+    record, keys = F.col("record"), F.col("_keys")
     blank = F.trim(F.regexp_replace("line", r"\s", "")) == ""
-    is_object = F.json_object_keys("line").isNotNull()
     reasons = (
         F.when(blank, F.array(F.lit("blank line")))
-        .when(record["_corrupt"].isNotNull() & ~is_object, F.array(F.lit("not a JSON object")))
+        .when(keys.isNull(), F.array(F.lit("not a JSON object")))
         .when(record["event_type"].isNotNull(), F.array(F.lit("event_type must not be supplied")))
-        .otherwise(_reasons(record, expected))
+        .otherwise(_reasons(record, keys, expected))
     )
-    return parsed.withColumns({"reasons": reasons, "incident_id": record["incident_id"]})
+    return once(parsed, "reasons", reasons).withColumn("incident_id", record["incident_id"]).drop("_keys")
 
 
 def rejects(checked: DataFrame) -> DataFrame:
