@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("detection", "correlation", "ingest")
+_MODULES = ("detection", "correlation", "ingest", "profile")
 
 
 def load_queries():

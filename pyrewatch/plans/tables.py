@@ -97,7 +97,7 @@ SELECT incident_id, service,
        cast(count(*) AS double) AS request_rate,
        max(value) AS latency_ms,
        100e0 * sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) / count(*) AS error_rate,
-       least(100e0, max(CASE WHEN event_type = 'purchase' THEN value END)) AS db_connection_utilization,
+       max(CASE WHEN event_type = 'purchase' THEN least(100e0, value) END) AS db_connection_utilization,
        max(CASE WHEN event_type = 'view' THEN value END) AS downstream_latency_ms
 FROM ({BASE}) base
 GROUP BY incident_id, service, day_start + (hour(ts) * 60 + minute(ts) - minute(ts) % 10) * INTERVAL '1' MINUTE
