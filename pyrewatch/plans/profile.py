@@ -659,11 +659,11 @@ _FEATURES = ["base_cpu_usage", "base_memory_usage", "base_request_rate", "base_l
     f"SELECT scenario, '{n}' AS name, round(min({n}), 6) AS min, round(max({n}), 6) AS max, round(avg({n}), 6) AS mean, "
     f"round(stddev_samp({n}), 6) AS std, count({n}) AS n, round(stddev_samp({n}) / nullif(avg({n}), 0), 6) AS cv "
     f"FROM signals s JOIN labels_of l ON l.incident_id = s.incident_id WHERE {n} IS NOT NULL GROUP BY scenario"
-    for n in _FEATURES), "signals labels_of"))
+    for n in _FEATURES).replace(", 6)", ", 9)"), "signals labels_of"))
 def _(spark, sf):
     table, found = measured(spark, sf)
     rows = found.join(table.select("incident_id", "scenario"), "incident_id")
-    return rounded(d.describe(rows, ["scenario"], _FEATURES), "min", "max", "mean", "std", "cv")
+    return rounded(d.describe(rows, ["scenario"], _FEATURES), "min", "max", "mean", "std", "cv", digits=9)
 
 
 block("error_runs", "metrics", f"""
