@@ -12,7 +12,7 @@ _IDS = "array<string>"
 
 
 def _ids(column: Column) -> Column:
-    return F.transform(F.coalesce(column, F.array().cast(_IDS)), F.trim)
+    return F.transform(F.coalesce(column, F.array().cast(_IDS)), lambda e: F.trim(e))
 
 
 def _concluded() -> Column:
