@@ -111,24 +111,20 @@ def select_logs(logs: DataFrame, incidents: DataFrame, windows: DataFrame,
 
 
 def collapse_logs(logs: DataFrame) -> DataFrame:
-    """High-volume event types shrink to their first line per service, with a count and the last time."""
+    """High-volume event types shrink to their first line per service, with a count and the last time.
+
+    Lines of other types form groups of one through their ``seq``, so one aggregate serves both kinds.
+    """
     many = F.col("event_type").isin(*COLLAPSED_EVENTS)
     kept = ["timestamp", "level", "message", "seq"]
-    singles = logs.where(~many).select(
-        "incident_id", "service", "event_type", *kept, F.lit(1).cast("long").alias("occurrence_count"),
-        F.col("timestamp").alias("last_timestamp"), F.lit(False).alias("collapsed"),
-    )
     first = F.min_by(F.struct(*kept), F.struct("timestamp", "message", "seq")).alias("_first")
-    groups = logs.where(many).groupBy("incident_id", "service", "event_type").agg(
-        first, F.count("*").alias("occurrence_count"), F.max("timestamp").alias("last_timestamp")
-    )
-    collapsed = groups.select(
-        "incident_id", "service", "event_type", *[F.col(f"_first.{c}").alias(c) for c in kept],
-        "occurrence_count", "last_timestamp", F.lit(True).alias("collapsed"),
-    )
-    return singles.unionByName(collapsed).withColumn(
-        "last_timestamp", F.when(F.col("occurrence_count") > 1, F.col("last_timestamp"))
-    )
+    groups = logs.withColumn("_single", F.when(~many, F.col("seq"))).groupBy(
+        "incident_id", "service", "event_type", "_single").agg(
+        first, F.count("*").alias("occurrence_count"), F.max("timestamp").alias("_last"))
+    return groups.select(
+        "incident_id", "service", "event_type", *[F.col(f"_first.{c}").alias(c) for c in kept], "occurrence_count",
+        F.when(F.col("occurrence_count") > 1, F.col("_last")).alias("last_timestamp"),
+        F.col("_single").isNull().alias("collapsed"))
 
 
 def first_points(points: DataFrame) -> DataFrame:

@@ -187,12 +187,15 @@ class Walk:
 
     def _frame(self, points: pd.DataFrame | None, closed: list[dict]) -> pd.DataFrame:
         parts = [p for p in (points, pd.DataFrame(closed) if closed else None) if p is not None]
-        names = [f.name for f in _OUT.fields]
-        if not parts:
-            return pd.DataFrame({name: [] for name in names})
-        parts = [p.reindex(columns=names).astype(object) for p in parts]
-        whole = pd.concat(parts, ignore_index=True)
-        return whole.where(whole.notna(), None)
+        columns = {
+            name: [value for p in parts for value in (_values(p[name]) if name in p else [None] * len(p))]
+            for name in (f.name for f in _OUT.fields)}
+        return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in columns.items()})
+
+
+def _values(column: pd.Series) -> list:
+    """Python values with None for NaN; lists stay lists."""
+    return [None if isinstance(v, float) and v != v else v for v in column.tolist()]
 
 
 def _walk_partition(settings: DetectorSettings):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from pyrewatch.functions.text import clip
@@ -14,6 +16,8 @@ from pyrewatch.plans.duck import block, literal, sql
 from pyrewatch.plans.registry import query
 from pyrewatch.plans.retrieve import search
 from pyrewatch.schemas import INSUFFICIENT, RESULT
+from pyrewatch.session import cut_lineage, shared_folder
+from pyrewatch.sources.reports import read_reports, write_reports
 
 # --- packs of incidents
 
@@ -120,7 +124,8 @@ def reports(spark, sf):
         "similar_incidents": F.transform(ids(7), lambda e: F.struct(e.alias("a"), F.lit("alike").alias("b"))),
     }
     orders = t.read(spark, sf, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
-    return orders.select(*[given[f.name].cast(f.dataType).alias(f.name) for f in RESULT.fields])
+    # Reports are a stored table; the checks read it several times.
+    return cut_lineage(orders.select(*[given[f.name].cast(f.dataType).alias(f.name) for f in RESULT.fields]))
 
 
 block("report_citations", "cited_items", """
@@ -289,3 +294,14 @@ def _(spark, sf):
         "row_count", "window_count", "point_count", "timeline_events",
         F.array_join("observed_services", "|").alias("observed_services"),
         F.array_join("anomalous_metrics", "|").alias("anomalous_metrics"), "anomalies_available", "timeline_available")
+
+
+@query("report_round_trip", "A12", sql("""
+SELECT incident_id, window_no, start_time, end_time, severity, anomaly_count FROM windows""", "windows"))
+def _(spark, sf):
+    """Windows written per incident, a third of the incidents written again, and read back."""
+    path = f"{shared_folder(spark)}/reports-{uuid4().hex}"
+    report = t.windows(spark, sf).select("incident_id", "window_no", "start_time", "end_time", "severity", "anomaly_count")
+    write_reports(report, path)
+    write_reports(report.where(F.substring("incident_id", -1, 1).isin("1", "4", "7")), path)
+    return read_reports(spark, path).select(report.columns)

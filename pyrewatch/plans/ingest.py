@@ -46,7 +46,8 @@ SELECT path, seq, l.timestamp, incident_id, service, host, level, logger, messag
 FROM logs l JOIN line_issues i ON i.line_no = l.seq
 WHERE path NOT IN (SELECT path FROM line_issues WHERE reason IS NOT NULL)""", "logs line_issues"))
 def _(spark, sf):
-    return log_source.valid_logs(checked_lines(spark, sf))
+    expected = F.regexp_extract("path", r"(INC-\d+)", 1)
+    return log_source.ingest_logs(t.raw_lines(spark, sf).select("path", "line_no", "line"), expected)[0]
 
 
 @query("issue_reports", "A9", sql("""
@@ -89,7 +90,7 @@ def _(spark, sf):
 SELECT m.* FROM metrics m WHERE 'metrics/' || incident_id || '-' || service || '.csv' NOT IN
   (SELECT path FROM cell_issues WHERE reason IS NOT NULL)""", "metrics cell_issues"))
 def _(spark, sf):
-    return metric_source.valid_metrics(checked_cells(spark, sf))
+    return metric_source.ingest_metrics(t.raw_cells(spark, sf).drop("h", "copy"))[0]
 
 
 def incident_documents(spark, sf):

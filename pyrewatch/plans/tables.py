@@ -14,6 +14,7 @@ from pyrewatch.functions.times import minutes_between
 from pyrewatch.operators.detector import flag_with_feedback
 from pyrewatch.operators.series import long_series
 from pyrewatch.operators.windows import anomaly_windows
+from pyrewatch.session import spread
 from pyrewatch.sources.logs import typed_logs
 
 INCIDENT_ID = "concat('INC-', year(ts) * 10000 + month(ts) * 100 + day(ts))"
@@ -158,7 +159,7 @@ def _spark(text: str) -> str:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,29 +1,48 @@
-"""Session helpers: where lineage is cut, and a local session for tests and the bench."""
+"""Session helpers: where intermediate tables go, and a local session for tests and the bench."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder from ``spark.checkpoint.dir``; a scratch one only in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
+        return configured.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return tempfile.mkdtemp(prefix="pyrewatch-", dir="/tmp")
+    if context.applicationId not in _scratch:
+        _scratch[context.applicationId] = tempfile.mkdtemp(prefix="pyrewatch-", dir="/tmp")
+    return _scratch[context.applicationId]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` in the shared folder, so that lost executors cannot force a replay."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder and read it back.
+
+    Later steps do not repeat the work behind it, lost executors cannot force a replay, and the planner knows the
+    table's real size when it picks a join.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a scan with fewer partitions than cores one partition per core.
+
+    A large table has many file splits and passes unchanged. Only plain scans may be given: counting their
+    partitions runs no job.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def local_session(app: str = "pyrewatch", cpus: int | str | None = None) -> SparkSession:

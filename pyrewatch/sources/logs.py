@@ -13,6 +13,7 @@ from pyrewatch.functions.evaluate import once
 from pyrewatch.functions.events import with_event_type
 from pyrewatch.functions.text import normalize_level
 from pyrewatch.functions.times import parse_iso
+from pyrewatch.session import cut_lineage
 
 REQUIRED = ("service", "host", "logger", "message")
 
@@ -93,3 +94,9 @@ def valid_logs(checked: DataFrame) -> DataFrame:
         record["logger"].alias("logger"), record["message"].alias("message"), record["trace_id"].alias("trace_id"),
     )
     return with_event_type(rows, F.col("message"), F.col("level"))
+
+
+def ingest_logs(lines: DataFrame, expected: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, rejects) of (path, line_no, line). Lines are parsed once; both results read the parsed table."""
+    checked = cut_lineage(check_log_lines(lines, expected))
+    return valid_logs(checked), rejects(checked)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyrewatch import schemas as S
 from pyrewatch.functions.evaluate import once
 from pyrewatch.functions.times import iso_text, parse_iso
+from pyrewatch.session import cut_lineage
 
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 NOT_FINITE = r"(?i)^[+-]?(nan|inf|infinity)$"
@@ -65,15 +66,16 @@ def check_metric_cells(cells: DataFrame, expected: Column | None = None) -> Data
     if expected is not None:
         found.append(F.when(F.col("incident_id") != expected, F.concat(
             F.lit("row belongs to "), "incident_id", F.lit(", expected "), expected)))
-    checked = once(cells, "reasons", F.array_compact(F.array(*found))).withColumn("at", at)
+    typed = {name: F.trim(F.col(name)).try_cast("double") for name in S.METRICS}
+    checked = once(cells, "reasons", F.array_compact(F.array(*found))).withColumns({"at": at, **typed})
     # Aggregate first: copies of one row may be very many, and only the smallest row number is needed.
-    firsts = checked.where(F.size("reasons") == 0).groupBy("path", "at", "service").agg(F.min("row_no").alias("first_row"))
+    firsts = checked.where(F.size("reasons") == 0).groupBy("path", "at", "service").agg(
+        F.min("row_no").alias("first_row"), F.count("*").alias("_copies")).where("_copies > 1").drop("_copies")
     joined = checked.join(firsts, ["path", "at", "service"], "left")
-    repeated = (F.size("reasons") == 0) & (F.col("row_no") > F.col("first_row"))
+    repeated = (F.size("reasons") == 0) & F.coalesce(F.col("row_no") > F.col("first_row"), F.lit(False))
     note = F.concat(F.lit("duplicate row for "), "service", F.lit(" at "), iso_text(F.col("at")),
                     F.lit(" (first seen in row "), F.col("first_row").cast("string"), F.lit(")"))
-    typed = {name: F.trim(F.col(name)).try_cast("double") for name in S.METRICS}
-    return joined.withColumn("reasons", F.when(repeated, F.array(note)).otherwise(F.col("reasons"))).withColumns(typed)
+    return joined.withColumn("reasons", F.when(repeated, F.array(note)).otherwise(F.col("reasons")))
 
 
 def rejects(checked: DataFrame) -> DataFrame:
@@ -87,3 +89,9 @@ def valid_metrics(checked: DataFrame) -> DataFrame:
     bad = checked.where(F.size("reasons") > 0).select("path").distinct()
     return checked.where(F.size("reasons") == 0).join(bad, "path", "left_anti").select(
         F.col("at").alias("timestamp"), "incident_id", "service", *S.METRICS)
+
+
+def ingest_metrics(cells: DataFrame, expected: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, rejects) of metric cells. Cells are checked once; both results read the checked table."""
+    checked = cut_lineage(check_metric_cells(cells, expected))
+    return valid_metrics(checked), rejects(checked)
