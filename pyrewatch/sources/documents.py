@@ -16,7 +16,7 @@ _TIMES = ("start_time", "end_time", "window_start", "window_end")
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, stem, text) of whole files."""
     name = F.element_at(F.split("path", "/"), -1)
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
     ).withColumn("stem", F.regexp_replace(name, r"\.[^.]*$", ""))
 
@@ -110,5 +110,5 @@ def parse_postmortems(documents: DataFrame) -> DataFrame:
 def read_notes(spark: SparkSession, folder: str) -> DataFrame:
     """The fixed set of technical notes as (document_name, text); a missing one is an error at read time."""
     paths = [f"{folder.rstrip('/')}/{name}" for name in NOTE_NAMES]
-    return spark.read.option("wholetext", True).text(paths).select(
+    return spark.read.text(paths, wholetext=True).select(
         F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("document_name"), F.col("value").alias("text"))

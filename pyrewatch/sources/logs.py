@@ -14,6 +14,7 @@ from pyrewatch.functions.events import with_event_type
 from pyrewatch.functions.text import normalize_level
 from pyrewatch.functions.times import parse_iso
 from pyrewatch.session import cut_lineage
+from pyrewatch.sources.lines import empty_files, read_lines
 
 REQUIRED = ("service", "host", "logger", "message")
 
@@ -24,18 +25,9 @@ def typed_logs(raw: DataFrame) -> DataFrame:
     return with_event_type(known, F.col("message"), F.col("level"))
 
 
-def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One row per line with its file and number.
-
-    A whole file is one incident's log, which bounds a row; the split is exploded in the same task.
-    """
-    files = spark.read.option("wholetext", True).text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value")
-    )
-    body = F.regexp_replace("value", r"\r?\n\z", "")
-    return files.select("path", F.posexplode(F.split(body, r"\r?\n")).alias("_at", "line")).select(
-        "path", (F.col("_at") + 1).cast("long").alias("line_no"), "line"
-    )
+def read_log_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, problems of empty files) of the log files under ``path``."""
+    return read_lines(spark, path), empty_files(spark, path, "contains no log records")
 
 
 def _reasons(record: Column, keys: Column, expected: Column | None) -> Column:

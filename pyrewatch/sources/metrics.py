@@ -8,35 +8,37 @@ from pyrewatch import schemas as S
 from pyrewatch.functions.evaluate import once
 from pyrewatch.functions.times import iso_text, parse_iso
 from pyrewatch.session import cut_lineage
+from pyrewatch.sources.lines import empty_files, read_lines
 
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 NOT_FINITE = r"(?i)^[+-]?(nan|inf|infinity)$"
 
 
 def read_metric_cells(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(cells, header problems). Row 1 is the header; a file whose header is wrong yields no cells."""
-    files = spark.read.option("wholetext", True).text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n").alias("lines"))
-    header = F.split(F.col("lines")[0], ",")
+    """(cells, file problems). Row 1 is the header; a file whose header is wrong yields no cells."""
+    lines = read_lines(spark, path)
     wanted = F.array(*[F.lit(c) for c in S.METRIC_COLUMNS])
-    files = files.withColumns({
-        "missing": F.array_except(wanted, header), "unexpected": F.array_except(header, wanted), "header": header,
-    })
+    headers = lines.where(F.col("line_no") == 1).select("path", F.split("line", ",").alias("header")).withColumns({
+        "missing": F.array_except(wanted, "header"), "unexpected": F.array_except("header", wanted)})
     wrong = (F.size("missing") > 0) | (F.size("unexpected") > 0)
-    empty = F.size("lines") < 2
-    reason = F.when(wrong, F.concat_ws(
+    body = lines.where(F.col("line_no") > 1)
+    note = F.concat_ws(
         "; ",
         F.when(F.size("missing") > 0, F.concat(F.lit("missing columns "), F.array_join("missing", ","))),
-        F.when(F.size("unexpected") > 0, F.concat(F.lit("unexpected columns "), F.array_join("unexpected", ","))),
-    )).when(empty, F.lit("contains no metric rows"))
-    problems = files.where(wrong | empty).select(
-        "path", F.lit(0).cast("long").alias("location_no"), F.when(wrong, "header").otherwise("file").alias("location"),
-        reason.alias("reason"), F.lit(None).cast("string").alias("incident_id"))
-    rows = files.where(~wrong & ~empty).select("path", "header", F.posexplode("lines").alias("_at", "line")).where("_at > 0")
-    cells = rows.withColumn("_cells", F.map_from_arrays(
-        "header", F.transform("header", lambda name, i: F.get(F.split("line", ",", -1), i))))
+        F.when(F.size("unexpected") > 0, F.concat(F.lit("unexpected columns "), F.array_join("unexpected", ","))))
+
+    def problem(files: DataFrame, location: str, reason: Column) -> DataFrame:
+        return files.select("path", F.lit(0).cast("long").alias("location_no"), F.lit(location).alias("location"),
+                            reason.alias("reason"), F.lit(None).cast("string").alias("incident_id"))
+
+    bare = headers.where(~wrong).join(body.select("path").distinct(), "path", "left_anti")
+    problems = problem(headers.where(wrong), "header", note).unionByName(
+        problem(bare, "file", F.lit("contains no metric rows"))).unionByName(
+        empty_files(spark, path, "unreadable CSV (no header)"))
+    cells = body.join(headers.where(~wrong).select("path", "header"), "path").withColumn(
+        "_cells", F.map_from_arrays("header", F.transform("header", lambda name, i: F.get(F.split("line", ",", -1), i))))
     named = [F.col("_cells")[c].alias(c) for c in S.METRIC_COLUMNS]
-    return cells.select("path", (F.col("_at") + 1).cast("long").alias("row_no"), *named), problems
+    return cells.select("path", F.col("line_no").alias("row_no"), *named), problems
 
 
 def _number_problem(name: str) -> Column:

@@ -1,7 +1,8 @@
 """The detector over a stream of observations, with the same points as the batch form on in-order input.
 
-State per series is its last ``window + lag`` accepted values. Observations that arrive after the watermark has
-passed them are dropped by Spark; inside one trigger they are scored in time order.
+State per series is its last ``window + lag`` accepted values and the time of its last scored row. Rows of one trigger
+are scored in time order; a row that is not later than the last scored one of its series is dropped. The source's
+rate limit (files or offsets per trigger) bounds what one call holds.
 """
 
 from __future__ import annotations
@@ -19,30 +20,34 @@ from pyrewatch.operators.scoring import POINT_COLUMNS
 from pyrewatch.operators.series import SERIES
 from pyrewatch.schemas import ANOMALY_POINT
 
-_STATE = T.StructType([T.StructField("accepted", T.ArrayType(T.DoubleType()))])
+_STATE = T.StructType([
+    T.StructField("accepted", T.ArrayType(T.DoubleType())), T.StructField("last", T.LongType())])
 
 
 def _advance(settings: DetectorSettings):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches), ignore_index=True).sort_values("timestamp", ignore_index=True)
-        rows = rows.assign(_block=0, _slot=0)
+        remembered, last = state.get if state.exists else ([], None)
+        times = rows["timestamp"].astype("datetime64[us]").astype("int64")
+        rows = rows[(~times.duplicated()) & (times > last if last is not None else True)].assign(_block=0, _slot=0)
+        if rows.empty:
+            return
         walk = Walk(settings)
-        remembered = list(state.get[0]) if state.exists else []
         memory = Memory(1, settings.history)
         for value in remembered:
             memory.accept(np.array([0]), np.array([value]))
         walk.open = ((*key, 0), memory.values[0], int(memory.counts[0]), [])
         found = walk.batch(rows)
         _, values, count, _ = walk.open
-        state.update(([float(v) for v in values[len(values) - count:]],))
+        state.update(([float(v) for v in values[len(values) - count:]], int(times.max())))
         yield found[found["timestamp"].notna()][POINT_COLUMNS]
     return step
 
 
-def detect_stream(series: DataFrame, settings: DetectorSettings | None = None, late: str = "10 minutes") -> DataFrame:
+def detect_stream(series: DataFrame, settings: DetectorSettings | None = None) -> DataFrame:
     """Anomaly points of a streaming series table (incident, service, metric, timestamp, value)."""
     settings = settings or DetectorSettings()
-    rows = series.where(F.col("metric_name").isin(*settings.active_rules)).withWatermark("timestamp", late)
+    rows = series.where(F.col("metric_name").isin(*settings.active_rules))
     return rows.select(*SERIES, "timestamp", "value").groupBy(*SERIES).applyInPandasWithState(
         _advance(settings), ANOMALY_POINT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -50,11 +55,12 @@ def detect_stream(series: DataFrame, settings: DetectorSettings | None = None, l
 def stream_windows(points: DataFrame, max_gap_minutes: float = 2.0, late: str = "10 minutes") -> DataFrame:
     """Anomaly windows of a stream of points, emitted when the watermark has passed the gap.
 
-    Spark closes a session when the next point is more than the gap away, the same rule as the batch form.
+    Spark closes a session when the next point is more than the gap away, the same rule as the batch form. The
+    watermark needs a zoned time, so run the stream with the session time zone set to UTC.
     """
     gap = f"{max_gap_minutes * 60:.0f} seconds"
-    marked = points.withWatermark("timestamp", late)
-    grouped = marked.groupBy("incident_id", F.session_window("timestamp", gap).alias("_session"))
+    marked = points.withColumn("_event_time", F.col("timestamp").cast("timestamp")).withWatermark("_event_time", late)
+    grouped = marked.groupBy("incident_id", F.session_window("_event_time", gap).alias("_session"))
     sessions = grouped.agg(
         F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), F.count("*").alias("anomaly_count"),
         F.array_sort(F.collect_set("service")).alias("affected_services"),

@@ -8,7 +8,6 @@ from pyrewatch.config import DetectorSettings, MetricRule
 from pyrewatch.operators.detector import flag_with_feedback
 from pyrewatch.operators.ordered import with_previous, with_row_number, with_session_number
 from pyrewatch.operators.scoring import flag_without_feedback, with_baselines
-from pyrewatch.operators.series import SERIES
 from pyrewatch.operators.windows import anomaly_windows
 
 
@@ -220,4 +219,22 @@ def test_stream_equals_batch(spark, tmp_path):
     job.processAllAvailable()
     job.stop()
     assert collect(spark.table("found"), "timestamp") == collect(flag_with_feedback(table), "timestamp")
-    assert SERIES == ["incident_id", "service", "metric_name"]
+
+
+def test_stream_windows_equal_batch(spark, tmp_path):
+    from pyrewatch.streaming.detector import stream_windows
+
+    rows = [(m, "a", "cpu_usage", 5, "LOW") for m in (1, 3, 6, 7, 20, 90)]
+    table = points(spark, *rows)
+    source = str(tmp_path / "in")
+    for low, high in ((0, 5), (5, 30), (30, 100)):
+        table.where((F.col("timestamp") >= F.lit(minute(low))) & (F.col("timestamp") < F.lit(minute(high)))).coalesce(
+            1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    job = stream_windows(stream).writeStream.format("memory").queryName("sessions").outputMode("append").start()
+    job.processAllAvailable()
+    job.stop()
+    closed = [(r["start_time"], r["end_time"], r["anomaly_count"]) for r in collect(spark.table("sessions"), "start_time")]
+    batch = [(r["start_time"], r["end_time"], r["anomaly_count"]) for r in collect(anomaly_windows(table), "start_time")]
+    # The last window stays open until the watermark passes it.
+    assert closed == batch[:-1]
