@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -21,9 +21,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         "path", (F.col("_id") + F.col("_offset")).alias("line_no"), "line")
 
 
-def empty_files(spark: SparkSession, path: str, reason: str) -> DataFrame:
-    """Reject rows for files without content, which yield no line at all."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") == 0)
-    return files.select(
+def file_name(path: str = "path") -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def files_without_rows(expected: DataFrame, rows: DataFrame, reason: str) -> DataFrame:
+    """Reject rows for expected files (path) that are missing or empty. Files are told apart by their name.
+
+    Spark does not scan empty files, so the list comes from the records that name the evidence files.
+    """
+    seen = rows.select(file_name().alias("_name")).distinct()
+    return expected.withColumn("_name", file_name()).join(seen, "_name", "left_anti").select(
         "path", F.lit(0).cast("long").alias("location_no"), F.lit("file").alias("location"), F.lit(reason).alias("reason"),
         F.lit(None).cast("string").alias("incident_id"))

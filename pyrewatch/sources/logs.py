@@ -14,7 +14,7 @@ from pyrewatch.functions.events import with_event_type
 from pyrewatch.functions.text import normalize_level
 from pyrewatch.functions.times import parse_iso
 from pyrewatch.session import cut_lineage
-from pyrewatch.sources.lines import empty_files, read_lines
+from pyrewatch.sources.lines import files_without_rows, read_lines
 
 REQUIRED = ("service", "host", "logger", "message")
 
@@ -25,9 +25,13 @@ def typed_logs(raw: DataFrame) -> DataFrame:
     return with_event_type(known, F.col("message"), F.col("level"))
 
 
-def read_log_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(lines, problems of empty files) of the log files under ``path``."""
-    return read_lines(spark, path), empty_files(spark, path, "contains no log records")
+def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_no, line) of the log files under ``path``."""
+    return read_lines(spark, path)
+
+
+def files_without_logs(expected: DataFrame, lines: DataFrame) -> DataFrame:
+    return files_without_rows(expected, lines, "contains no log records")
 
 
 def _reasons(record: Column, keys: Column, expected: Column | None) -> Column:

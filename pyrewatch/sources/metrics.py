@@ -8,7 +8,7 @@ from pyrewatch import schemas as S
 from pyrewatch.functions.evaluate import once
 from pyrewatch.functions.times import iso_text, parse_iso
 from pyrewatch.session import cut_lineage
-from pyrewatch.sources.lines import empty_files, read_lines
+from pyrewatch.sources.lines import files_without_rows, read_lines
 
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 NOT_FINITE = r"(?i)^[+-]?(nan|inf|infinity)$"
@@ -33,14 +33,17 @@ def read_metric_cells(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
     bare = headers.where(~wrong).join(body.select("path").distinct(), "path", "left_anti")
     problems = problem(headers.where(wrong), "header", note).unionByName(
-        problem(bare, "file", F.lit("contains no metric rows"))).unionByName(
-        empty_files(spark, path, "unreadable CSV (no header)"))
+        problem(bare, "file", F.lit("contains no metric rows")))
     cells = body.join(headers.where(~wrong).select("path", "header"), "path").withColumn(
         "_cells", F.map_from_arrays("header", F.transform("header", lambda name, i: F.get(F.split("line", ",", -1), i))))
     named = [F.col("_cells")[c].alias(c) for c in S.METRIC_COLUMNS]
     return cells.select("path", F.col("line_no").alias("row_no"), *named), problems
 
 
+def files_without_metrics(expected: DataFrame, cells: DataFrame) -> DataFrame:
+    return files_without_rows(expected, cells, "contains no metric rows")
+
+
 def _number_problem(name: str) -> Column:
     text = F.trim(F.col(name))
     value = text.try_cast("double")

@@ -21,8 +21,7 @@ def write_lines(path, lines):
 
 def test_valid_log_file(spark, tmp_path):
     write_lines(tmp_path / "logs/INC-001.jsonl", [GOOD, {**GOOD, "timestamp": "2026-01-01T00:00:00", "level": "INFO"}])
-    lines, empty = log_source.read_log_lines(spark, str(tmp_path / "logs"))
-    assert empty.count() == 0
+    lines = log_source.read_log_lines(spark, str(tmp_path / "logs"))
     valid, rejected = log_source.ingest_logs(lines, F.lit("INC-001"))
     rows = collect(valid, "seq")
     assert [(r["seq"], r["level"], r["event_type"], r["trace_id"]) for r in rows] == [
@@ -38,8 +37,10 @@ def test_every_bad_line_is_reported(spark, tmp_path):
     write_lines(tmp_path / "logs/INC-001.jsonl", bad)
     write_lines(tmp_path / "logs/INC-002.jsonl", [{**GOOD, "incident_id": "INC-002"}])
     (tmp_path / "logs/INC-003.jsonl").write_text("")
-    lines, empty = log_source.read_log_lines(spark, str(tmp_path / "logs"))
-    assert [(r["location"], r["reason"]) for r in empty.collect()] == [("file", "contains no log records")]
+    lines = log_source.read_log_lines(spark, str(tmp_path / "logs"))
+    expected = spark.createDataFrame([("logs/INC-001.jsonl",), ("logs/INC-003.jsonl",), ("logs/INC-004.jsonl",)], "path string")
+    assert [(r["path"], r["reason"]) for r in collect(log_source.files_without_logs(expected, lines), "path")] == [
+        ("logs/INC-003.jsonl", "contains no log records"), ("logs/INC-004.jsonl", "contains no log records")]
     valid, rejected = log_source.ingest_logs(lines, F.regexp_extract("path", r"(INC-\d+)\.jsonl", 1))
     reasons = {r["location"]: r["reason"] for r in collect(rejected, "location_no")}
     assert reasons == {
