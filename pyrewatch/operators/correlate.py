@@ -228,14 +228,14 @@ def window_evidence(windows: DataFrame) -> DataFrame:
 
 def correlate(logs: DataFrame, incidents: DataFrame, points: DataFrame, windows: DataFrame,
               settings: CorrelationSettings = DEFAULTS) -> DataFrame:
-    """All evidence of all incidents, in the evidence layout.
+    """All evidence of all incidents, in the evidence layout, as a written table.
 
-    The selected windows and the collapsed lines are read several times and are far smaller than their inputs, so
-    each is written once.
+    The selected windows, the collapsed lines and the evidence are read several times and are far smaller than their
+    inputs, so each is written once.
     """
     picked = cut_lineage(select_windows(windows, incidents, settings))
     onsets = notable_onsets(select_points(points, incidents, settings), incidents, picked)
-    return (
+    return cut_lineage(
         log_evidence(select_logs(logs, incidents, picked, settings))
         .unionByName(point_evidence(onsets))
         .unionByName(window_evidence(picked))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pyrewatch.functions.times import minutes_between
-from pyrewatch.operators.quality import problems, union
+from pyrewatch.operators.quality import flagged
 from pyrewatch.operators.templates import incident_templates
 from pyrewatch.schemas import FAILURES, LEVELS, METRICS
 
@@ -112,15 +112,12 @@ def variation_problems(cases: DataFrame, metrics: DataFrame, logs: DataFrame, le
         F.countDistinct("severity").alias("severities"), F.countDistinct("duration_minutes").alias("durations"),
         F.countDistinct("start_time").alias("starts"), cv("_error").alias("error_cv"), cv("_latency").alias("latency_cv"),
         cv("_lines").alias("lines_cv"), F.try_divide(F.countDistinct("_set"), F.count("_set")).alias("unique_sets"))
-    name = F.col("scenario")
-    return union([
-        problems(found, "same services", F.col("pairs") < 2, name),
-        problems(found, "same severity", F.col("severities") < 2, name),
-        problems(found, "same durations", F.col("durations") < 0.8 * F.col("cases"), name),
-        problems(found, "same starts", F.col("starts") != F.col("cases"), name),
-        *[problems(found, f"{c} too even", F.col(c) < least_cv, name) for c in ("error_cv", "latency_cv", "lines_cv")],
-        problems(found, "same error sets", F.coalesce(F.col("unique_sets"), F.lit(0.0)) < least_unique, name),
-    ])
+    return flagged(found, {
+        "same services": F.col("pairs") < 2, "same severity": F.col("severities") < 2,
+        "same durations": F.col("durations") < 0.8 * F.col("cases"), "same starts": F.col("starts") != F.col("cases"),
+        **{f"{c} too even": F.col(c) < least_cv for c in ("error_cv", "latency_cv", "lines_cv")},
+        "same error sets": F.coalesce(F.col("unique_sets"), F.lit(0.0)) < least_unique,
+    }, F.col("scenario"))
 
 
 VARIATION_CHECKS = ["same services", "same severity", "same durations", "same starts", "error_cv too even",
@@ -135,26 +132,19 @@ def signature_problems(measured: DataFrame, shapes: DataFrame, cases: DataFrame,
     rows = cases.join(measured, "incident_id").join(shapes, "incident_id", "left").join(runs, "incident_id", "left")
     db, leak, downstream = FAILURES
     scenario, normal = F.col("scenario"), F.col("scenario") == "NORMAL"
-    case = F.col("incident_id")
-
-    def is_true(test):
-        return F.coalesce(test, F.lit(False))
-
     top = F.col("base_memory_usage") + F.col("mem_rise")
-    return union([
-        problems(rows, "sustained errors", normal & is_true(F.col("longest_run") >= 3), case),
-        problems(rows, "saturated pool", normal & is_true(F.col("max_db_util") >= 90), case),
-        problems(rows, "no visible impact", ~normal & is_true(
-            (F.col("reported_error_delta") < 0.5) & (F.col("reported_latency_ratio") < 1.5)), case),
-        problems(rows, "pool does not saturate", (scenario == db) & is_true(
-            (F.col("peak_db_connection_utilization") < 90) | (F.col("base_db_connection_utilization") > 75)), case),
-        problems(rows, "memory does not grow", (scenario == leak) & is_true((top < 80) | (F.col("mem_rise") < 15)), case),
-        problems(rows, "memory jumps", (scenario == leak) & is_true(
-            (top >= 80) & (F.col("mem_rise") >= 15) & (F.col("largest_step") > 0.3 * F.col("mem_rise"))), case),
-        problems(rows, "downstream latency flat", (scenario == downstream) & F.coalesce(
-            F.col("reported_ds_ratio") < 2.5, F.lit(True)), case),
-        problems(rows, "local memory moves", (scenario == downstream) & is_true(F.col("reported_memory_delta") > 10), case),
-    ])
+    grown = (top >= 80) & (F.col("mem_rise") >= 15)
+    return flagged(rows, {
+        "sustained errors": normal & (F.col("longest_run") >= 3),
+        "saturated pool": normal & (F.col("max_db_util") >= 90),
+        "no visible impact": ~normal & (F.col("reported_error_delta") < 0.5) & (F.col("reported_latency_ratio") < 1.5),
+        "pool does not saturate": (scenario == db) & (
+            (F.col("peak_db_connection_utilization") < 90) | (F.col("base_db_connection_utilization") > 75)),
+        "memory does not grow": (scenario == leak) & ((top < 80) | (F.col("mem_rise") < 15)),
+        "memory jumps": (scenario == leak) & grown & (F.col("largest_step") > 0.3 * F.col("mem_rise")),
+        "downstream latency flat": (scenario == downstream) & F.coalesce(F.col("reported_ds_ratio") < 2.5, F.lit(True)),
+        "local memory moves": (scenario == downstream) & (F.col("reported_memory_delta") > 10),
+    }, F.col("incident_id"))
 
 
 SIGNATURE_CHECKS = ["sustained errors", "saturated pool", "no visible impact", "pool does not saturate",
@@ -210,15 +200,17 @@ def scenario_checks(measured: DataFrame, cases: DataFrame, rates: DataFrame, sha
             "latency varies": c("latency_cv") > 0.05,
         },
     }
-    parts = []
+    hits = F.lit(None).cast("array<struct<pattern:string,hit:boolean>>")
     for scenario, tests in patterns.items():
-        counts = rows.where(c("scenario") == scenario).agg(
-            F.count("*").alias("n"), *[F.count_if(test).alias(f"t{i}") for i, test in enumerate(tests.values())])
-        pairs = F.explode(F.array(*[
-            F.struct(F.lit(name).alias("pattern"), c(f"t{i}").alias("k")) for i, name in enumerate(tests)]))
-        parts.append(counts.select(F.lit(scenario).alias("scenario"), "n", pairs.alias("p")).select(
-            "scenario", "p.pattern", F.concat_ws("/", c("p.k").cast("string"), c("n").cast("string")).alias("share")))
-    return union(parts)
+        pairs = F.array(*[F.struct(F.lit(name).alias("pattern"), F.coalesce(test, F.lit(False)).alias("hit"))
+                          for name, test in tests.items()])
+        hits = F.when(c("scenario") == scenario, pairs).otherwise(hits)
+    counts = rows.select("scenario", F.explode(hits).alias("h")).groupBy("scenario", "h.pattern").agg(
+        F.count_if("h.hit").alias("k"), F.count("*").alias("n"))
+    names = [(scenario, name) for scenario, tests in patterns.items() for name in tests]
+    listed = cases.sparkSession.createDataFrame(names, "scenario string, pattern string")
+    share = F.concat_ws("/", F.coalesce("k", F.lit(0)).cast("string"), F.coalesce("n", F.lit(0)).cast("string"))
+    return listed.join(counts, ["scenario", "pattern"], "left").select("scenario", "pattern", share.alias("share"))
 
 
 def minute_histogram(logs: DataFrame, cases: DataFrame) -> DataFrame:

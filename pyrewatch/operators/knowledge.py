@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pyrewatch import schemas as S
 from pyrewatch.functions.text import LABEL_LEAK, RELATIVE_TIME
-from pyrewatch.operators.quality import problems, union
+from pyrewatch.operators.quality import flagged, problems, union
 
 # Chunk sizes in characters.
 SHORT_CHUNK = 280
@@ -165,14 +165,15 @@ def corpus_problems(postmortems: DataFrame, incidents: DataFrame, cutoff, cases_
     narrative = F.concat_ws(" ", "title", F.array_join("symptoms", " "), F.array_join("observed_signals", " "),
                             F.array_join("contributing_factors", " "))
     return union([
-        problems(postmortems, "unknown cause", ~F.coalesce(F.col("root_cause").isin(*S.FAILURES), F.lit(False)), case),
-        problems(postmortems, "unknown severity", ~F.coalesce(F.col("severity").isin(*S.SEVERITIES), F.lit(False)), case),
-        problems(postmortems, "too short", F.coalesce(F.col("duration_minutes"), F.lit(0)) < 10, case),
-        *[problems(postmortems, f"too few {c}", F.coalesce(F.size(c), F.lit(0)) < n, case) for c, n in least.items()],
-        problems(postmortems, "bad step time", ~F.forall("timeline", lambda x: F.coalesce(
-            x["relative_time"].rlike(RELATIVE_TIME), F.lit(False))), case),
-        problems(postmortems, "not before the cutoff", ~(F.col("occurred_at").cast("timestamp_ntz") < F.lit(cutoff)), case),
-        problems(postmortems, "label in narrative", narrative.rlike(LABEL_LEAK), case),
+        flagged(postmortems, {
+            "unknown cause": ~F.coalesce(F.col("root_cause").isin(*S.FAILURES), F.lit(False)),
+            "unknown severity": ~F.coalesce(F.col("severity").isin(*S.SEVERITIES), F.lit(False)),
+            "too short": F.coalesce(F.col("duration_minutes"), F.lit(0)) < 10,
+            **{f"too few {c}": F.coalesce(F.size(c), F.lit(0)) < n for c, n in least.items()},
+            "bad step time": ~F.forall("timeline", lambda x: F.coalesce(x["relative_time"].rlike(RELATIVE_TIME), F.lit(False))),
+            "not before the cutoff": ~(F.col("occurred_at").cast("timestamp_ntz") < F.lit(cutoff)),
+            "label in narrative": narrative.rlike(LABEL_LEAK),
+        }, case),
         problems(balance, "unbalanced cause", F.col("count") != cases_per_cause, F.concat_ws(
             "=", F.coalesce("root_cause", F.lit("none")), F.col("count").cast("string"))),
         problems(titles, "repeated title", F.col("n") > 1, case),

@@ -10,6 +10,7 @@ from pyrewatch import schemas as S
 from pyrewatch.functions.text import LABEL_LEAK
 from pyrewatch.functions.times import day_of
 from pyrewatch.operators.ordered import with_previous
+from pyrewatch.session import cut_lineage
 
 FEW = 5
 
@@ -18,6 +19,12 @@ def problems(df: DataFrame, check: str, bad: Column, text: Column) -> DataFrame:
     return df.where(bad).select(F.lit(check).alias("name"), text.cast("string").alias("problem"))
 
 
+def flagged(df: DataFrame, checks: dict[str, Column], text: Column) -> DataFrame:
+    """Problem rows of several checks on the same table, in one pass."""
+    found = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), name) for name, bad in checks.items()]))
+    return df.select(F.explode(found).alias("name"), text.cast("string").alias("problem"))
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -27,6 +34,7 @@ def report(found: DataFrame, names: list[str]) -> DataFrame:
 
     The rank filter is applied in every partition before the shuffle, so a check with very many problems is cheap.
     """
+    found = cut_lineage(found)
     checks = found.sparkSession.createDataFrame([(n,) for n in names], "name string")
     counts = found.groupBy("name").agg(F.count("*").alias("n_problems"))
     place = F.row_number().over(Window.partitionBy("name").orderBy("problem"))
@@ -68,8 +76,7 @@ def log_row_problems(logs: DataFrame, incidents: DataFrame) -> DataFrame:
         "outside the case window": ~at.between(F.col("window_start"), F.col("window_end")),
         "label in message": F.col("message").rlike(LABEL_LEAK),
     }
-    found = F.array_compact(F.array(*[F.when(bad, name) for name, bad in checks.items()]))
-    return rows.select(F.explode(found).alias("name"), where.alias("problem"))
+    return flagged(rows, checks, where)
 
 
 LOG_CHECKS = ["unknown incident", "unknown level", "empty message or service", "not in order",
@@ -102,9 +109,7 @@ def metric_row_problems(metrics: DataFrame, incidents: DataFrame, sequence: str
         "above 100": any_of(S.PERCENT_METRICS, lambda c: c > 100),
         "not strictly increasing": at <= F.col("_before"),
     }
-    found = F.array_compact(F.array(*[F.when(bad, name) for name, bad in checks.items()]))
-    where = F.concat_ws(":", "incident_id", "service", at.cast("string"))
-    return rows.select(F.explode(found).alias("name"), where.alias("problem"))
+    return flagged(rows, checks, F.concat_ws(":", "incident_id", "service", at.cast("string")))
 
 
 def case_problems(incidents: DataFrame, labels: DataFrame, least: dict[str, int]) -> DataFrame:
@@ -121,12 +126,13 @@ def case_problems(incidents: DataFrame, labels: DataFrame, least: dict[str, int]
     case = F.col("incident_id")
     return union([
         problems(duplicates, "duplicate id", F.lit(True), case),
-        problems(incidents, "unknown severity", ~F.col("severity").isin(*S.SEVERITIES), case),
-        problems(incidents, "times out of order", ~ordered, case),
-        problems(cases, "unknown scenario", ~known, case),
-        problems(cases, "fault outside window_start..start", known & ~normal & ~F.coalesce(
-            fault.between(F.col("window_start"), start), F.lit(False)), case),
-        problems(cases, "normal case with fault", known & normal & fault.isNotNull(), case),
+        flagged(cases, {
+            "unknown severity": ~F.col("severity").isin(*S.SEVERITIES), "times out of order": ~ordered,
+            "unknown scenario": ~known,
+            "fault outside window_start..start": known & ~normal & ~F.coalesce(
+                fault.between(F.col("window_start"), start), F.lit(False)),
+            "normal case with fault": known & normal & fault.isNotNull(),
+        }, case),
         problems(short, "too few cases", F.col("count") < F.col("least"), F.concat_ws(
             "=", "scenario", F.col("count").cast("string"))),
     ])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -145,11 +146,11 @@ def detector_sanity(points: DataFrame, windows: DataFrame, metrics: DataFrame, i
     shares = alert_minutes(points, metrics, failures).agg(
         F.coalesce(F.sum("alert_minutes"), F.lit(0)).alias("alert_minutes"),
         F.coalesce(F.sum("flagged_minutes"), F.lit(0)).alias("flagged_minutes"))
-    out = seen
-    singles = (found, shares, windows.agg(F.count("*").alias("windows")), incidents.agg(F.count("*").alias("incidents")),
+    figures = (seen, found, shares, windows.agg(F.count("*").alias("windows")), incidents.agg(F.count("*").alias("incidents")),
                failures.agg(F.count("*").alias("failures")), covered.agg(F.count("*").alias("failures_covered")))
-    for single in singles:  # every side is one aggregate row
-        out = out.join(F.broadcast(single))
+    names = [c for figure in figures for c in figure.columns]
+    out = reduce(DataFrame.unionByName, [_as_pairs(figure) for figure in figures]).agg(*[
+        F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in names])
     return out.withColumns({
         "normal_rate": rate(F.col("normal_points"), F.col("normal_observations")),
         "early_rate": rate(F.col("early_points"), F.col("early_observations")),
@@ -157,6 +158,12 @@ def detector_sanity(points: DataFrame, windows: DataFrame, metrics: DataFrame, i
     })
 
 
+def _as_pairs(figure: DataFrame) -> DataFrame:
+    """One aggregate row as (name, value) rows."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("value")) for c in figure.columns]))
+    return figure.select(pairs.alias("p")).select("p.name", "p.value")
+
+
 # The three settings compared by the ablation.
 ABLATION = {
     "default": DetectorSettings(),

@@ -51,7 +51,7 @@ def with_boundaries(evidence: DataFrame, incidents: DataFrame) -> DataFrame:
 
 def totals(evidence: DataFrame, incidents: DataFrame) -> DataFrame:
     """Items and incidents overall, by source and by service, and the incidents without evidence."""
-    n_incidents = incidents.select(F.count("*").alias("_n"))
+    n_incidents = incidents.agg(F.count("*")).scalar()
     small = evidence.groupBy("incident_id", "source_type", "service").agg(F.count("*").alias("_items"))
     scope = F.explode(F.array(
         F.struct(F.lit("all").alias("scope"), F.lit("items").alias("name")),
@@ -60,9 +60,8 @@ def totals(evidence: DataFrame, incidents: DataFrame) -> DataFrame:
     ))
     counted = small.select("incident_id", "_items", scope.alias("s")).groupBy("s.scope", "s.name").agg(
         F.sum("_items").alias("items"), F.countDistinct("incident_id").alias("incidents"))
-    # One row on the right: the average needs the number of incidents.
-    averaged = counted.join(F.broadcast(n_incidents)).select(
-        "scope", "name", "items", "incidents", (F.col("items") / F.col("_n")).alias("per_incident"))
+    averaged = counted.select(
+        "scope", "name", "items", "incidents", (F.col("items") / n_incidents).alias("per_incident"))
     empty = incidents.select("incident_id").join(evidence.select("incident_id"), "incident_id", "left_anti").select(
         F.lit("empty").alias("scope"), F.col("incident_id").alias("name"), F.lit(0).cast("long").alias("items"),
         F.lit(0).cast("long").alias("incidents"), F.lit(0.0).alias("per_incident"))

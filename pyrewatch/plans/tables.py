@@ -230,13 +230,13 @@ SELECT concat('metrics/', incident_id, '-', service, '.csv') AS path,
   CASE WHEN h = 7 AND service = 'svc-1' THEN '150' ELSE cast(error_rate AS {{text}}) END AS error_rate,
   coalesce(cast(db_connection_utilization AS {{text}}), '') AS db_connection_utilization,
   coalesce(cast(downstream_latency_ms AS {{text}}), '') AS downstream_latency_ms, h, copy
-FROM (SELECT m.*, hour(timestamp) AS h, cast((hour(timestamp) * 60 + minute(timestamp)) / 10 AS int) AS slot
-      FROM ({METRICS}) m) rows
-CROSS JOIN (SELECT 0 AS copy UNION ALL SELECT 1) copies
-WHERE copy = 0 OR (h = 13 AND service = 'svc-0')
+FROM (SELECT m.*, hour(timestamp) AS h, {{slot}} AS slot, 0 AS copy FROM ({METRICS}) m
+      UNION ALL SELECT m.*, hour(timestamp) AS h, {{slot}} AS slot, 1 AS copy FROM ({METRICS}) m
+      WHERE hour(timestamp) = 13 AND service = 'svc-0') rows
 """
-_DUCK_NAMES["text"] = "varchar"
-_SPARK_NAMES["text"] = "string"
+_SLOT = "cast((hour(timestamp) * 60 + minute(timestamp)) / 10 AS int)"
+_DUCK_NAMES |= {"text": "varchar", "slot": _SLOT}
+_SPARK_NAMES |= {"text": "string", "slot": _SLOT}
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
