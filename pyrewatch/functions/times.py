@@ -28,15 +28,16 @@ def day_of(ts: Column) -> Column:
 
 def parse_iso(text: Column) -> Column:
     """Zone-free timestamp of an ISO text, or null when the text has another shape."""
-    return F.when(text.rlike(ISO_PATTERN), F.try_to_timestamp(F.regexp_replace(text, ",", ".")).cast("timestamp_ntz"))
+    return F.when(text.rlike(ISO_PATTERN), F.regexp_replace(text, ",", ".").try_cast("timestamp_ntz"))
 
 
 def iso_text(ts: Column) -> Column:
     """``yyyy-MM-ddTHH:mm:ss``, with six fraction digits only when the fraction is not zero."""
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    return F.when(F.date_format(ts, "SSSSSS") == "000000", whole).otherwise(
-        F.concat(whole, F.lit("."), F.date_format(ts, "SSSSSS"))
-    )
+    # The text of a zone-free time does not depend on the session's zone; its fraction comes without trailing zeros.
+    text = ts.cast("string")
+    whole = F.replace(F.substring(text, 1, 19), F.lit(" "), F.lit("T"))
+    fraction = F.rpad(F.substring(text, 21, 6), 6, "0")
+    return F.when(F.length(text) > 19, F.concat(whole, F.lit("."), fraction)).otherwise(whole)
 
 
 def step_of(ts: Column, step_minutes: int) -> Column:
