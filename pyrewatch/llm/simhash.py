@@ -249,7 +249,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     kept = (groups.groupBy("label")
                   .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("kept"))
                   .select(F.col("kept.doc_id").alias("__id"), F.col("kept.text_key").alias("__text")))
-    rows = docs.select(F.struct(*columns).alias("row"), F.xxhash64("text").alias("__key"), F.col("doc_id").alias("__doc"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.xxhash64("text").alias("__key"), F.col("doc_id").alias("__doc"))
     found = rows.join(kept, (F.col("__text") == F.col("__key")) & F.col("__id").eqNullSafe(F.col("__doc")), "left_semi")
     return (found.groupBy("__key", "__doc").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
                  .select(*[F.col(f"row.`{c}`").alias(c) for c in columns]))

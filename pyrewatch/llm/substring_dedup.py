@@ -60,11 +60,11 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("__text", text)
     out = []
     for name in columns:
+        own = F.col(f"`{name}`")
         if name == "text":
-            out.append(F.col("__text").alias("text"))
+            own = F.col("__text").alias("text")
         elif name == "n_chars":
-            out.append(F.when(F.col("__text") != F.col("text"), F.char_length("__text").cast(docs.schema[name].dataType))
-                        .otherwise(F.col(name)).alias(name))
-        else:
-            out.append(F.col(name))
+            changed_size = F.char_length("__text").cast(docs.schema[name].dataType)
+            own = F.when(F.col("__text") != F.col("text"), changed_size).otherwise(own).alias(name)
+        out.append(own)
     return rows.select(*out)
