@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyrewatch.llm.stages import keep_rows
+
 #: Edits allowed per item: one in so many characters. A shorter item must be held as it is.
 CHARS_PER_EDIT = 16
 #: Characters of items in a block.
@@ -195,16 +197,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHAR
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` without the rows whose text holds a copy of an item. Rows pass through whole, in one pass per block."""
-    columns = docs.columns
     for block in item_blocks(benchmark, block_chars):
-        docs = docs.mapInArrow(_keep_batches(block, columns.index("text")), docs.schema)
+        docs = keep_rows(docs, "text", _clean(block))
     return docs
 
 
-def _keep_batches(items: tuple[tuple[int, str], ...], text: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _clean(items: tuple[tuple[int, str], ...]):
+    def keep(texts: pa.Array) -> pa.Array:
         matcher = _matcher(items)
-        for batch in batches:
-            keep = pa.array([not matcher.find(normal(t.as_py())) for t in batch.column(text)], pa.bool_())
-            yield batch.filter(keep)
-    return run
+        return pa.array([not matcher.find(normal(t.as_py())) for t in texts], pa.bool_())
+    return keep

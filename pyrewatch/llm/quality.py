@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyrewatch.llm.stages import keep_rows
 from pyrewatch.llm.style import MEASURES, WIDTH, sigmoid, style_of
 
 POSITIVES = 15_000
@@ -127,9 +128,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that the model rejects; rows pass through whole."""
-    model, text = train(docs, labels), docs.columns.index("text")
-
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(model.score(style_of(batch.column(text))) >= threshold))
-    return docs.mapInArrow(run, docs.schema)
+    model = train(docs, labels)
+    return keep_rows(docs, "text", lambda texts: pa.array(model.score(style_of(texts)) >= threshold))

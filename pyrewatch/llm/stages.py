@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from pyrewatch.session import shared_folder
@@ -36,3 +38,14 @@ class Stages:
         for df in stored:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df._stage_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def keep_rows(df: DataFrame, column: str, keep: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """The rows of ``df`` for which ``keep``, given a batch of ``column``, says so; whole, whatever columns are called."""
+    at, names = df.columns.index(column), df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(keep(batch.column(at)))
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

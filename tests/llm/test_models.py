@@ -143,7 +143,7 @@ def test_chain_feeds_earlier_chances():
     rng = np.random.default_rng(3)
     n = 1500
     first = rng.integers(0, 2, n)
-    index = np.stack([np.where(first == 1, rng.integers(0, 40, n), rng.integers(40, 80, n)), rng.integers(100, 900, n)], axis=1)
+    index = np.stack([np.where(first == 1, rng.integers(0, 15, n), rng.integers(15, 30, n)), rng.integers(100, 900, n)], axis=1)
     rows = ftrl.Rows(np.arange(n + 1) * 2, index.ravel(), np.ones(2 * n, np.float32))
     chain = toxicity.fit_chain(rows, np.stack([first, first], axis=1), ("a", "b"), ftrl.Settings(smooth=0.1, l1=1e-4))
     chances = chain.chances(rows)
