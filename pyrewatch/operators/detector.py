@@ -1,56 +1,32 @@
 """The detector with feedback: a flagged observation does not enter later baselines.
 
-Whether an observation joins the baseline depends on all decisions before it, so no row frame can express it. The
-work is cut into (series, block of days). One shuffle sorts each piece by time, and an Arrow-batched fold walks it
-holding only the last ``window + lag`` accepted values. Many series advance together, one numpy step per
-position, so short series cost little.
-
-A series that crosses blocks starts each later block with an empty memory, and every block reports the memory it
-ends with. Blocks whose starting memory differs from the memory the block before ended with are folded again.
-When no block differs the result equals one walk over the whole series; each round fixes at least one more
-block of every series, and only the blocks that changed are read again.
+Whether an observation joins the baseline depends on all decisions before it, so no row frame can express it. One
+shuffle deals whole series to partitions and sorts each partition by time, so all its series advance together in one
+pass. A series keeps its last ``window + lag`` accepted values and nothing else: the state of a task is its number of
+series times that, and (series, minute) is unique, so even ten years of one series are some five million rows.
+
+Where many series share an instant, they are scored by one numpy step; a lone series is walked with plain numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import sqrt, sumprod
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from pyrewatch.config import DetectorSettings
 from pyrewatch.operators.scoring import POINT_COLUMNS, SEVERITY_RANKS, flag_without_feedback
 from pyrewatch.operators.series import SERIES
 from pyrewatch.schemas import ANOMALY_POINT
-from pyrewatch.session import cut_lineage
-
-PIECE = [*SERIES, "_block"]
-_MEMORY = T.ArrayType(T.DoubleType())
-_OUT = T.StructType([
-    *ANOMALY_POINT.fields, T.StructField("_block", T.LongType()), T.StructField("_start", _MEMORY),
-    T.StructField("_end", _MEMORY),
-])
-
-
-class Memory:
-    """Last accepted values of many series: one row each, newest on the right."""
-
-    def __init__(self, size: int, depth: int):
-        self.values = np.zeros((size, depth))
-        self.counts = np.zeros(size, dtype=np.int64)
 
-    def accept(self, rows: np.ndarray, values: np.ndarray) -> None:
-        if len(rows):
-            kept = self.values[rows]
-            kept[:, :-1] = kept[:, 1:]
-            kept[:, -1] = values
-            self.values[rows] = kept
-            self.counts[rows] = np.minimum(self.counts[rows] + 1, self.values.shape[1])
+#: Series at one instant from which a numpy step is cheaper than walking them one by one.
+TOGETHER = 12
 
-    def tail(self, row: int) -> list[float]:
-        count = int(self.counts[row])
-        return self.values[row, self.values.shape[1] - count:].tolist()
+_METHODS = (None, "rolling_zscore", "drift_zscore", "absolute_threshold")
+_RANKS = (None, *SEVERITY_RANKS.values())
 
 
 def _baseline(values: np.ndarray, counts: np.ndarray, least: int):
@@ -65,7 +41,7 @@ def _baseline(values: np.ndarray, counts: np.ndarray, least: int):
 
 
 class Scorer:
-    """Scores one observation per series against its memory, for many series at a time."""
+    """Scores observations against the accepted values before them, for many series at a time or for one."""
 
     def __init__(self, settings: DetectorSettings):
         self.settings = settings
@@ -77,6 +53,8 @@ class Scorer:
             setattr(self, name, np.array([getattr(r, name) for r in rules.values()], dtype=float))
         self.up = np.array([r.up for r in rules.values()], dtype=bool)
         self.down = np.array([r.down for r in rules.values()], dtype=bool)
+        self.limits = [(float(r.min_std), float(r.abs_floor), float(r.rel_floor), c, bool(r.up), bool(r.down))
+                       for r, c in zip(rules.values(), ceilings, strict=True)]
 
     def _compare(self, value, rule, window, counts):
         mean, std, ready = _baseline(window, counts, self.settings.min_points)
@@ -98,104 +76,135 @@ class Scorer:
             lagged_fired = lagged["fired"] & ~recent["fired"]
             shown = {k: np.where(lagged_fired, lagged[k], recent[k]) for k in recent}
         above = value >= self.ceiling[rule]
-        by_z = recent["fired"] | lagged_fired
         size = np.abs(shown["z"])
+        by_z = recent["fired"] | lagged_fired
         rank = np.where(by_z, np.where(size >= s.high_z, 3, np.where(size >= s.medium_z, 2, 1)), 0)
         rank = np.maximum(rank, np.where(above, s.ceiling_rank, 0))
         method = np.where(recent["fired"], 1, np.where(lagged_fired, 2, np.where(above, 3, 0)))
         return {**shown, "above": above, "rank": rank, "method": method}
 
+    def _fires(self, value: float, limits: tuple, accepted: list[float]) -> bool:
+        n = len(accepted)
+        if n < self.settings.min_points:
+            return False
+        mean = sum(accepted) / n
+        deviation = value - mean
+        least_std, floor, share, _, up, down = limits
+        # Most observations lie within the floor, so the spread is seldom needed.
+        if abs(deviation) < max(floor, share * abs(mean)) or not (up if deviation >= 0 else down):
+            return False
+        return abs(deviation) / max(_spread(accepted, mean), least_std) >= self.settings.z_threshold
+
+    def _shown(self, value: float, limits: tuple, accepted: list[float]) -> tuple:
+        """(mean, std, z, deviation, points) against ``accepted``; nothing if there are too few."""
+        n = len(accepted)
+        if n < self.settings.min_points:
+            return None, None, None, None, 0
+        mean = sum(accepted) / n
+        std = _spread(accepted, mean)
+        return mean, std, (value - mean) / max(std, limits[0]), value - mean, n
+
+    def score_one(self, value: float, rule: int, accepted: list[float]) -> tuple | None:
+        """(mean, std, z, deviation, points, rank, method, above) of a flagged observation, nothing for any other."""
+        s, limits = self.settings, self.limits[rule]
+        window, method = accepted[-s.window:], 0
+        if self._fires(value, limits, window):
+            method = 1
+        elif s.lag and len(accepted) - s.lag >= s.min_points:
+            older = accepted[max(0, len(accepted) - s.lag - s.window):len(accepted) - s.lag]
+            if self._fires(value, limits, older):
+                window, method = older, 2
+        above = value >= limits[3]
+        if not method and not above:
+            return None
+        shown, rank = self._shown(value, limits, window), 0
+        if method:
+            size = abs(shown[2])
+            rank = 3 if size >= s.high_z else 2 if size >= s.medium_z else 1
+        if above:
+            rank = max(rank, s.ceiling_rank)
+        return (*shown, rank, method or 3, above)
+
 
-_METHODS = np.array([None, "rolling_zscore", "drift_zscore", "absolute_threshold"], dtype=object)
-_RANKS = np.array([None, *SEVERITY_RANKS.values()], dtype=object)
+def _spread(values: list[float], mean: float) -> float:
+    apart = [x - mean for x in values]
+    return sqrt(sumprod(apart, apart) / (len(values) - 1))
 
 
 class Walk:
-    """Walks sorted batches. A piece cut by a batch border goes on with the memory it had."""
+    """Walks batches sorted by time. ``accepted`` holds the last accepted values of every series met so far."""
 
     def __init__(self, settings: DetectorSettings):
         self.settings = settings
         self.scorer = Scorer(settings)
-        self.open: tuple | None = None  # key, memory row, count and starting memory of the unfinished piece
-
-    def _starts(self, batch: pd.DataFrame) -> np.ndarray:
-        changed = np.zeros(len(batch), dtype=bool)
-        changed[0] = True
-        for name in PIECE:
-            column = batch[name].to_numpy()
-            changed[1:] |= column[1:] != column[:-1]
-        return np.flatnonzero(changed)
+        self.accepted: dict[tuple, list[float]] = {}
 
     def batch(self, batch: pd.DataFrame) -> pd.DataFrame:
-        starts = self._starts(batch)
-        lengths = np.diff(np.append(starts, len(batch)))
-        keys = list(batch[PIECE].iloc[starts].itertuples(index=False, name=None))
-        memory = Memory(len(starts), self.settings.history)
-        begun: list[list[float]] = [[] for _ in starts]
-        closed = []
-        if self.open is not None:
-            if self.open[0] == keys[0]:
-                memory.values[0], memory.counts[0], begun[0] = self.open[1:]
-            else:
-                closed.append(self._state_row(*self.open))
-        values = batch["value"].to_numpy(dtype=float)
-        seeds = batch["_slot"].to_numpy() < 0
-        rule = np.array([self.scorer.index[k[2]] for k in keys])
-        by_length = np.argsort(-lengths, kind="stable")
-        active_at = np.searchsorted(-lengths[by_length], -np.arange(lengths.max()), side="left")
-        found: list[tuple[np.ndarray, dict]] = []
-        for step in range(lengths.max()):
-            rows = by_length[:active_at[step]]
-            at = starts[rows] + step
-            value, seed = values[at], seeds[at]
-            score = self.scorer.score(value, rule[rows], memory.values[rows], memory.counts[rows])
-            flagged = (score["method"] > 0) & ~seed
-            if flagged.any():
-                found.append((at[flagged], {k: v[flagged] for k, v in score.items()}))
-            accepted = ~flagged if self.settings.exclude_flagged else np.ones(len(rows), dtype=bool)
-            memory.accept(rows[accepted], value[accepted])
-            for i in np.flatnonzero(seed):
-                begun[rows[i]].append(float(value[i]))
-        last = len(keys) - 1
-        closed += [self._state_row(keys[i], memory.values[i], memory.counts[i], begun[i]) for i in range(last)]
-        self.open = (keys[last], memory.values[last].copy(), int(memory.counts[last]), begun[last])
-        return self._frame(self._points(batch, found), closed)
-
-    def finish(self) -> pd.DataFrame | None:
-        return None if self.open is None else self._frame(None, [self._state_row(*self.open)])
-
-    def _state_row(self, key, values, count, begun) -> dict:
-        end = values[len(values) - int(count):].tolist()
-        return {**dict(zip(PIECE, key)), "_start": list(begun), "_end": end}
-
-    def _points(self, batch: pd.DataFrame, found) -> pd.DataFrame | None:
-        if not found:
-            return None
-        at = np.concatenate([rows for rows, _ in found])
-        score = {k: np.concatenate([s[k] for _, s in found]) for k in found[0][1]}
-        warm = score["ready"]
-        out = batch.iloc[at][[*PIECE, "timestamp", "value"]].reset_index(drop=True)
-        for name, source in (("baseline_mean", "mean"), ("baseline_std", "std"), ("z_score", "z"),
-                             ("deviation", "deviation")):
-            out[name] = np.where(warm, score[source], np.nan)
-        out["baseline_points"] = score["points"].astype("int64")
-        out["direction"] = np.where(warm, np.where(score["deviation"] >= 0, "up", "down"), None)
-        out["severity"] = _RANKS[score["rank"]]
-        out["detection_method"] = _METHODS[score["method"]]
-        out["absolute_threshold_exceeded"] = score["above"]
-        return out
-
-    def _frame(self, points: pd.DataFrame | None, closed: list[dict]) -> pd.DataFrame:
-        parts = [p for p in (points, pd.DataFrame(closed) if closed else None) if p is not None]
+        keys = list(zip(*(batch[c].tolist() for c in SERIES), strict=True))
+        values = batch["value"].tolist()
+        times = batch["timestamp"].to_numpy()
+        borders = np.flatnonzero(np.concatenate(([True], times[1:] != times[:-1], [True]))).tolist()
+        found: list[tuple] = []
+        if len(keys) >= TOGETHER * (len(borders) - 1):
+            self._together(keys, np.array(values), borders, found)
+        else:
+            self._one_by_one(keys, values, found)
+        return self._frame(batch, found)
+
+    def _one_by_one(self, keys: list[tuple], values: list[float], found: list[tuple]) -> None:
+        score, rules, keep, depth = self.scorer.score_one, self.scorer.index, not self.settings.exclude_flagged, self.settings.history
+        for at, (key, value) in enumerate(zip(keys, values, strict=True)):
+            accepted = self.accepted.get(key)
+            if accepted is None:
+                accepted = self.accepted[key] = []
+            flagged = score(value, rules[key[2]], accepted)
+            if flagged:
+                found.append((at, *flagged))
+            if keep or not flagged:
+                accepted.append(value)
+                if len(accepted) > depth:
+                    del accepted[0]
+
+    def _together(self, keys: list[tuple], values: np.ndarray, borders: list[int], found: list[tuple]) -> None:
+        depth = self.settings.history
+        slots: dict[tuple, int] = {}
+        slot = np.array([slots.setdefault(key, len(slots)) for key in keys])
+        rule = np.array([self.scorer.index[key[2]] for key in slots])
+        memory, counts = np.zeros((len(slots), depth)), np.zeros(len(slots), dtype=np.int64)
+        for key, row in slots.items():
+            known = self.accepted.get(key, [])
+            counts[row] = len(known)
+            if known:
+                memory[row, depth - len(known):] = known
+        for a, b in zip(borders, borders[1:], strict=False):
+            rows, value = slot[a:b], values[a:b]
+            score = self.scorer.score(value, rule[rows], memory[rows], counts[rows])
+            flagged = score["method"] > 0
+            for i in np.flatnonzero(flagged).tolist():
+                warm = bool(score["ready"][i])
+                shown = [float(score[c][i]) if warm else None for c in ("mean", "std", "z", "deviation")]
+                found.append((a + i, *shown, int(score["points"][i]), int(score["rank"][i]), int(score["method"][i]),
+                              bool(score["above"][i])))
+            if self.settings.exclude_flagged:
+                rows, value = rows[~flagged], value[~flagged]
+            memory[rows, :-1] = memory[rows, 1:]
+            memory[rows, -1] = value
+            counts[rows] = np.minimum(counts[rows] + 1, depth)
+        for key, row in slots.items():
+            self.accepted[key] = memory[row, depth - counts[row]:].tolist()
+
+    def _frame(self, batch: pd.DataFrame, found: list[tuple]) -> pd.DataFrame:
+        at, mean, std, z, deviation, points, rank, method, above = (
+            list(column) for column in zip(*found, strict=True)) if found else ([] for _ in range(9))
+        out = batch.iloc[at][[*SERIES, "timestamp", "value"]].reset_index(drop=True)
         columns = {
-            name: [value for p in parts for value in (_values(p[name]) if name in p else [None] * len(p))]
-            for name in (f.name for f in _OUT.fields)}
-        return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in columns.items()})
-
-
-def _values(column: pd.Series) -> list:
-    """Python values with None for NaN; lists stay lists."""
-    return [None if isinstance(v, float) and v != v else v for v in column.tolist()]
+            "baseline_mean": mean, "baseline_std": std, "z_score": z, "deviation": deviation, "baseline_points": points,
+            "direction": [None if d is None else "up" if d >= 0 else "down" for d in deviation],
+            "severity": [_RANKS[r] for r in rank], "detection_method": [_METHODS[m] for m in method],
+            "absolute_threshold_exceeded": above}
+        for name, column in columns.items():
+            out[name] = pd.Series(column, dtype=object)
+        return out[[f.name for f in ANOMALY_POINT.fields]]
 
 
 def _walk_partition(settings: DetectorSettings):
@@ -204,56 +213,18 @@ def _walk_partition(settings: DetectorSettings):
         for batch in batches:
             if len(batch):
                 yield walk.batch(batch)
-        rest = walk.finish()
-        if rest is not None:
-            yield rest
     return run
 
 
-def _fold(pieces: DataFrame, settings: DetectorSettings) -> DataFrame:
-    ordered = pieces.repartition(*PIECE).sortWithinPartitions(*PIECE, "_slot", "timestamp")
-    return ordered.mapInPandas(_walk_partition(settings), _OUT)
-
-
-def _stale(folded: DataFrame) -> DataFrame:
-    """Blocks that did not start from the memory the block before ended with, with the right start."""
-    ends = folded.where(F.col("_end").isNotNull()).select(*PIECE, "_start", "_end")
-    before = F.lag("_end").over(Window.partitionBy(*SERIES).orderBy("_block"))
-    return (
-        ends.withColumn("_memory", F.coalesce(before, F.array().cast(_MEMORY)))
-        .where(F.col("_memory") != F.col("_start")).select(*PIECE, "_memory")
-    )
-
+def flag_with_feedback(series: DataFrame, settings: DetectorSettings | None = None) -> DataFrame:
+    """Anomaly points of the default detector; ``series`` has one row per observation. One shuffle, no job of its own."""
+    settings = settings or DetectorSettings()
+    active = series.where(F.col("metric_name").isin(*settings.active_rules)).select(*SERIES, "timestamp", "value")
+    dealt = active.repartition(*SERIES).sortWithinPartitions("timestamp", *SERIES)
+    return dealt.mapInPandas(_walk_partition(settings), ANOMALY_POINT).select(*POINT_COLUMNS)
 
-def flag_with_feedback(series: DataFrame, settings: DetectorSettings | None = None, block_days: int = 30) -> DataFrame:
-    """Anomaly points of the default detector; ``series`` has one row per observation.
 
-    A block holds at most ``block_days`` of one series, which bounds a task because (series, minute) is unique.
-    """
-    settings = settings or DetectorSettings()
-    if block_days < 1:
-        raise ValueError("block_days must be at least 1")
-    active = series.where(F.col("metric_name").isin(*settings.active_rules))
-    block = F.floor(F.datediff(F.col("timestamp").cast("date"), F.lit("1970-01-01").cast("date")) / block_days)
-    pieces = active.select(*SERIES, "timestamp", "value", block.alias("_block"), F.lit(0).alias("_slot"))
-    folded = cut_lineage(_fold(pieces, settings))
-    while True:
-        stale = cut_lineage(_stale(folded))
-        if stale.isEmpty():
-            break
-        seeds = stale.select(
-            *SERIES, F.lit(None).cast("timestamp_ntz").alias("timestamp"), "_block",
-            F.posexplode("_memory").alias("_at", "value"), F.size("_memory").alias("_n"),
-        ).select(*SERIES, "timestamp", "value", "_block", (F.col("_at") - F.col("_n")).alias("_slot"))
-        again = pieces.join(stale.select(*PIECE), PIECE, "left_semi").unionByName(seeds)
-        kept = folded.join(stale.select(*PIECE), PIECE, "left_anti")
-        folded = cut_lineage(kept.unionByName(_fold(again, settings)))
-    return folded.where(F.col("_end").isNull()).select(*POINT_COLUMNS)
-
-
-def detect(series: DataFrame, settings: DetectorSettings | None = None, block_days: int = 30) -> DataFrame:
-    """Anomaly points under ``settings``: the fold when flags feed back, plain frames otherwise."""
+def detect(series: DataFrame, settings: DetectorSettings | None = None) -> DataFrame:
+    """Anomaly points under ``settings``: the walk when flags feed back, plain frames otherwise."""
     settings = settings or DetectorSettings()
-    if settings.exclude_flagged:
-        return flag_with_feedback(series, settings, block_days)
-    return flag_without_feedback(series, settings)
+    return (flag_with_feedback if settings.exclude_flagged else flag_without_feedback)(series, settings)

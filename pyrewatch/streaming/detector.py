@@ -15,35 +15,49 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pyrewatch.config import DetectorSettings
-from pyrewatch.operators.detector import Memory, Walk
+from pyrewatch.operators.detector import Walk
 from pyrewatch.operators.scoring import POINT_COLUMNS
 from pyrewatch.operators.series import SERIES
 from pyrewatch.schemas import ANOMALY_POINT
 
+#: Rows of one trigger that are scored at once.
+CUT_ROWS = 50_000
+
 _STATE = T.StructType([
     T.StructField("accepted", T.ArrayType(T.DoubleType())), T.StructField("last", T.LongType())])
 
 
 def _advance(settings: DetectorSettings):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("timestamp", ignore_index=True)
         remembered, last = state.get if state.exists else ([], None)
-        times = rows["timestamp"].astype("datetime64[us]").astype("int64")
-        rows = rows[(~times.duplicated()) & (times > last if last is not None else True)].assign(_block=0, _slot=0)
-        if rows.empty:
-            return
         walk = Walk(settings)
-        memory = Memory(1, settings.history)
-        for value in remembered:
-            memory.accept(np.array([0]), np.array([value]))
-        walk.open = ((*key, 0), memory.values[0], int(memory.counts[0]), [])
-        found = walk.batch(rows)
-        _, values, count, _ = walk.open
-        state.update(([float(v) for v in values[len(values) - count:]], int(times.max())))
-        yield found[found["timestamp"].notna()][POINT_COLUMNS]
+        walk.accepted[tuple(key)] = [float(v) for v in remembered]
+        for rows in _in_order(batches):
+            times = rows["timestamp"].astype("datetime64[us]").astype("int64")
+            later = ~times.duplicated() & (True if last is None else times > last)
+            rows = rows[later]
+            if rows.empty:
+                continue
+            last = int(times[later].max())
+            yield walk.batch(rows)[POINT_COLUMNS]
+        if last is not None:
+            state.update((walk.accepted[tuple(key)], last))
     return step
 
 
+def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of a key's trigger by time. Only times and values are held, sixteen bytes a row, and cut up again."""
+    parts = [b[[*SERIES, "timestamp", "value"]] for b in batches]
+    keys = parts[0].iloc[0][SERIES].to_dict()
+    times = np.concatenate([p["timestamp"].to_numpy() for p in parts])
+    values = np.concatenate([p["value"].to_numpy() for p in parts])
+    del parts
+    order = times.argsort(kind="stable")
+    for at in range(0, len(order), CUT_ROWS):
+        some = order[at: at + CUT_ROWS]
+        yield pd.DataFrame({**{c: [v] * len(some) for c, v in keys.items()}, "timestamp": times[some], "value": values[some]})
+
+
 def detect_stream(series: DataFrame, settings: DetectorSettings | None = None) -> DataFrame:
     """Anomaly points of a streaming series table (incident, service, metric, timestamp, value)."""
     settings = settings or DetectorSettings()

@@ -111,19 +111,70 @@ def long_values(n=600):
 
 
 @pytest.mark.parametrize("exclude", [True, False])
-def test_blocks_agree_with_one_walk(spark, exclude):
+def test_one_walk_agrees_with_brute_force(spark, exclude):
     settings = DetectorSettings(exclude_flagged=exclude)
     values = long_values()
     table = series(spark, values, "cpu_usage", every=60)
     expected = [minute(i * 60) for i in brute_force(values, settings, settings.rules["cpu_usage"])]
-    for block_days in (1, 3, 400):
-        found = collect(flag_with_feedback(table, settings, block_days), "timestamp")
-        assert [p["timestamp"] for p in found] == expected, block_days
+    found = collect(flag_with_feedback(table, settings), "timestamp")
+    assert [p["timestamp"] for p in found] == expected
     if not exclude:
         native = collect(flag_without_feedback(table, settings, rows_per_block=128), "timestamp")
         assert [p["timestamp"] for p in native] == expected
 
 
+def test_walks_of_one_and_of_many_series_agree():
+    """Plain numbers and numpy steps give the same points, also where a batch cuts a series."""
+    import pandas as pd
+
+    from pyrewatch.operators import detector
+
+    rng = np.random.default_rng(7)
+    series_values = {("INC-1", f"s{k}", metric): np.roll(long_values(200), 9 * k) + rng.normal(0, 1, 200)
+                     for k in range(5) for metric in ("cpu_usage", "latency_ms", "error_rate")}
+    rows = pd.DataFrame([(*key, minute(i), float(v[i])) for i in range(200) for key, v in series_values.items()],
+                        columns=["incident_id", "service", "metric_name", "timestamp", "value"])
+    for settings in (DetectorSettings(), DetectorSettings(lag=0), DetectorSettings(exclude_flagged=False)):
+        found = []
+        for least in (1, 10_000):
+            walk = detector.Walk(settings)
+            detector.TOGETHER, before = least, detector.TOGETHER
+            parts = [walk.batch(rows[a: a + 700].reset_index(drop=True)) for a in range(0, len(rows), 700)]
+            detector.TOGETHER = before
+            found.append(pd.concat(parts).sort_values(["timestamp", "service", "metric_name"], ignore_index=True))
+        assert len(found[0]) > 20
+        for column in found[0].columns:
+            a, b = found[0][column].tolist(), found[1][column].tolist()
+            if column in ("baseline_mean", "baseline_std", "z_score", "deviation"):
+                a, b = ([None if x is None else round(x, 8) for x in part] for part in (a, b))
+            assert a == b, column
+
+
+def test_a_lasting_step_takes_one_pass(spark):
+    """A level shift that never ends: one shuffle, no job before the result is used, microseconds a row."""
+    import time
+
+    from pyrewatch.operators.detector import Walk
+
+    values = np.concatenate([np.random.default_rng(2).normal(50, 1, 3000), np.random.default_rng(3).normal(90, 1, 40_000)])
+    tracker = spark.sparkContext.statusTracker()
+    table = series(spark, values[:4000], "cpu_usage")
+    spark.sparkContext.setJobGroup("step", "step")
+    found = flag_with_feedback(table)
+    assert not tracker.getJobIdsForGroup("step")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    settings = DetectorSettings()
+    assert found.count() == len(brute_force(values[:4000], settings, settings.rules["cpu_usage"]))
+    import pandas as pd
+
+    rows = pd.DataFrame({"incident_id": "I", "service": "s", "metric_name": "cpu_usage",
+                         "timestamp": pd.date_range("2024-01-01", periods=len(values), freq="min"), "value": values})
+    walk, start = Walk(settings), time.process_time()
+    for at in range(0, len(rows), 10_000):
+        walk.batch(rows[at: at + 10_000].reset_index(drop=True))
+    assert (time.process_time() - start) / len(rows) < 40e-6
+
+
 def test_later_rows_change_nothing_earlier(spark):
     values = long_values()
     whole = flag_with_feedback(series(spark, values)).where(F.col("timestamp") < minute(250))
