@@ -23,6 +23,7 @@ CAUSAL_PHRASES = (
     " triggered ", " resulting from ",
 )
 TIMEOUT_WORDS = r"(?i)timed out|timeout|deadline exceeded"
+# Keyword families counted in log lines.
 KEYWORDS = {
     "timeout / timed out / deadline": TIMEOUT_WORDS,
     "'Database connection timeout'": r"Database connection timeout",
@@ -33,10 +34,12 @@ KEYWORDS = {
     "circuit breaker / ejecting": r"(?i)circuit|ejecting",
     "retry": r"(?i)retry|retrying",
 }
+# Words looked for in titles and descriptions.
 DESCRIPTION_WORDS = (
     "pool", "connection", "memory", "leak", "heap", "oom", "garbage", "downstream", "provider", "network",
     "dependency", "timing out", "timeout",
 )
+# Fixed value: the time of a postmortem step.
 RELATIVE_TIME = r"^[-+]?\d{2}[mh]"
 # A run of five or more hex characters holding a digit, written without lookahead.
 HEX_RUN = (
@@ -48,9 +51,14 @@ NUMBER_RUN = r"[0-9]+(\.[0-9]+)?"
 WHITESPACE = r"[\s\x0B\x1c-\x1f\x{85}\p{Z}]+"
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, f"^{WHITESPACE}|{WHITESPACE}$", "")
+
+
 def normalize_level(raw: Column) -> Column:
     """INFO, WARN or ERROR in any case and padding; null for every other level."""
-    upper = F.upper(F.trim(raw))
+    upper = F.upper(stripped(raw))
     level = F.when(upper == "WARNING", "WARN").otherwise(upper)
     return F.when(level.isin(*LEVELS), level)
 
@@ -84,7 +92,7 @@ def has_causal_phrase(text: Column) -> Column:
 
 def non_blank(text: Column) -> Column:
     """Trimmed text, or null when it is blank."""
-    trimmed = F.trim(text)
+    trimmed = stripped(text)
     return F.when(trimmed != "", trimmed)
 
 

@@ -149,8 +149,8 @@ def notable_onsets(points: DataFrame, incidents: DataFrame, windows: DataFrame)
 
 def with_ids(items: DataFrame, prefix: str, order: list[str]) -> DataFrame:
     """Number the items of each incident in ``order``: ``PREFIX-000001`` and on."""
-    day = day_of(F.col(order[0]))
-    numbered = with_row_number(items, ["incident_id"], day, order, "_number")
+    # An incident lasts hours, so its items are numbered minute by minute.
+    numbered = with_row_number(items, ["incident_id"], step_of(F.col(order[0]), 1), order, "_number")
     digits = F.lpad(F.col("_number").cast("string"), 6, "0")
     digits = F.when(F.col("_number") > 999_999, F.col("_number").cast("string")).otherwise(digits)
     return numbered.withColumn("evidence_id", F.concat(F.lit(f"{prefix}-"), digits)).drop("_number")
@@ -291,7 +291,7 @@ def timeline(evidence: DataFrame) -> DataFrame:
     """Timeline rows with their place in the incident."""
     events = evidence.withColumn("title", title()).withColumn("_rank", source_rank(F.col("source_type")))
     order = ["timestamp", "_rank", "service", "evidence_id"]
-    return with_row_number(events, ["incident_id"], day_of(F.col("timestamp")), order, "position").select(
+    return with_row_number(events, ["incident_id"], step_of(F.col("timestamp"), 1), order, "position").select(
         "incident_id", "position", "timestamp", "title", F.col("summary").alias("description"), "service",
         "source_type", "evidence_id", "severity",
     )

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pyrewatch.functions.times import minutes_between
@@ -151,63 +155,71 @@ SIGNATURE_CHECKS = ["sustained errors", "saturated pool", "no visible impact", "
                     "memory does not grow", "memory jumps", "downstream latency flat", "local memory moves"]
 
 
+# The published patterns of each scenario as (name, tests); a test is a measure, a relation and a limit,
+# which is a number or another measure.
+SCENARIO_PATTERNS = {
+    "DB_CONNECTION_POOL_EXHAUSTION": (
+        ("db util baseline <= 75% and peak >= 90%", ("base_db_connection_utilization", "<=", 75), ("peak_db_connection_utilization", ">=", 90)),
+        ("latency peak >= 2x baseline", ("latency_ratio", ">=", 2)),
+        ("error rate rises >= 1 pp", ("error_delta", ">=", 1)),
+        ("timeout-related WARN/ERROR rate higher than baseline", ("timeout_per_min_incident", ">", "timeout_per_min_baseline")),
+        ("CPU ratio smaller than DB-util ratio and latency ratio", ("cpu_ratio", "<", "db_ratio"), ("cpu_ratio", "<", "latency_ratio")),
+        ("CPU peak/baseline >= 2 (CPU strongly elevated)", ("cpu_ratio", ">=", 2)),
+        ("memory change within +/-5 pp", ("memory_change", "<=", 5), ("memory_change", ">=", -5)),
+    ),
+    "MEMORY_LEAK": (
+        ("memory rises >= 15 pp", ("mem_rise", ">=", 15)),
+        ("leak phase linear-fit R^2 >= 0.9 (gradual trend)", ("linear_r2", ">=", 0.9)),
+        ("largest 1-min step < 10% of total rise (no single jump)", ("max_step_share", "<", 0.1)),
+        ("latency peak >= 1.5x baseline", ("latency_ratio", ">=", 1.5)),
+        ("Spearman(memory, latency) >= 0.5 during fault..end", ("spearman", ">=", 0.5)),
+        ("error rate rises >= 1 pp", ("error_delta", ">=", 1)),
+        ("error onset after memory onset", ("onset_error", ">", "onset_primary")),
+        ("db util peak < 60%", ("peak_db_connection_utilization", "<", 60)),
+    ),
+    "DOWNSTREAM_SERVICE_TIMEOUT": (
+        ("reported service downstream p95 >= 2.5x baseline", ("reported_ds_ratio", ">=", 2.5)),
+        ("timeout-related WARN/ERROR rate higher than baseline", ("timeout_per_min_incident", ">", "timeout_per_min_baseline")),
+        ("reported service error rate rises >= 1 pp", ("reported_error_delta", ">=", 1)),
+        ("focus CPU peak/baseline < 1.3", ("cpu_ratio", "<", 1.3)),
+        ("focus memory change < 5 pp", ("memory_change", "<", 5)),
+        ("focus db util peak < 90% (no pool saturation)", ("db_peak_or_none", "<", 90)),
+    ),
+    "NORMAL": (
+        ("no service with error rate > 2% for >= 1 min", ("longest_error_run", "=", 0)),
+        ("no DB utilization >= 90%", ("max_db_util", "<", 90)),
+        ("WARN logs present", ("warn_logs", ">", 0)),
+        ("latency fluctuates (CV > 0.05 on alerting service)", ("latency_cv", ">", 0.05)),
+    ),
+}
+_RELATIONS = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "=": operator.eq}
+
+
+def _holds(tests: Iterable[tuple]) -> Column:
+    """Whether all tests of a pattern hold; an unknown measure fails."""
+    each = [_RELATIONS[relation](F.col(measure), F.col(limit) if isinstance(limit, str) else F.lit(limit))
+            for measure, relation, limit in tests]
+    return F.coalesce(reduce(operator.and_, each), F.lit(False))
+
+
 def scenario_checks(measured: DataFrame, cases: DataFrame, rates: DataFrame, shapes: DataFrame, correlation: DataFrame,
                     onset: DataFrame, normals: DataFrame) -> DataFrame:
-    """How many cases of a scenario show each stated pattern, as ``k/n``."""
+    """How many cases of a scenario show each published pattern, as ``k/n``."""
     wide = onset.groupBy("incident_id").pivot("signal", ["primary", "latency", "error"]).agg(F.first("onset"))
     wide = wide.withColumnsRenamed({s: f"onset_{s}" for s in ("primary", "latency", "error")})
     rows = cases.select("incident_id", "scenario")
     for side in (measured, rates, shapes, correlation, wide):
         rows = rows.join(side, "incident_id", "left")
-    rows = rows.join(normals.drop("warn_logs", "error_logs", "warn_per_min"), "incident_id", "left")
-    c = F.col
-    db, leak, downstream = FAILURES
-    more_timeouts = c("timeout_per_min_incident") > c("timeout_per_min_baseline")
-    memory_move = c("peak_memory_usage") - c("base_memory_usage")
-    db_peak = c("peak_db_connection_utilization")
-    patterns = {
-        db: {
-            "utilization from <= 75% to >= 90%": (c("base_db_connection_utilization") <= 75) & (db_peak >= 90),
-            "latency at least doubles": c("latency_ratio") >= 2,
-            "errors rise by >= 1": c("error_delta") >= 1,
-            "more timeout lines": more_timeouts,
-            "CPU grows less than pool and latency": (c("cpu_ratio") < c("db_ratio")) & (c("cpu_ratio") < c("latency_ratio")),
-            "CPU at least doubles": c("cpu_ratio") >= 2,
-            "memory within 5": F.abs(memory_move) <= 5,
-        },
-        leak: {
-            "memory rises by >= 15": c("mem_rise") >= 15,
-            "linear fit >= 0.9": c("linear_r2") >= 0.9,
-            "no step of 10% of the rise": c("max_step_share") < 0.1,
-            "latency grows by half": c("latency_ratio") >= 1.5,
-            "memory and latency correlate >= 0.5": c("spearman") >= 0.5,
-            "errors rise by >= 1": c("error_delta") >= 1,
-            "errors after memory": c("onset_error") > c("onset_primary"),
-            "utilization below 60": db_peak < 60,
-        },
-        downstream: {
-            "downstream latency >= 2.5 times": c("reported_ds_ratio") >= 2.5,
-            "more timeout lines": more_timeouts,
-            "errors rise by >= 1": c("reported_error_delta") >= 1,
-            "CPU below 1.3 times": c("cpu_ratio") < 1.3,
-            "memory moves by < 5": memory_move < 5,
-            "utilization below 90": F.coalesce(db_peak, F.lit(0.0)) < 90,
-        },
-        "NORMAL": {
-            "no error run above 2%": c("longest_error_run") == 0,
-            "utilization below 90": c("max_db_util") < 90,
-            "WARN lines present": c("warn_logs") > 0,
-            "latency varies": c("latency_cv") > 0.05,
-        },
-    }
+    rows = rows.join(normals.drop("warn_logs", "error_logs", "warn_per_min"), "incident_id", "left").withColumns({
+        "memory_change": F.col("peak_memory_usage") - F.col("base_memory_usage"),
+        "db_peak_or_none": F.coalesce("peak_db_connection_utilization", F.lit(0.0))})
     hits = F.lit(None).cast("array<struct<pattern:string,hit:boolean>>")
-    for scenario, tests in patterns.items():
-        pairs = F.array(*[F.struct(F.lit(name).alias("pattern"), F.coalesce(test, F.lit(False)).alias("hit"))
-                          for name, test in tests.items()])
-        hits = F.when(c("scenario") == scenario, pairs).otherwise(hits)
+    for scenario, patterns in SCENARIO_PATTERNS.items():
+        pairs = F.array(*[F.struct(F.lit(name).alias("pattern"), _holds(tests).alias("hit")) for name, *tests in patterns])
+        hits = F.when(F.col("scenario") == scenario, pairs).otherwise(hits)
     counts = rows.select("scenario", F.explode(hits).alias("h")).groupBy("scenario", "h.pattern").agg(
         F.count_if("h.hit").alias("k"), F.count("*").alias("n"))
-    names = [(scenario, name) for scenario, tests in patterns.items() for name in tests]
+    names = [(scenario, name) for scenario, patterns in SCENARIO_PATTERNS.items() for name, *_ in patterns]
     listed = cases.sparkSession.createDataFrame(names, "scenario string, pattern string")
     share = F.concat_ws("/", F.coalesce("k", F.lit(0)).cast("string"), F.coalesce("n", F.lit(0)).cast("string"))
     return listed.join(counts, ["scenario", "pattern"], "left").select("scenario", "pattern", share.alias("share"))

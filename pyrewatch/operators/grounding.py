@@ -6,13 +6,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pyrewatch.functions.text import stripped
 from pyrewatch.schemas import INSUFFICIENT, RESULT
 
 _IDS = "array<string>"
 
 
 def _ids(column: Column) -> Column:
-    return F.transform(F.coalesce(column, F.array().cast(_IDS)), lambda e: F.trim(e))
+    return F.transform(F.coalesce(column, F.array().cast(_IDS)), stripped)
 
 
 def _concluded() -> Column:
@@ -28,7 +29,7 @@ def citations(results: DataFrame) -> DataFrame:
         return F.concat(_ids(h["supporting_evidence_ids"]), _ids(h["contradicting_evidence_ids"]))
 
     def listed(name: str) -> Column:
-        items = F.transform(F.coalesce(F.col(name), F.array().cast(RESULT[name].dataType)), lambda x: F.trim(x["evidence_id"]))
+        items = F.transform(F.coalesce(F.col(name), F.array().cast(RESULT[name].dataType)), lambda x: stripped(x["evidence_id"]))
         return entries(F.lit(name), items)
 
     alternatives = F.flatten(F.transform("alternative_causes", lambda h, i: entries(
@@ -114,7 +115,7 @@ def canonical_references(results: DataFrame, pack: DataFrame) -> DataFrame:
         return df.select("incident_id", F.lit(role).alias("role"), F.posexplode(ids).alias("position", "evidence_id"))
 
     wanted = rows(lists, "supporting", "supporting").unionByName(rows(lists, "contradicting", "contradicting")).unionByName(
-        rows(results, "timeline", "timeline.evidence_id").withColumn("evidence_id", F.trim("evidence_id")))
+        rows(results, "timeline", "timeline.evidence_id").withColumn("evidence_id", stripped(F.col("evidence_id"))))
     return wanted.join(supplied, ["incident_id", "evidence_id"], "left")
 
 

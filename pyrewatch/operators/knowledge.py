@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pyrewatch import schemas as S
-from pyrewatch.functions.text import LABEL_LEAK, RELATIVE_TIME
+from pyrewatch.functions.text import LABEL_LEAK, RELATIVE_TIME, stripped
 from pyrewatch.operators.quality import flagged, problems, union
 
 # Chunk sizes in characters.
@@ -15,10 +15,6 @@ _STRINGS = "array<string>"
 _PIECE = "struct<section:string,body:string>"
 
 
-def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-
-
 def _bullets(head: str, items: Column) -> Column:
     lines = F.transform(F.coalesce(items, F.array().cast(_STRINGS)), lambda x: F.concat(F.lit("- "), x))
     return F.concat(F.array(F.lit(head)), lines)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from pyrewatch.functions.text import DESCRIPTION_WORDS, KEYWORDS, template_of
 from pyrewatch.schemas import FAILURES, METRICS
+from pyrewatch.session import cut_lineage
 
 
 def incident_templates(logs: DataFrame, levels: tuple[str, ...] = ("WARN", "ERROR")) -> DataFrame:
@@ -50,47 +53,61 @@ def template_totals(logs: DataFrame, labels: DataFrame) -> DataFrame:
     return coverage.join(distinct, "scenario", "left").na.fill(0, ["unique_error_templates"])
 
 
-def _pair_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Jaccard figures of all incident pairs of one block pair; only three numbers leave the task."""
-    low, high = int(pdf["_low"].iat[0]), int(pdf["_high"].iat[0])
-    template, _ = pd.factorize(pdf["template"])
-    incident, _ = pd.factorize(pdf["incident_id"])
-    block = np.zeros(incident.max() + 1, dtype=np.int64)
-    block[incident] = pdf["_block"].to_numpy()
-    sizes = np.bincount(incident)
-    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-    shared = np.zeros((len(left), len(right)), dtype=np.float32)
-    order = np.argsort(template, kind="stable")
-    template, incident = template[order], incident[order]
-    for start in range(0, int(template.max()) + 1, 4096):
-        a, b = np.searchsorted(template, [start, start + 4096])
-        bits = np.zeros((len(sizes), 4096), dtype=np.float32)
-        bits[incident[a:b], template[a:b] - start] = 1
-        shared += bits[left] @ bits[right].T
-    score = shared / (sizes[left][:, None] + sizes[right][None, :] - shared)
-    if low == high:
-        score = score[np.triu_indices(len(left), 1)]
-    return pd.DataFrame({
-        "scenario": [pdf["scenario"].iat[0]], "_sum": [float(score.sum(dtype=np.float64))],
-        "_max": [float(score.max()) if score.size else 0.0], "_pairs": [int(score.size)]})
-
-
-def template_similarity(logs: DataFrame, labels: DataFrame, block_size: int = 256) -> DataFrame:
+def _bits(sets: list, columns: dict) -> np.ndarray:
+    """One row per set over the numbered templates; others are left out."""
+    out = np.zeros((len(sets), max(1, len(columns))), dtype=np.float32)
+    for row, templates in enumerate(sets):
+        at = [columns[t] for t in templates if t in columns]
+        out[row, at] = 1
+    return out
+
+
+def _against(block: pd.DataFrame, width: int = 4096, rows: int = 1024):
+    """Jaccard figures of the sets of a partition against a block of sets; only three numbers per batch leave the task."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for scenario, own in batch.groupby("scenario"):
+                other = block[block["scenario"] == scenario]
+                for at in range(0, len(own) if len(other) else 0, rows):
+                    yield _figures(scenario, own.iloc[at:at + rows], other, width)
+    return run
+
+
+def _figures(scenario: str, own: pd.DataFrame, other: pd.DataFrame, width: int) -> pd.DataFrame:
+    left, right = own["templates"].tolist(), other["templates"].tolist()
+    names = sorted({t for s in right for t in s})
+    shared = np.zeros((len(left), len(right)))
+    for at in range(0, len(names), width):
+        columns = {t: i for i, t in enumerate(names[at:at + width])}
+        shared += _bits(left, columns) @ _bits(right, columns).T
+    sizes = [np.array([len(s) for s in side]) for side in (left, right)]
+    score = shared / (sizes[0][:, None] + sizes[1][None, :] - shared)
+    # Each pair of different sets counts once, as often as its incidents pair up; equal sets pair among themselves.
+    a, b = own["sig"].to_numpy()[:, None], other["sig"].to_numpy()[None, :]
+    m, n = own["cases"].to_numpy(dtype=float)[:, None], other["cases"].to_numpy(dtype=float)[None, :]
+    pairs = np.where(a < b, m * n, np.where(a == b, m * (m - 1) / 2, 0.0))
+    score = np.where(a == b, 1.0, score)
+    return pd.DataFrame({"scenario": [scenario], "_sum": [float((score * pairs).sum())],
+                         "_max": [float(score[pairs > 0].max()) if (pairs > 0).any() else 0.0], "_pairs": [int(pairs.sum())]})
+
+
+def template_similarity(logs: DataFrame, labels: DataFrame, block_sets: int = 8192) -> DataFrame:
     """Mean and largest Jaccard similarity of the ERROR template sets of two cases of one failure scenario.
 
-    Pairs without a common template count as 0. Cases are cut into blocks, and a task handles one pair of
-    blocks as a matrix product, so no pair is ever a row and a template shared by all cases costs nothing extra.
+    Pairs without a common template count as 0. Cases with equal sets are one row with a count. Sets stay where they
+    are: a block of at most ``block_sets`` of them goes to all tasks and is one pass over the others as a product of
+    bit columns, so no pair is ever a row and no set is copied.
     """
     chosen = labels.where(F.col("scenario").isin(*FAILURES)).select("incident_id", "scenario")
     rows = incident_templates(logs, ("ERROR",)).join(chosen, "incident_id")
-    blocks = max(1, ceil(chosen.count() / block_size))
-    own = F.pmod(F.xxhash64("incident_id"), F.lit(blocks)).cast("int")
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    spread = rows.withColumn("_block", own).withColumn("_other", F.explode(others)).withColumns({
-        "_low": F.least("_block", "_other"), "_high": F.greatest("_block", "_other")})
-    parts = spread.groupBy("scenario", "_low", "_high").applyInPandas(
-        _pair_block, "scenario string, _sum double, _max double, _pairs long")
-    return parts.groupBy("scenario").agg(
+    per_case = rows.groupBy("scenario", "incident_id").agg(F.sort_array(F.collect_set(F.xxhash64("template"))).alias("templates"))
+    sets = cut_lineage(per_case.withColumn("sig", F.xxhash64("templates")).groupBy("scenario", "sig").agg(
+        F.count("*").alias("cases"), F.first("templates").alias("templates")))
+    blocks = max(1, ceil(sets.count() / block_sets))
+    schema = "scenario string, _sum double, _max double, _pairs long"
+    parts = [sets.mapInPandas(_against(sets.where(F.pmod("sig", F.lit(blocks)) == block).toPandas()), schema)
+             for block in range(blocks)]
+    return reduce(DataFrame.unionByName, parts).groupBy("scenario").agg(
         F.try_divide(F.sum("_sum"), F.sum("_pairs")).alias("mean_similarity"), F.max("_max").alias("max_similarity"),
         F.sum("_pairs").alias("pairs"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pyrewatch.functions.times import day_of
+from pyrewatch.functions.times import step_of
 from pyrewatch.operators.correlate import source_rank, title
 from pyrewatch.operators.ordered import with_row_number
 
@@ -45,7 +45,7 @@ def with_boundaries(evidence: DataFrame, incidents: DataFrame) -> DataFrame:
     )
     rows = items.unionByName(edges)
     order = ["timestamp", "_side", "_rank", "service", "id"]
-    return with_row_number(rows, ["incident_id"], day_of(F.col("timestamp")), order, "position").drop(
+    return with_row_number(rows, ["incident_id"], step_of(F.col("timestamp"), 1), order, "position").drop(
         "_side", "_rank", "service")
 
 

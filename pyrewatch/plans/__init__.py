@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("detection", "correlation", "ingest", "profile", "retrieve", "grounded")
+_MODULES = ("detection", "correlation", "ingest", "profile", "retrieve", "grounded", "files")
 
 
 def load_queries():

@@ -179,5 +179,12 @@ def sql(body: str, reads: str = "") -> str:
         visit(name)
     if not ordered:
         return body
-    clause = ",\n".join(f"{name} AS ({BLOCKS[name][1]})" for name in ordered)
+    readers = [r for name in ordered for r in BLOCKS[name][0].split()] + reads.split()
+
+    def kind(name: str) -> str:
+        """A block that several read is computed once; a recursive one always is."""
+        again = readers.count(name) > 1 and f"FROM {name} " not in BLOCKS[name][1]
+        return "AS MATERIALIZED" if again else "AS"
+
+    clause = ",\n".join(f"{name} {kind(name)} ({BLOCKS[name][1]})" for name in ordered)
     return f"WITH RECURSIVE {clause}\n{body}"

@@ -168,7 +168,7 @@ def _(spark, sf):
 
 
 @query("grounding_violations", "I4", sql("""
-SELECT incident_id, 'unknown incident' AS violation FROM reported WHERE o NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey < 1000)
+SELECT incident_id, 'unknown incident' AS violation FROM reported WHERE o NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 10 > 0)
 UNION ALL SELECT DISTINCT incident_id, place || ' cites ' || evidence_id FROM report_citations c WHERE NOT EXISTS (
   SELECT 1 FROM supplied s WHERE s.incident_id = c.incident_id AND s.evidence_id = c.evidence_id)
 UNION ALL SELECT incident_id, 'alternative without support' FROM reported WHERE concluded AND alternative = 0
@@ -177,7 +177,8 @@ UNION ALL SELECT 'INC-' || o, 'similar incident ' || e || ' was not retrieved' F
   AND o IN (SELECT o_orderkey FROM orders) AND NOT EXISTS (SELECT 1 FROM supplied s WHERE s.incident_id = 'INC-' || o
   AND s.evidence_id = e AND source_type = 'HISTORICAL_INCIDENT')""", "reported report_citations supplied cited_items"))
 def _(spark, sf):
-    known = t.read(spark, sf, "orders").where("o_custkey < 1000").select(F.concat(F.lit("INC-"), "o_orderkey").alias("incident_id"))
+    # Reports on the orders of every tenth customer name no known incident; items of large quantity were not supplied.
+    known = t.read(spark, sf, "orders").where("o_custkey % 10 > 0").select(F.concat(F.lit("INC-"), "o_orderkey").alias("incident_id"))
     return g.grounding_violations(reports(spark, sf), supplied(spark, sf), known)
 
 

@@ -42,7 +42,8 @@ def _(spark, sf):
 
 
 @query("accepted_logs", "A3", sql("""
-SELECT path, seq, l.timestamp, incident_id, service, host, level, logger, message, trace_id, event_type
+SELECT path, (dense_rank() OVER (PARTITION BY incident_id ORDER BY path) - 1) * 1099511627776 + seq AS seq, l.timestamp,
+  incident_id, service, host, level, logger, message, trace_id, event_type
 FROM logs l JOIN line_issues i ON i.line_no = l.seq
 WHERE path NOT IN (SELECT path FROM line_issues WHERE reason IS NOT NULL)""", "logs line_issues"))
 def _(spark, sf):

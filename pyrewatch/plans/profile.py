@@ -574,25 +574,25 @@ def checks(spark, sf):
 
 _PATTERNS = {
     FAILURES[0]: {
-        "utilization from <= 75% to >= 90%": "base_db_connection_utilization <= 75 AND peak_db_connection_utilization >= 90",
-        "latency at least doubles": "latency_ratio >= 2", "errors rise by >= 1": "error_delta >= 1",
-        "more timeout lines": "timeout_per_min_incident > timeout_per_min_baseline",
-        "CPU grows less than pool and latency": "cpu_ratio < db_ratio AND cpu_ratio < latency_ratio",
-        "CPU at least doubles": "cpu_ratio >= 2", "memory within 5": "abs(peak_memory_usage - base_memory_usage) <= 5"},
+        "db util baseline <= 75% and peak >= 90%": "base_db_connection_utilization <= 75 AND peak_db_connection_utilization >= 90",
+        "latency peak >= 2x baseline": "latency_ratio >= 2", "error rate rises >= 1 pp": "error_delta >= 1",
+        "timeout-related WARN/ERROR rate higher than baseline": "timeout_per_min_incident > timeout_per_min_baseline",
+        "CPU ratio smaller than DB-util ratio and latency ratio": "cpu_ratio < db_ratio AND cpu_ratio < latency_ratio",
+        "CPU peak/baseline >= 2 (CPU strongly elevated)": "cpu_ratio >= 2", "memory change within +/-5 pp": "abs(peak_memory_usage - base_memory_usage) <= 5"},
     FAILURES[1]: {
-        "memory rises by >= 15": "mem_rise >= 15", "linear fit >= 0.9": "linear_r2 >= 0.9",
-        "no step of 10% of the rise": "max_step_share < 0.1", "latency grows by half": "latency_ratio >= 1.5",
-        "memory and latency correlate >= 0.5": "spearman >= 0.5", "errors rise by >= 1": "error_delta >= 1",
-        "errors after memory": "onset_error > onset_primary", "utilization below 60": "peak_db_connection_utilization < 60"},
+        "memory rises >= 15 pp": "mem_rise >= 15", "leak phase linear-fit R^2 >= 0.9 (gradual trend)": "linear_r2 >= 0.9",
+        "largest 1-min step < 10% of total rise (no single jump)": "max_step_share < 0.1", "latency peak >= 1.5x baseline": "latency_ratio >= 1.5",
+        "Spearman(memory, latency) >= 0.5 during fault..end": "spearman >= 0.5", "error rate rises >= 1 pp": "error_delta >= 1",
+        "error onset after memory onset": "onset_error > onset_primary", "db util peak < 60%": "peak_db_connection_utilization < 60"},
     FAILURES[2]: {
-        "downstream latency >= 2.5 times": "reported_ds_ratio >= 2.5",
-        "more timeout lines": "timeout_per_min_incident > timeout_per_min_baseline",
-        "errors rise by >= 1": "reported_error_delta >= 1", "CPU below 1.3 times": "cpu_ratio < 1.3",
-        "memory moves by < 5": "peak_memory_usage - base_memory_usage < 5",
-        "utilization below 90": "coalesce(peak_db_connection_utilization, 0) < 90"},
+        "reported service downstream p95 >= 2.5x baseline": "reported_ds_ratio >= 2.5",
+        "timeout-related WARN/ERROR rate higher than baseline": "timeout_per_min_incident > timeout_per_min_baseline",
+        "reported service error rate rises >= 1 pp": "reported_error_delta >= 1", "focus CPU peak/baseline < 1.3": "cpu_ratio < 1.3",
+        "focus memory change < 5 pp": "peak_memory_usage - base_memory_usage < 5",
+        "focus db util peak < 90% (no pool saturation)": "coalesce(peak_db_connection_utilization, 0) < 90"},
     "NORMAL": {
-        "no error run above 2%": "longest_error_run = 0", "utilization below 90": "max_db_util < 90",
-        "WARN lines present": "warn_logs > 0", "latency varies": "latency_cv > 0.05"},
+        "no service with error rate > 2% for >= 1 min": "longest_error_run = 0", "no DB utilization >= 90%": "max_db_util < 90",
+        "WARN logs present": "warn_logs > 0", "latency fluctuates (CV > 0.05 on alerting service)": "latency_cv > 0.05"},
 }
 block("all_features", "cases signals log_rates shapes spearman signal_onsets normals", """
 SELECT c.scenario, s.*, r.* EXCLUDE (incident_id), h.* EXCLUDE (incident_id), p.spearman,

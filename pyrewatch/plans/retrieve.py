@@ -96,19 +96,23 @@ def postmortem_files(spark, sf):
     d, lines = F.col("doc_id"), F.col("_l")
     identity = F.concat(F.lit("HIST-"), "doc_id")
     cause = F.element_at(F.array(*[F.lit(x) for x in _CAUSES]), (d % 4 + 1).cast("int"))
-    step = F.transform(F.slice(lines, 4, 3), lambda x, i: F.struct(
+    def part(k: int):
+        """Every sixth line, so that all lines of a text belong to one list."""
+        return F.filter(lines, lambda x, i: i % 6 == k)
+
+    step = F.transform(part(2), lambda x, i: F.struct(
         F.when(d % 11 == 0, "now").otherwise(F.concat(F.lit("+0"), i.cast("string"), F.lit("m"))).alias("relative_time"),
-        F.substring(x, 1, 80).alias("event")))
+        x.alias("event")))
     record = F.struct(
         F.when(d % 13 == 0, "HIST-X").otherwise(identity).alias("incident_id"),
-        F.substring(F.get(lines, F.lit(0)), 1, 60).alias("title"), F.lit("2024-01-15T10:00:00").alias("occurred_at"),
+        F.get(lines, F.lit(0)).alias("title"), F.lit("2024-01-15T10:00:00").alias("occurred_at"),
         F.concat(F.lit("svc-"), (d % 6).cast("string")).alias("service"),
         F.when(F.col("quality") == 1, "HIGH").when(F.col("toxic") == 1, "SEV").otherwise("LOW").alias("severity"),
         (F.col("n_chars") % 90).alias("duration_minutes"), F.when(d % 5 > 0, cause).alias("root_cause"),
         F.when(d % 2 == 0, "svc-1").alias("root_cause_service"),
-        F.slice(lines, 1, 3).alias("symptoms"), F.slice(lines, 2, 4).alias("observed_signals"), step.alias("timeline"),
-        F.slice(lines, 5, 1).alias("contributing_factors"), F.slice(lines, 6, 2).alias("resolution"),
-        F.slice(lines, 7, 1).alias("lessons_learned"), F.array("lang", "source").alias("tags"),
+        part(0).alias("symptoms"), part(1).alias("observed_signals"), step.alias("timeline"),
+        part(3).alias("contributing_factors"), part(4).alias("resolution"),
+        part(5).alias("lessons_learned"), F.array("lang", "source").alias("tags"),
         F.when(d % 3 > 0, F.array("source")).otherwise(F.array().cast("array<string>")).alias("affected_services"))
     return rows.select(F.concat(identity, F.lit(".json")).alias("path"), identity.alias("stem"),
                        F.when(d % 17 == 0, "[]").otherwise(F.to_json(record)).alias("text"))
@@ -118,14 +122,18 @@ def postmortems(spark, sf):
     return docs.parse_postmortems(postmortem_files(spark, sf)).where(F.size("reasons") == 0)
 
 
+def _part(k: int) -> str:
+    return f"list_filter(l, lambda x, i: (i - 1) % 6 = {k})"
+
+
 _cause_list = "[" + ", ".join(literal(x) for x in _CAUSES) + "]"
 block("postmortems", "", f"""
-SELECT 'HIST-' || doc_id AS incident_id, l[1][1:60] AS title, '2024-01-15T10:00:00' AS occurred_at, 'svc-' || doc_id % 6 AS service,
+SELECT 'HIST-' || doc_id AS incident_id, l[1] AS title, '2024-01-15T10:00:00' AS occurred_at, 'svc-' || doc_id % 6 AS service,
   CASE WHEN quality = 1 THEN 'HIGH' WHEN toxic = 1 THEN 'SEV' ELSE 'LOW' END AS severity, n_chars % 90 AS duration_minutes,
   CASE WHEN doc_id % 5 > 0 THEN ({_cause_list})[doc_id % 4 + 1] END AS root_cause,
-  CASE WHEN doc_id % 2 = 0 THEN 'svc-1' END AS root_cause_service, l[1:3] AS symptoms, l[2:5] AS observed_signals,
-  list_transform(l[4:6], lambda x, i: CASE WHEN doc_id % 11 = 0 THEN 'now' ELSE '+0' || (i - 1) || 'm' END || ': ' || x[1:80]) AS timeline,
-  l[5:5] AS contributing_factors, l[6:7] AS resolution, l[7:7] AS lessons_learned, [lang, source] AS tags,
+  CASE WHEN doc_id % 2 = 0 THEN 'svc-1' END AS root_cause_service, {_part(0)} AS symptoms, {_part(1)} AS observed_signals,
+  list_transform({_part(2)}, lambda x, i: CASE WHEN doc_id % 11 = 0 THEN 'now' ELSE '+0' || (i - 1) || 'm' END || ': ' || x) AS timeline,
+  {_part(3)} AS contributing_factors, {_part(4)} AS resolution, {_part(5)} AS lessons_learned, [lang, source] AS tags,
   CASE WHEN doc_id % 3 > 0 THEN [source] ELSE [] END AS affected_services, doc_id
 FROM (SELECT d.*, quality, toxic, string_split(text, chr(10)) AS l FROM documents d JOIN labels g ON g.doc_id = d.doc_id)
 WHERE doc_id % 17 <> 0 AND doc_id % 13 <> 0""")

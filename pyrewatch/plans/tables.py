@@ -14,7 +14,6 @@ from pyrewatch.functions.times import minutes_between
 from pyrewatch.operators.detector import flag_with_feedback
 from pyrewatch.operators.series import long_series
 from pyrewatch.operators.windows import anomaly_windows
-from pyrewatch.session import spread
 from pyrewatch.sources.logs import typed_logs
 
 INCIDENT_ID = "concat('INC-', year(ts) * 10000 + month(ts) * 100 + day(ts))"
@@ -90,15 +89,21 @@ SELECT event_id AS seq, ts AS timestamp, incident_id, service, concat('host-', u
 FROM ({BASE}) base
 """
 
+
+def _percent(amount: str) -> str:
+    """An amount from 0 up as a share of 100, larger for larger amounts, with two digits."""
+    return f"floor(10000e0 * {amount} / (100e0 + {amount}) + 0.5e0) / 100e0"
+
+
 METRICS = f"""
 SELECT incident_id, service,
        day_start + (hour(ts) * 60 + minute(ts) - minute(ts) % 10) * INTERVAL '1' MINUTE AS timestamp,
-       least(100e0, min(value)) AS cpu_usage,
-       least(100e0, round(sum(value), 2) / 10) AS memory_usage,
+       {_percent("min(value)")} AS cpu_usage,
+       {_percent("(round(sum(value), 2) / 10)")} AS memory_usage,
        cast(count(*) AS double) AS request_rate,
        max(value) AS latency_ms,
        100e0 * sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) / count(*) AS error_rate,
-       max(CASE WHEN event_type = 'purchase' THEN least(100e0, value) END) AS db_connection_utilization,
+       {_percent("max(CASE WHEN event_type = 'purchase' THEN value END)")} AS db_connection_utilization,
        max(CASE WHEN event_type = 'view' THEN value END) AS downstream_latency_ms
 FROM ({BASE}) base
 GROUP BY incident_id, service, day_start + (hour(ts) * 60 + minute(ts) - minute(ts) % 10) * INTERVAL '1' MINUTE
@@ -159,7 +164,7 @@ def _spark(text: str) -> str:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:

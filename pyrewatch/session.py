@@ -41,6 +41,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _scratch[context.applicationId]
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have the file system remove ``path`` when the driver ends; a lazy result may read it until then."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -48,20 +54,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     table's real size when it picks a join.
     """
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid4().hex}"
+    delete_at_end(df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Give a scan with fewer partitions than cores one partition per core.
-
-    A large table has many file splits and passes unchanged. Only plain scans may be given: counting their
-    partitions runs no job.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def local_session(app: str = "pyrewatch", cpus: int | str | None = None) -> SparkSession:
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
     spark = (

@@ -6,16 +6,17 @@ rules of a line are reported. A file with any rejected line fails as a whole, as
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pyrewatch import schemas as S
 from pyrewatch.functions.evaluate import once
 from pyrewatch.functions.events import with_event_type
 from pyrewatch.functions.text import normalize_level
 from pyrewatch.functions.times import parse_iso
-from pyrewatch.session import cut_lineage
 from pyrewatch.sources.lines import files_without_rows, read_lines
 
+#: Bits of a line number in ``seq``.
+LINE_BITS = 40
 REQUIRED = ("service", "host", "logger", "message")
 
 
@@ -79,7 +80,11 @@ def rejects(checked: DataFrame) -> DataFrame:
 
 
 def valid_logs(checked: DataFrame) -> DataFrame:
-    """Typed rows of the files without a rejected line; ``seq`` keeps the file order for ties."""
+    """Typed rows of the files without a rejected line.
+
+    ``seq`` names a line of its incident: the place of its file among the incident's files, by path, in the upper bits
+    and the line number below. It keeps file order for ties and is the line number where an incident has one file.
+    """
     good = checked.where(F.size("reasons") == 0)
     bad_files = checked.where(F.size("reasons") > 0).select("path").distinct()
     record = F.col("record")
@@ -89,10 +94,15 @@ def valid_logs(checked: DataFrame) -> DataFrame:
         record["service"].alias("service"), record["host"].alias("host"), level.alias("level"),
         record["logger"].alias("logger"), record["message"].alias("message"), record["trace_id"].alias("trace_id"),
     )
+    # One row per incident and file.
+    place = F.row_number().over(Window.partitionBy("incident_id").orderBy("path")) - 1
+    files = rows.select("incident_id", "path").distinct().withColumn("_file", place)
+    rows = rows.join(files, ["incident_id", "path"]).withColumn(
+        "seq", F.shiftleft(F.col("_file").cast("long"), LINE_BITS) + F.col("seq")).drop("_file")
     return with_event_type(rows, F.col("message"), F.col("level"))
 
 
 def ingest_logs(lines: DataFrame, expected: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, rejects) of (path, line_no, line). Lines are parsed once; both results read the parsed table."""
-    checked = cut_lineage(check_log_lines(lines, expected))
+    """(valid rows, rejects) of (path, line_no, line). Nothing is stored: each result parses the lines it reads."""
+    checked = check_log_lines(lines, expected)
     return valid_logs(checked), rejects(checked)

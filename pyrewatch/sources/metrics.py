@@ -1,4 +1,7 @@
-"""Metric CSV files: read every cell as text, then check, type and de-duplicate."""
+"""Metric CSV files: read every cell as text, then check, type and de-duplicate.
+
+A row is one line. Cells may be quoted: a comma inside quotes belongs to the cell, and two quotes stand for one.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +9,31 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pyrewatch import schemas as S
 from pyrewatch.functions.evaluate import once
+from pyrewatch.functions.text import stripped
 from pyrewatch.functions.times import iso_text, parse_iso
-from pyrewatch.session import cut_lineage
 from pyrewatch.sources.lines import files_without_rows, read_lines
 
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 NOT_FINITE = r"(?i)^[+-]?(nan|inf|infinity)$"
 
 
+# A comma with an even number of quotes behind it.
+_BETWEEN_CELLS = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def csv_cells(line: Column) -> Column:
+    """The cells of a CSV line, without their quotes."""
+    def cell(text: Column) -> Column:
+        inner = F.replace(F.substring(text, 2, F.length(text) - 2), F.lit('""'), F.lit('"'))
+        return F.when((F.length(text) > 1) & text.startswith('"') & text.endswith('"'), inner).otherwise(text)
+    return F.transform(F.split(F.regexp_replace(line, r"\r$", ""), _BETWEEN_CELLS, -1), cell)
+
+
 def read_metric_cells(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(cells, file problems). Row 1 is the header; a file whose header is wrong yields no cells."""
     lines = read_lines(spark, path)
     wanted = F.array(*[F.lit(c) for c in S.METRIC_COLUMNS])
-    headers = lines.where(F.col("line_no") == 1).select("path", F.split("line", ",").alias("header")).withColumns({
+    headers = lines.where(F.col("line_no") == 1).select("path", csv_cells(F.col("line")).alias("header")).withColumns({
         "missing": F.array_except(wanted, "header"), "unexpected": F.array_except("header", wanted)})
     wrong = (F.size("missing") > 0) | (F.size("unexpected") > 0)
     body = lines.where(F.col("line_no") > 1)
@@ -34,8 +49,8 @@ def read_metric_cells(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     bare = headers.where(~wrong).join(body.select("path").distinct(), "path", "left_anti")
     problems = problem(headers.where(wrong), "header", note).unionByName(
         problem(bare, "file", F.lit("contains no metric rows")))
-    cells = body.join(headers.where(~wrong).select("path", "header"), "path").withColumn(
-        "_cells", F.map_from_arrays("header", F.transform("header", lambda name, i: F.get(F.split("line", ",", -1), i))))
+    cells = once(body, "_split", csv_cells(F.col("line"))).join(headers.where(~wrong).select("path", "header"), "path").withColumn(
+        "_cells", F.map_from_arrays("header", F.transform("header", lambda name, i: F.get("_split", i))))
     named = [F.col("_cells")[c].alias(c) for c in S.METRIC_COLUMNS]
     return cells.select("path", F.col("line_no").alias("row_no"), *named), problems
 
@@ -45,7 +60,7 @@ def files_without_metrics(expected: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def _number_problem(name: str) -> Column:
-    text = F.trim(F.col(name))
+    text = stripped(F.col(name))
     value = text.try_cast("double")
     top = 100.0 if name in S.PERCENT_METRICS else None
     blank = F.lit(None) if name in S.NULLABLE_METRICS else F.lit(f"{name}: blank but required")
@@ -71,7 +86,7 @@ def check_metric_cells(cells: DataFrame, expected: Column | None = None) -> Data
     if expected is not None:
         found.append(F.when(F.col("incident_id") != expected, F.concat(
             F.lit("row belongs to "), "incident_id", F.lit(", expected "), expected)))
-    typed = {name: F.trim(F.col(name)).try_cast("double") for name in S.METRICS}
+    typed = {name: stripped(F.col(name)).try_cast("double") for name in S.METRICS}
     checked = once(cells, "reasons", F.array_compact(F.array(*found))).withColumns({"at": at, **typed})
     # Aggregate first: copies of one row may be very many, and only the smallest row number is needed.
     firsts = checked.where(F.size("reasons") == 0).groupBy("path", "at", "service").agg(
@@ -97,6 +112,6 @@ def valid_metrics(checked: DataFrame) -> DataFrame:
 
 
 def ingest_metrics(cells: DataFrame, expected: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, rejects) of metric cells. Cells are checked once; both results read the checked table."""
-    checked = cut_lineage(check_metric_cells(cells, expected))
+    """(valid rows, rejects) of metric cells. Nothing is stored: each result checks the cells it reads."""
+    checked = check_metric_cells(cells, expected)
     return valid_metrics(checked), rejects(checked)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pyrewatch.operators.ordered import with_row_number
-from pyrewatch.session import cut_lineage
 
 
 def write_reports(report: DataFrame, path: str) -> None:
@@ -29,9 +30,33 @@ def write_summary(df: DataFrame, path: str, kind: str = "json") -> None:
     writer.option("header", True).csv(path) if kind == "csv" else writer.json(path)
 
 
-def replace_collection(collection: DataFrame, path: str) -> None:
-    """Compute the new rows first, then replace the old ones, so a failed run leaves the old collection."""
-    cut_lineage(collection).write.mode("overwrite").parquet(path)
+def replace_collection(collection: DataFrame, path: str) -> DataFrame:
+    """Write a collection (id, ...) as a new version and make it the one that readers get.
+
+    The rows go to a folder of their own. Only when they are complete one row (version, folder, documents, distinct ids)
+    is added to the table of versions, so a run that fails leaves readers with the version before. Returns that row.
+    """
+    spark = collection.sparkSession
+    folder = f"{path}/rows-{uuid4().hex}"
+    collection.write.parquet(folder)
+    row = spark.read.parquet(folder).agg(
+        F.lit(_last_version(spark, path) + 1).cast("long").alias("version"), F.lit(folder).alias("folder"),
+        F.count("*").alias("documents"), F.countDistinct("id").alias("ids"))
+    row.write.mode("append").parquet(f"{path}/versions")
+    return spark.read.parquet(f"{path}/versions").orderBy(F.desc("version")).limit(1)
+
+
+def _last_version(spark: SparkSession, path: str) -> int:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return 0
+    return spark.read.parquet(f"{path}/versions").agg(F.max("version")).first()[0] or 0
+
+
+def read_collection(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version of a collection."""
+    newest = spark.read.parquet(f"{path}/versions").orderBy(F.desc("version")).first()
+    return spark.read.parquet(newest["folder"])
 
 
 def issue_report(rejects: DataFrame, shown: int = 10) -> DataFrame:
@@ -54,9 +79,16 @@ def issue_report(rejects: DataFrame, shown: int = 10) -> DataFrame:
     return files.select("path", "problems", F.concat_ws("\n", head, F.array_join(F.col("_lines.text"), "\n"), rest).alias("message"))
 
 
+#: Largest file that is read as one row.
+LARGEST_FILE = 512 << 20
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
-        "path", "length", F.sha2("content", 256).alias("digest"))
+    """(path, length, digest) of every file below ``path``. A file is one row, so one over ``LARGEST_FILE`` is an error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    too_long = F.raise_error(F.concat(F.lit("too large for one row: "), "path")).cast("binary")
+    content = F.when(F.col("length") > LARGEST_FILE, too_long).otherwise(F.col("content"))
+    return files.select("path", "length", F.sha2(content, 256).alias("digest"))
 
 
 def manifest_audit(files: DataFrame, manifest: DataFrame) -> DataFrame:
