@@ -59,10 +59,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def local_session(app: str = "pyrewatch", cpus: int | str | None = None) -> SparkSession:
+def local_session(app: str = "pyrewatch", cpus: int | str | None = None, shared: str | None = None) -> SparkSession:
+    """A session on this machine for tests and the bench; ``shared`` is the folder for intermediate tables."""
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName(app)
+        .config("spark.checkpoint.dir", shared or tempfile.mkdtemp(prefix="pyrewatch-shared-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")

@@ -8,9 +8,9 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyrewatch.session import local_session
 
-    session = local_session("tests", 4)
+    session = local_session("tests", 4, str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()

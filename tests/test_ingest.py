@@ -68,6 +68,93 @@ def test_event_types(spark, message, level, expected):
     assert row.first()["e"] == expected
 
 
+# One line for each rule, and one for lines that two rules would take; typed from the rules' meaning.
+LINES = {
+    "health check passed": "health_check_passed", "health probe ok in 3ms": "health_check_passed", "Health check UP": "health_check_passed",
+    "readiness check failed": "health_check_failed", "Health check DOWN": "health_check_failed", "Health check timed out": "health_check_failed",
+    "rolling update started": "deployment_started", "rolling update complete": "deployment_completed",
+    "kubectl rollout restart": "service_restart", "deployment api restarted": "service_restart", "Booting worker 3": "service_started",
+    "Started App in 4s": "service_started", "HorizontalPodAutoscaler grew": "autoscaling", "scaled from 2 to 4 replicas": "autoscaling",
+    "configuration reloaded": "config_change", "config key pool.size": "config_change", "feature flag x on": "feature_flag_change",
+    "job nightly started": "scheduled_job_started", "job nightly finished": "scheduled_job_finished", "Pause Full 3ms": "gc_pause",
+    "memstats heap=3": "memory_stats", "Heap usage at 91%": "memory_pressure", "container OOMKilled": "oom_killed",
+    "worker got SIGKILL": "process_killed", "WORKER TIMEOUT (pid 3)": "worker_timeout", "java.lang.OutOfMemoryError": "memory_allocation_failed",
+    "event loop blocked": "event_loop_lag", "thread starvation seen": "thread_starvation", "Received GET /a": "request_started",
+    "Slow request /a": "slow_request", "request failed path=/a": "request_failed", "request aborted by client": "client_disconnected",
+    "Rate limit exceeded": "rate_limited", "Request validation failed": "request_validation_failed",
+    "failed to acquire connection": "db_timeout", "Unable to acquire JDBC Connection": "db_connection_error",
+    "waiting for database connection": "db_connection_wait", "pool status used=3": "db_pool_stats", "Retrying call": "retry",
+    "orders did not respond within 3s": "downstream_timeout", "upstream connect error": "downstream_error",
+    "upstream orders slow": "downstream_slow", "Circuit breaker opened": "circuit_breaker_state_change", "ejecting host h1": "host_ejected",
+    "host returned to cluster web after ejection": "host_restored", "cluster web: 3 healthy hosts": "upstream_cluster_status",
+    "serving fallback response": "fallback_response", "still waiting for ShareLock": "db_lock_wait",
+    "canceling statement due to conflict": "db_statement_cancelled", "checkpoint complete": "db_maintenance",
+    "connection authorized": "db_connection_opened", "disconnection: session": "db_connection_closed",
+    "terminating connection due to command": "db_connection_terminated", "could not receive data from client": "db_client_connection_reset",
+    "slow query table=t": "slow_db_query", "query ok rows=3": "db_query", "duplicate key value": "db_error",
+    "cache hit ratio 0.9": "cache_stats", "cache hit key=1": "cache_hit", "cache miss key=1": "cache_miss",
+    "cache write failed": "cache_error", "order 12 created": "business_operation", "Payment p1 captured": "business_operation",
+    "card declined by issuer": "business_warning", "Refund for payment p1 rejected": "business_error",
+    "failed to publish event": "message_publish_failed", "Unhandled exception in x": "application_error", "TLS handshake error": "tls_error",
+    "token for client 3 expires soon": "auth_token_expiring", "calling deprecated endpoint": "deprecated_api_call",
+    "context deadline exceeded": "operation_timeout", "plain words": "unknown",
+    # The first rule wins: a probe that mentions the database, a retry after a timeout, a pool wait that timed out.
+    "health probe failed: database connection timeout": "health_check_failed", "retry after Read timed out": "retry",
+    "QueuePool limit of size 5 timed out": "db_timeout", "Slow request, retrying": "slow_request", "cache hit timed out": "cache_hit",
+    "upstream error 503 from x, context deadline exceeded": "downstream_error", "duration: 3 ms  statement: retry": "db_query",
+    '"GET /a HTTP/1.1" 200 upstream=cache miss': "request_completed", "GET /healthz 200": "health_check_passed",
+}
+
+
+def test_every_rule_by_hand(spark):
+    rows = spark.createDataFrame([(m, "INFO") for m in LINES], "m string, l string")
+    got = {r["m"]: r["e"] for r in rows.select("m", classify(F.col("m"), F.col("l")).alias("e")).collect()}
+    assert {m: (got[m], want) for m, want in LINES.items() if got[m] != want} == {}
+
+
+def test_any_white_space_around_a_level_is_ignored(spark):
+    table = spark.createDataFrame([("\tWarn\r\n",), (" info\u00a0",), ("\x1cERROR\x85",), ("WARN ING",)], "l string")
+    assert [r["l"] for r in table.select(normalize_level(F.col("l")).alias("l")).collect()] == ["WARN", "INFO", "ERROR", None]
+
+
+def test_equal_line_numbers_in_two_files_stay_two_lines(spark, tmp_path):
+    """Two config changes on line 1 of two files of one incident are two items."""
+    from pyrewatch.operators.correlate import collapse_logs
+
+    change = {**GOOD, "level": "INFO"}
+    write_lines(tmp_path / "logs/INC-001-a.jsonl", [{**change, "message": "config key a set"}, {**change, "message": "config key b set"}])
+    write_lines(tmp_path / "logs/INC-001-b.jsonl", [{**change, "message": "config key c set"}])
+    valid, _ = log_source.ingest_logs(log_source.read_log_lines(spark, str(tmp_path / "logs")), F.lit("INC-001"))
+    assert [r["seq"] for r in collect(valid, "seq")] == [1, 2, (1 << 40) + 1]
+    collapsed = collapse_logs(valid).collect()
+    assert sorted((r["message"], r["occurrence_count"]) for r in collapsed) == [
+        ("config key a set", 1), ("config key b set", 1), ("config key c set", 1)]
+
+
+def test_quoted_cells(spark, tmp_path):
+    row = ROW.replace("api", "{}")
+    write_lines(tmp_path / "m/INC-001.csv", [
+        HEADER.replace("service", '"service"'), row.format(0, '"payment-api"', 1), row.format(1, '"a,b"', 2), row.format(2, '"say ""hi"""', 3),
+        row.format(3, "plain", '"4"'), row.format(4, '""', 5), row.format(5, "x", " 6\t") + "\r"])
+    cells, problems = metric_source.read_metric_cells(spark, str(tmp_path / "m"))
+    checked = metric_source.check_metric_cells(cells)
+    assert problems.count() == 0
+    assert [(r["row_no"], r["service"], r["reasons"]) for r in collect(checked, "row_no")] == [
+        (2, "payment-api", []), (3, "a,b", []), (4, 'say "hi"', []), (5, "plain", []), (6, "", ["service: empty or missing"]), (7, "x", [])]
+
+
+def test_collections_are_replaced_by_version(spark, tmp_path):
+    path = str(tmp_path / "c")
+    first = reports.replace_collection(spark.createDataFrame([("a",), ("b",), ("b",)], "id string"), path).first()
+    assert (first["version"], first["documents"], first["ids"]) == (1, 3, 2)
+    broken = spark.range(3).select(F.raise_error(F.lit("no")).cast("string").alias("id"))
+    with pytest.raises(Exception):
+        reports.replace_collection(broken, path)
+    assert sorted(r["id"] for r in reports.read_collection(spark, path).collect()) == ["a", "b", "b"]
+    assert reports.replace_collection(spark.createDataFrame([("z",)], "id string"), path).first()["version"] == 2
+    assert [r["id"] for r in reports.read_collection(spark, path).collect()] == ["z"]
+
+
 def test_text_and_time_columns(spark):
     row = spark.createDataFrame([("id 4f2a9c took 12.5 ms", " Warning ", 2.25, 0.15, "2026-01-01T00:00:00.5")],
                                 "m string, l string, a double, b double, t string")

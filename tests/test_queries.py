@@ -10,10 +10,11 @@ from pyrewatch.plans import load_queries
 
 SMALL = "/root/testdata/sf0.001"
 CHOSEN = [
-    "accepted_logs", "accepted_metrics", "anomaly_windows", "canonical_references", "corpus_checks", "evidence_items",
+    "accepted_logs", "accepted_metrics", "anomaly_windows", "canonical_references", "corpus_checks", "evidence_items", "evidence_packs",
     "grounding_violations", "incident_contexts", "incident_signals", "log_row_checks", "long_series_detector",
     "nearest_to_label_centers", "note_chunks", "observation_scores", "query_texts", "sequential_detector", "similar_documents",
-    "template_similarity", "timeline_summary", "window_links",
+    "file_manifest", "incident_files", "log_files", "metric_files", "note_files", "postmortem_reads", "postmortem_texts",
+    "replaced_collection", "scenario_checks", "template_similarity", "timeline_summary", "window_links",
 ]
 
 

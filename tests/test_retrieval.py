@@ -1,4 +1,3 @@
-import hashlib
 import math
 import random
 
@@ -11,24 +10,19 @@ from pyrewatch.operators.quality import label_columns
 from pyrewatch.schemas import EVIDENCE, PACK, POSTMORTEM, RESULT
 
 
-def vector(text, size=64):
-    out = [0.0] * size
-    for token in "".join(ch.lower() if ch.isalnum() else " " for ch in text).split():
-        digest = hashlib.sha256(token.encode()).digest()
-        for i in range(4):
-            out[digest[i] % size] += -1.0 if digest[i + 4] % 2 else 1.0
-    norm = math.sqrt(sum(v * v for v in out))
-    return [v / norm for v in out]
-
-
 def test_hash_vectors(spark):
-    texts = {"a": "Connection pool: timeout, timeout!", "b": "café ÉTÉ 42 наука", "c": " ... ", "d": "x"}
+    """The SHA-256 of "x" starts 2d 71 16 42 b7 26 b0 44: slots 45, 49, 22, 2 of 64, the first with an odd sign byte."""
+    x = [0.0] * 64
+    x[45], x[49], x[22], x[2] = -0.5, 0.5, 0.5, 0.5
+    # That of "42" starts 73 47 5c b4 0a 56 8e 8d: slots 51, 7, 28, 52, the last one negative.
+    both = [0.0] * 64
+    for slot, sign in ((45, -1), (49, 1), (22, 1), (2, 1), (51, 1), (7, 1), (28, 1), (52, -1)):
+        both[slot] = sign / math.sqrt(8)
+    texts = {"once": "x", "case and copies": "X, x! x", "two words": "42 x", "no word": " ... "}
     table = spark.createDataFrame(list(texts.items()), "id string, text string")
     got = {row["id"]: row["vector"] for row in r.hash_vectors(table).collect()}
-    assert set(got) == {"a", "b", "d"}
-    for key, found in got.items():
-        assert found == pytest.approx(vector(texts[key]))
-    assert [x["id"] for x in r.without_vector(table, r.hash_vectors(table)).collect()] == ["c"]
+    assert got == {"once": pytest.approx(x), "case and copies": pytest.approx(x), "two words": pytest.approx(both)}
+    assert [row["id"] for row in r.without_vector(table, r.hash_vectors(table)).collect()] == ["no word"]
     with pytest.raises(ValueError):
         r.hash_vectors(table, 4)
 
@@ -48,7 +42,7 @@ def test_top_k_is_exact_for_every_block_size(spark):
         expected |= {(name, i, rank + 1) for rank, (_, i) in enumerate(best)}
     left = spark.createDataFrame(queries, "query_id string, vector array<double>")
     right = spark.createDataFrame(items, "id long, vector array<double>")
-    for block in (1000, 7):
+    for block in (1 << 20, 150):
         got = {(x["query_id"], x["id"], x["rank"]) for x in r.top_k(left, right, 4, block).collect()}
         assert got == expected, block
     assert r.top_k(left, right.limit(2), 3).count() == 2 * len(queries)
@@ -63,46 +57,39 @@ def test_blank_queries_are_left_out(spark):
     assert [(x["query_id"], x["text"]) for x in r.usable_queries(table).collect()] == [("a", "x")]
 
 
-def chunk_by_hand(text, stem):
-    """The chunking rule written out for one document."""
-    text = text.replace("\r\n", "\n").strip()
-    title = next((x[2:].strip() for x in text.split("\n") if x.startswith("# ")), stem)
-    pieces = []
-    for part in ("\n" + text).split("\n## ")[1:]:
-        head, _, body = part.partition("\n")
-        body, groups = body.strip(), []
-        if len(body) > 1800:
-            for p in [x.strip() for x in body.split("\n\n") if x.strip()]:
-                if groups and len(groups[-1]) + 2 + len(p) <= 1800:
-                    groups[-1] += "\n\n" + p
-                else:
-                    groups.append(p)
-        groups = groups or [body]
-        pieces += [[head.strip() + (f" (part {i + 1})" if len(groups) > 1 else ""), x] for i, x in enumerate(groups)]
-    out = []
-    for section, body in pieces:
-        if out and len(out[-1][1]) < 280:
-            out[-1] = [f"{out[-1][0]} / {section}", out[-1][1] + "\n\n" + body]
-        else:
-            out.append([section, body])
-    if len(out) > 1 and len(out[-1][1]) < 280:
-        last = out.pop()
-        out[-1] = [f"{out[-1][0]} / {last[0]}", out[-1][1] + "\n\n" + last[1]]
-    return [(f"{stem}_{i + 1:03d}", s, f"Document: {title}\nSection: {s}\n\n{b.strip()}\n") for i, (s, b) in enumerate(out)]
-
-
-def test_chunks_match_the_rule(spark):
-    rng = random.Random(2)
-    notes = []
-    for n in range(12):
-        lines = [] if n % 4 == 0 else [f"# Title {n}", "intro"]
-        for s in range(rng.randint(1, 7)):
-            lines += [f"## Part {s} "] + [("word " * rng.randint(1, 160)).strip() + "\n" * rng.randint(0, 2) for _ in range(rng.randint(0, 8))]
-        notes.append((f"note{n}.md", ("\r\n" if n % 3 == 0 else "\n").join(lines)))
-    table = spark.createDataFrame(notes, "document_name string, text string")
-    got = [(x["id"], x["metadata"]["section"], x["text"]) for x in collect(kn.chunk_markdown(table), "document_name", "position")]
-    expected = [c for name, text in sorted(notes) for c in chunk_by_hand(text, name[:-3])]
-    assert got == expected
+def chunks_of(spark, text, name="note.md"):
+    table = spark.createDataFrame([(name, text)], "document_name string, text string")
+    return [(x["id"], x["metadata"]["section"], x["text"]) for x in collect(kn.chunk_markdown(table), "position")]
+
+
+LONG, SHORT = "word " * 60 + "end", "few words"
+
+
+def test_each_long_section_is_a_chunk(spark):
+    text = f"# Pools \r\nintro\r\n## One\r\n{LONG}\r\n## Two \r\n{LONG}\r\n"
+    assert chunks_of(spark, text) == [
+        ("note_001", "One", f"Document: Pools\nSection: One\n\n{LONG}\n"),
+        ("note_002", "Two", f"Document: Pools\nSection: Two\n\n{LONG}\n")]
+
+
+def test_short_sections_join_the_next_and_a_short_end_the_one_before(spark):
+    text = f"## One\n{SHORT}\n## Two\n{LONG}\n## Three\n{LONG}\n## Four\n{SHORT}"
+    assert chunks_of(spark, text, "memory.md") == [
+        ("memory_001", "One / Two", f"Document: memory\nSection: One / Two\n\n{SHORT}\n\n{LONG}\n"),
+        ("memory_002", "Three / Four", f"Document: memory\nSection: Three / Four\n\n{LONG}\n\n{SHORT}\n")]
+
+
+def test_a_very_long_section_is_cut_between_paragraphs(spark):
+    a, b, c = "a" * 1000, "b" * 798, "c" * 300
+    assert [(i, s, t.split("\n\n", 1)[1]) for i, s, t in chunks_of(spark, f"## Big\n{a}\n\n{b}\n\n{c}")] == [
+        ("note_001", "Big (part 1)", f"{a}\n\n{b}\n"), ("note_002", "Big (part 2)", f"{c}\n")]
+    # One character more and the second paragraph no longer fits.
+    assert [t.split("\n\n", 1)[1] for _, _, t in chunks_of(spark, f"## Big\n{a}\n\n{b}x\n\n{c}")] == [
+        f"{a}\n", f"{b}x\n\n{c}\n"]
+
+
+def test_a_note_without_sections_has_no_chunk(spark):
+    assert chunks_of(spark, "# Title\nonly an introduction") == []
 
 
 def postmortem(spark, **changes):
