@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pyrewatch.functions.text import stripped
@@ -20,8 +18,8 @@ def _concluded() -> Column:
     return F.col("root_cause.cause") != INSUFFICIENT
 
 
-def citations(results: DataFrame) -> DataFrame:
-    """Every cited id with the place that cites it: (incident_id, place, position, evidence_id)."""
+def _cited() -> Column:
+    """Every cited id of a report with the place that cites it, as one array."""
     def entries(place: Column, ids: Column) -> Column:
         return F.transform(ids, lambda e, i: F.struct(place.alias("place"), i.cast("int").alias("position"), e.alias("evidence_id")))
 
@@ -36,10 +34,14 @@ def citations(results: DataFrame) -> DataFrame:
         F.concat(F.lit("alternative_causes["), i.cast("string"), F.lit("]")), both(h))))
     actions = F.flatten(F.transform("recommended_actions", lambda a: entries(
         F.lit("recommended_actions"), _ids(a["evidence_ids"]))))
-    everything = F.concat(
+    return F.concat(
         entries(F.lit("root_cause"), both(F.col("root_cause"))), alternatives, actions, listed("supporting_evidence"),
         listed("contradicting_evidence"), listed("timeline"))
-    return results.select("incident_id", F.explode(everything).alias("c")).select("incident_id", "c.*")
+
+
+def citations(results: DataFrame) -> DataFrame:
+    """Every cited id with the place that cites it: (incident_id, place, position, evidence_id)."""
+    return results.select("incident_id", F.explode(_cited()).alias("c")).select("incident_id", "c.*")
 
 
 def unknown_citations(cited: DataFrame, pack: DataFrame) -> DataFrame:
@@ -72,28 +74,42 @@ def result_violations(results: DataFrame) -> DataFrame:
     return _violations(results, rules)
 
 
+def _broken(rules: dict[str, Column]) -> Column:
+    return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), name) for name, bad in rules.items()]))
+
+
 def _violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    found = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), name) for name, bad in rules.items()]))
-    return df.select("incident_id", F.explode(found).alias("violation"))
+    return df.select("incident_id", F.explode(_broken(rules)).alias("violation"))
 
 
 def grounding_violations(results: DataFrame, pack: DataFrame, incidents: DataFrame) -> DataFrame:
-    """Reports that are not grounded: unknown incident, unknown ids, uncited claims, unretrieved prior incidents."""
-    stray = results.join(incidents.select("incident_id"), "incident_id", "left_anti").select(
-        "incident_id", F.lit("unknown incident").alias("violation"))
-    unknown = unknown_citations(citations(results), pack).select(
-        "incident_id", F.concat("place", F.lit(" cites "), "evidence_id").alias("violation")).distinct()
-    bare = _violations(results, {
+    """Reports that are not grounded: unknown incident, unknown ids, uncited claims, unretrieved prior incidents.
+
+    A report's needs are exploded once, each with the kind of row that would meet it, and one anti join against all
+    rows that were supplied leaves the violations. A claim without evidence is met by nothing.
+    """
+    def need(kind: str, key: Column, violation: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"), violation.alias("violation"))
+
+    claims = _broken({
         "alternative without support": _concluded() & F.exists("alternative_causes", lambda h: (
             h["cause"] != INSUFFICIENT) & (F.size(_ids(h["supporting_evidence_ids"])) == 0)),
         "action without evidence": _concluded() & F.exists(
             "recommended_actions", lambda a: F.size(_ids(a["evidence_ids"])) == 0),
     })
-    history = pack.where(F.col("source_type") == "HISTORICAL_INCIDENT").select("incident_id", F.col("evidence_id").alias("similar"))
-    similar = results.select("incident_id", F.explode("similar_incidents.incident_id").alias("similar")).join(
-        history, ["incident_id", "similar"], "left_anti").select(
-        "incident_id", F.concat(F.lit("similar incident "), "similar", F.lit(" was not retrieved")).alias("violation"))
-    return reduce(DataFrame.unionByName, [stray, unknown, bare, similar])
+    similar = F.coalesce(F.col("similar_incidents.incident_id"), F.array().cast(_IDS))
+    needs = F.concat(
+        F.array(need("incident", F.col("incident_id"), F.lit("unknown incident"))),
+        F.array_distinct(F.transform(_cited(), lambda c: need(
+            "pack", c["evidence_id"], F.concat(c["place"], F.lit(" cites "), c["evidence_id"])))),
+        F.transform(similar, lambda s: need("history", s, F.concat(F.lit("similar incident "), s, F.lit(" was not retrieved")))),
+        F.transform(claims, lambda v: need("claim", F.lit(""), v)))
+    wanted = results.select("incident_id", F.explode(needs).alias("n")).select("incident_id", "n.*")
+    history = F.col("source_type") == "HISTORICAL_INCIDENT"
+    kinds = F.when(history, F.array(F.lit("pack"), F.lit("history"))).otherwise(F.array(F.lit("pack")))
+    supplied = pack.select("incident_id", F.explode(kinds).alias("kind"), F.col("evidence_id").alias("key")).unionByName(
+        incidents.select("incident_id", F.lit("incident").alias("kind"), F.col("incident_id").alias("key")))
+    return wanted.join(supplied, ["incident_id", "kind", "key"], "left_anti").select("incident_id", "violation")
 
 
 def cited_lists(results: DataFrame) -> DataFrame:

@@ -7,14 +7,18 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from pyrewatch import schemas as S
+from pyrewatch.operators.series import SERIES
 from pyrewatch.plans import tables as t
+from pyrewatch.plans.detection import _POINT, rounded
 from pyrewatch.plans.duck import sql
 from pyrewatch.plans.ingest import incident_documents
 from pyrewatch.plans.registry import query
 from pyrewatch.plans.retrieve import postmortem_files
-from pyrewatch.session import delete_at_end, shared_folder
+from pyrewatch.schemas import ANOMALY_POINT
+from pyrewatch.session import cut_lineage, delete_at_end, shared_folder
 from pyrewatch.sources import documents as docs, logs as log_source, metrics as metric_source, reports
 from pyrewatch.sources.documents import NOTE_NAMES
+from pyrewatch.streaming.detector import detect_stream
 
 
 def folder(spark, name):
@@ -138,3 +142,17 @@ def _(spark, sf):
     summary = reports.replace_collection(documents, path)
     readable = reports.read_collection(spark, path).agg(F.count("*").alias("readable"))
     return summary.select("version", "documents", "ids").join(F.broadcast(readable))
+
+
+@query("streamed_points", "E5 F2", sql(f"SELECT {_POINT} FROM points", "points"))
+def _(spark, sf):
+    """The detector as a stream over files that arrive by thirds of a month, run to their end into a table."""
+    source, found, state = (folder(spark, name) for name in ("series", "points", "stream"))
+    series = t.series(spark, sf).select(*SERIES, "timestamp", "value").withColumn("_day", F.dayofmonth("timestamp"))
+    series = cut_lineage(series)
+    for first, last in ((1, 10), (11, 20), (21, 31)):
+        series.where(F.col("_day").between(first, last)).drop("_day").write.mode("append").parquet(source)
+    rows = spark.readStream.schema(series.drop("_day").schema).option("maxFilesPerTrigger", 64).parquet(source)
+    detect_stream(rows).writeStream.trigger(availableNow=True).option("checkpointLocation", state).start(
+        path=found, format="parquet", outputMode="append").awaitTermination()
+    return rounded(spark.read.schema(ANOMALY_POINT).parquet(found))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from pyrewatch.config import DetectorSettings
 from pyrewatch.functions.text import DESCRIPTION_WORDS, HEX_RUN, KEYWORDS, NUMBER_RUN, TIMEOUT_WORDS
 from pyrewatch.operators import dataset as d, features as f, quality as q, summaries as s, templates as tp
 from pyrewatch.operators.detector import detect
 from pyrewatch.operators.windows import anomaly_windows
-from pyrewatch.plans import tables as t
+from pyrewatch.plans import ingest, tables as t
 from pyrewatch.plans.duck import block, fold, in_list, literal, matches, sql, SEVERITY_RANK
 from pyrewatch.plans.ingest import _flat, _suite
-from pyrewatch.plans.registry import query
+from pyrewatch.plans.registry import REGISTRY, query
 from pyrewatch.schemas import FAILURES, METRIC_LABELS, METRICS
 
 # The test tables have one row per ten minutes, so levels before an incident are taken over four hours.
@@ -742,6 +744,26 @@ def _(spark, sf):
     return _flat(q.report(found, d.VARIATION_CHECKS))
 
 
+def _verdict(*suites: str) -> str:
+    rows = " UNION ALL ".join(f"SELECT ok FROM ({suite})" for suite in suites)
+    return f"SELECT bool_and(ok) AS ok, count(*) FILTER (ok) AS passed, count(*) AS total FROM ({rows})"
+
+
+@query("dataset_verdict", "A19 D32 D34", sql(_verdict(
+    _suite(ingest._LOG_FOUND, q.LOG_CHECKS), _suite(ingest._METRIC_FOUND, q.METRIC_CHECKS),
+    _suite(ingest._CASE_FOUND, q.CASE_CHECKS),
+    _suite(" UNION ALL ".join(f"SELECT {literal(n)} AS name, incident_id AS problem FROM signature_rows WHERE {test}"
+                              for n, test in _SIGNATURES.items()), d.SIGNATURE_CHECKS),
+    _suite(" UNION ALL ".join(f"SELECT {literal(n)} AS name, scenario AS problem FROM variation WHERE {test}"
+                              for n, test in _VARIATION.items()), d.VARIATION_CHECKS)),
+    "raw_logs incidents metrics labels_of signature_rows variation"))
+def _(spark, sf):
+    """The whole check suite with one verdict: rows, cases, signatures and variation together."""
+    names = ("log_row_checks", "metric_row_checks", "case_checks", "signature_checks", "variation_checks")
+    reports = [REGISTRY[name].run(spark, sf) for name in names]
+    return q.verdict(reduce(DataFrame.unionByName, reports))
+
+
 block("impact", "case_metrics", """
 SELECT incident_id, service, be, pe, bl, pl, coalesce(pe - be >= 1 OR (pl >= 2 * bl AND pl - bl > 50), false) AS affected FROM (
   SELECT incident_id, service, median(error_rate) FILTER (in_base) AS be, max(error_rate) FILTER (in_alert) AS pe,
