@@ -7,13 +7,14 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyrewatch.llm import sql
 from pyrewatch.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, text: str | None = None):
     def add(fn):
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,8 +22,8 @@ def query(name: str, sql: str | None = None):
             return fn(spark, sf_dir)
 
         QUERIES[name] = run
-        if sql:
-            SQL[name] = sql
+        if text:
+            SQL[name] = text
         return run
     return add
 
@@ -38,14 +39,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
-@query("op3_substring_dedup")
+@query("op3_substring_dedup", sql.REPEATED_WORDS)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyrewatch.llm.substring_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-@query("op4_sharding")
+@query("op4_sharding", sql.sharding())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyrewatch.llm.sharding import shard_documents
 
@@ -67,23 +68,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), Stages(spark))
 
 
-TOP_SQL = """
-WITH rows AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
-  FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-  FROM rows q JOIN rows c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
-  WHERE q.vec_id % 50 = 0),
-ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
-SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
-"""
-
-
-@query("op7_exact_top_k", TOP_SQL)
+@query("op7_exact_top_k", sql.TOP_PRODUCTS)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
