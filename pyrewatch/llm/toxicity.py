@@ -206,11 +206,20 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | No
     found = (docs.select(F.col("text").cast("string").alias("row"), F.col("doc_id").cast("long")).join(known, "doc_id")
                  .select("row", "doc_id", *[f"c_{n}" for n in names]).mapInArrow(_row_batches, schema).toArrow())
     found = found.sort_by([("doc_id", "ascending"), ("row", "ascending")])
-    index = [np.frombuffer(b, "<i4") for b in found.column("row").to_pylist()]
-    bounds = np.concatenate(([0], np.cumsum([len(i) for i in index]))).astype(np.int64)
-    flat = np.concatenate(index) if index else np.zeros(0, np.int32)
-    truth = np.column_stack([found.column(f"c_{n}").to_numpy() for n in names]) if index else np.zeros((0, len(names)))
-    return fit_chain(Rows(bounds, flat, np.ones(len(flat), np.float32)), truth, names, settings)
+    blobs = found.column("row").to_pylist()
+    truth = np.column_stack([found.column(f"c_{n}").to_numpy() for n in names]) if blobs else np.zeros((0, len(names)))
+    return fit_chain(_common(blobs), truth, names, settings)
+
+
+def _common(blobs: list[bytes]) -> Rows:
+    """The sample's rows without the words that too few of them hold to count in any fit."""
+    flat = np.frombuffer(b"".join(blobs), "<i4")
+    keep = np.bincount(flat, minlength=width(0))[flat] >= LEAST_SEEN
+    keep |= flat >= 1 << BITS
+    ends = np.cumsum([len(b) // 4 for b in blobs], dtype=np.int64)
+    before = np.concatenate(([0], np.cumsum(keep, dtype=np.int32)))
+    flat = flat[keep]
+    return Rows(np.concatenate(([0], before[ends])).astype(np.int64), flat, np.ones(len(flat), np.float32))
 
 
 def _score_batches(chain: Chain):
