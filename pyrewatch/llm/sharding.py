@@ -85,7 +85,8 @@ def place(df: DataFrame, key: Column, leaves: list[Leaf], into: str = "shard") -
 def number(df: DataFrame, shard: str, key: Column, order: list[Column], into: str = "slot") -> DataFrame:
     """Number the rows of each shard from 0 without a gap, in order of (hash cell of the key, ``order``).
 
-    Rows are numbered inside cells; one row per cell and shard, a fixed number, is summed up and broadcast.
+    Rows are numbered inside cells; one row per cell and shard, a fixed number, is summed up and broadcast. The key
+    should tell as many rows apart as it can, so that an id that very many rows share spreads over the cells.
     """
     cell = F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null key"))), 1, CELL_DIGITS)
     df = df.withColumn("__cell", cell)
@@ -111,5 +112,5 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
                        F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
     rows = place(rows, F.col("doc_id"), tree(shards))
     rows = place(rows, F.col("doc_id"), tree(shards + 1), "grown_shard")
-    rows = number(rows, "shard", F.col("doc_id"), [F.col("doc_id"), F.col("size"), F.col("text_crc32")])
+    rows = number(rows, "shard", F.concat_ws("|", "doc_id", "size", "text_crc32"), [F.col("doc_id"), F.col("size"), F.col("text_crc32")])
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

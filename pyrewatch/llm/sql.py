@@ -85,5 +85,5 @@ regions AS (SELECT *, {region} AS region, {grown_region} AS grown_region FROM su
 racks AS (SELECT *, {rack} AS rack, {grown_rack} AS grown_rack FROM regions),
 placed AS (SELECT *, {shard} AS shard, {grown_shard} AS grown_shard FROM racks)
 SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard
-  ORDER BY substr(md5(k), 1, {CELL_DIGITS}), doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM placed
+  ORDER BY substr(md5(concat_ws('|', doc_id, size, text_crc32)), 1, {CELL_DIGITS}), doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM placed
 """
