@@ -233,9 +233,11 @@ def _score_batches(chain: Chain):
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, toxic (0 or 1), score (chance of toxic) and the chance of every category, of every document."""
+    """doc_id, toxic and predicted (both 1 if the score reaches the threshold, else 0), score (chance of toxic) and the
+    chance of every category, of every document."""
     chain = train(docs, labels)
     schema = "doc_id long, " + ", ".join(f"p_{c} double" for c in chain.categories)
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_score_batches(chain), schema)
-    return scored.select("doc_id", (F.col("p_toxic") >= threshold).cast("int").alias("toxic"), F.col("p_toxic").alias("score"),
+    flag = (F.col("p_toxic") >= threshold).cast("int")
+    return scored.select("doc_id", flag.alias("toxic"), flag.alias("predicted"), F.col("p_toxic").alias("score"),
                          *[f"p_{c}" for c in chain.categories])
