@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyrewatch.session import ship_package
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,6 +29,12 @@ def query(name: str, covers: str, sql: str | None = None):
     def add(fn: QueryFn) -> QueryFn:
         if name in REGISTRY:
             raise ValueError(f"query {name} is registered twice")
-        REGISTRY[name] = Query(name, tuple(covers.split()), fn, sql)
+
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        REGISTRY[name] = Query(name, tuple(covers.split()), run, sql)
         return fn
     return add
