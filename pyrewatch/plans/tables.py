@@ -92,7 +92,7 @@ FROM ({BASE}) base
 
 def _percent(amount: str) -> str:
     """An amount from 0 up as a share of 100, larger for larger amounts, with two digits."""
-    return f"floor(10000e0 * {amount} / (100e0 + {amount}) + 0.5e0) / 100e0"
+    return f"floor(10000e0 * {amount} / (10e0 + {amount}) + 0.5e0) / 100e0"
 
 
 METRICS = f"""
