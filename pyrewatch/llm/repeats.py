@@ -11,10 +11,14 @@ are routed first, without losing any:
    bucket; an anchor that only one text holds can not lie in a repeated window.
 3. Windows of shared anchors are routed by the anchor's owner, the text of smallest label that holds it, so a copied
    document travels as a few long segments. Anchors of very many texts are routed by themselves and then dealt
-   further by a second, finer anchor: equal windows still meet, and no shard gets all texts of a hot passage.
+   further by a second, finer anchor: equal windows still meet, and texts that share little more than it part.
 4. Equal segments are merged; a shard holds whole routes and answers, by an index of its own, which windows of a
    segment also stand in a smaller document. How it does so is the caller's method (``shard``).
-5. Verdicts return to the groups and are applied to the texts.
+5. A passage that very many texts hold stays one route under any anchor, with a segment for each text around it. A
+   route over the bytes of a shard is therefore no shard: its segments are dealt to chunks, each chunk sends a row per
+   distinct window (128 bits of its content, smallest and largest id), rows of equal windows are aggregated, and the
+   smallest ids return to the chunks that need them. No task holds what shares a window.
+6. Verdicts return to the groups and are applied to the texts.
 
 Ids: null counts as larger than any id, so a text without id is removed against all others and never removes from one.
 """
@@ -255,15 +259,22 @@ def _lookup(back: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[order], owners[order], parts[order]
 
 
+def _edges(less: np.ndarray) -> bytes:
+    """Starts and ends of the runs of windows to remove."""
+    less = np.concatenate(([False], less, [False]))
+    return np.flatnonzero(less[1:] != less[:-1]).astype(np.int32).tobytes()
+
+
+_ANSWER = "sid binary, first_id long, edges binary"
+
+
 def _shard_batches(kind: Windows, shard: Shard, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows come sorted by route. Whole routes are gathered to shards of about ``limit`` bytes."""
     def answer(rows: list[tuple[bytes, Segment]]) -> pa.RecordBatch:
         found = shard([segment for _, segment in rows], kind)
         blobs = []
         for (_, segment), smallest in zip(rows, found, strict=True):
-            less = np.concatenate(([False], smallest < segment.smallest, [False]))
-            edges = np.flatnonzero(less[1:] != less[:-1]).astype(np.int32)
-            blobs.append(edges.tobytes())
+            blobs.append(_edges(smallest < segment.smallest))
         return pa.RecordBatch.from_arrays(
             [pa.array([sid for sid, _ in rows], pa.binary()), pa.array([s.smallest for _, s in rows], pa.int64()),
              pa.array(blobs, pa.binary())], ["sid", "first_id", "edges"])
@@ -285,6 +296,58 @@ def _shard_batches(kind: Windows, shard: Shard, limit: int) -> Callable[[Iterato
     return run
 
 
+def _window_keys(contents: list[bytes], kind: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the content of every window of the segments, one row each, and the number of windows per segment."""
+    digests, counts = [], []
+    for content in contents:
+        if kind.words:
+            spaces = np.flatnonzero(np.frombuffer(content, np.uint8) == 32)
+            starts, ends = np.append(0, spaces + 1), np.append(spaces, len(content))
+        else:
+            starts = np.arange(len(content))
+            ends = starts + 1
+        windows = len(starts) - kind.size + 1
+        digests.append(b"".join([xxhash.xxh3_128_digest(content[a:b]) for a, b in
+                                 zip(starts[:windows].tolist(), ends[kind.size - 1:].tolist(), strict=True)]))
+        counts.append(windows)
+    return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2), np.array(counts, np.int64)
+
+
+def _window_rows(kind: Windows) -> Callable[[pa.Table], pa.Table]:
+    """Per chunk of segments: its distinct windows, with the smallest and the largest id they stand in."""
+    def run(table: pa.Table) -> pa.Table:
+        keys, counts = _window_keys(table.column("content").to_pylist(), kind)
+        ids = np.repeat(table.column("smallest").to_numpy(), counts)
+        order = np.lexsort((keys[:, 1], keys[:, 0]))
+        keys, ids = keys[order], ids[order]
+        head = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
+        return pa.table({"one": keys[head, 0], "two": keys[head, 1],
+                         "chunk": pa.array([table.column("chunk")[0].as_py()] * len(head), pa.int32()),
+                         "low": np.minimum.reduceat(ids, head), "high": np.maximum.reduceat(ids, head)})
+    return run
+
+
+def _window_answers(kind: Windows) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Per chunk of segments: its answers, from the smallest ids of those windows that a smaller document holds too."""
+    def run(table: pa.Table, met: pa.Table) -> pa.Table:
+        keys, counts = _window_keys(table.column("content").to_pylist(), kind)
+        own = table.column("smallest").to_numpy()
+        least = np.repeat(own, counts)
+        order = np.argsort(met.column("one").to_numpy(), kind="stable")
+        one, two, first = (met.column(c).to_numpy()[order] for c in ("one", "two", "first_id"))
+        at, open_ = np.searchsorted(one, keys[:, 0]), np.arange(len(keys))
+        # Windows alike in the first half of the key stand side by side; nearly always there is one.
+        while len(open_ := open_[at[open_] < len(one)]) and len(open_ := open_[one[at[open_]] == keys[open_, 0]]):
+            same = open_[two[at[open_]] == keys[open_, 1]]
+            least[same] = np.minimum(least[same], first[at[same]])
+            at[open_] += 1
+        cuts = np.cumsum(counts)[:-1]
+        blobs = [_edges(part) for part in np.split(least < np.repeat(own, counts), cuts)] if len(own) else []
+        return pa.table({"sid": table.column("sid").cast(pa.binary()), "first_id": pa.array(own, pa.int64()),
+                         "edges": pa.array(blobs, pa.binary())})
+    return run
+
+
 @dataclass
 class _Plan:
     groups: int
@@ -319,6 +382,18 @@ def distinct_texts(docs: DataFrame, stages: Stages, plan: _Plan) -> DataFrame:
     return spark.table(name)
 
 
+def _crowded(distinct: DataFrame, stages: Stages, plan: _Plan, kind: Windows) -> DataFrame:
+    """Answers for segments of routes that are too large for a shard, window by window."""
+    chunk = F.pmod(F.xxhash64("sid"), F.lit(plan.groups)).cast("int").alias("chunk")
+    dealt = stages.keep(distinct.select(chunk, "sid", "content", "smallest"))
+    windows = stages.keep(dealt.groupBy("chunk").applyInArrow(
+        _window_rows(kind), "one long, two long, chunk int, low long, high long"))
+    met = (windows.groupBy("one", "two").agg(F.min("low").alias("first_id"), F.max("high").alias("last_id"))
+                  .filter(F.col("first_id") < F.col("last_id")).drop("last_id"))
+    back = windows.join(met, ["one", "two"]).filter(F.col("first_id") < F.col("high")).select("chunk", "one", "two", "first_id")
+    return dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_window_answers(kind), _ANSWER)
+
+
 def verdicts(table: DataFrame, stages: Stages, plan: _Plan, kind: Windows, shard: Shard, limit: int) -> DataFrame:
     """(grp, key, edges): for texts with repeated windows, blobs of (from, to) window positions to remove."""
     anchors = table.select("grp", "key", "text").groupBy("grp").applyInArrow(
@@ -326,11 +401,18 @@ def verdicts(table: DataFrame, stages: Stages, plan: _Plan, kind: Windows, shard
     shared = anchors.groupBy("bucket").applyInArrow(_shared_rows, "grp int, bucket long, blob binary")
     segments = stages.keep(table.select("grp", "key", "smallest", "text").groupBy("grp").cogroup(shared.groupBy("grp"))
                                 .applyInArrow(_segment_rows(kind, plan.shift), _SEGMENT))
-    distinct = (segments.groupBy("sid").agg(F.min("route").alias("route"), F.max("content").alias("content"),
+    sizes = segments.groupBy("sid").agg(F.min("route").alias("route"), F.max(F.octet_length("content")).alias("n"))
+    large = stages.keep(sizes.groupBy("route").agg(F.sum("n").alias("n")).filter(F.col("n") > limit).select("route"))
+
+    def distinct(how: str) -> DataFrame:
+        return (segments.join(F.broadcast(large), "route", how)
+                        .groupBy("sid").agg(F.min("route").alias("route"), F.max("content").alias("content"),
                                             F.min("smallest").alias("smallest"))
                         .select("route", "sid", "content", "smallest"))
-    answers = (distinct.repartition("route").sortWithinPartitions("route", "sid")
-                       .mapInArrow(_shard_batches(kind, shard, limit), "sid binary, first_id long, edges binary"))
+
+    answers = (distinct("left_anti").repartition("route").sortWithinPartitions("route", "sid")
+                                    .mapInArrow(_shard_batches(kind, shard, limit), _ANSWER))
+    answers = answers.unionByName(_crowded(distinct("left_semi"), stages, plan, kind))
     found = segments.select("sid", "grp", "key", "smallest", "at", "windows").join(answers, "sid")
     return (found.filter((F.col("smallest") > F.col("first_id")) | (F.octet_length("edges") > 0))
                  .select("grp", "key", "at", "windows", (F.col("smallest") > F.col("first_id")).alias("whole"), "edges"))

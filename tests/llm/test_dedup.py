@@ -102,6 +102,31 @@ def test_hot_anchors_are_dealt_further(awkward, documents, monkeypatch):
     assert got(found, "doc_id", "n", "n_removed", "kept_sha256") == want
 
 
+@pytest.mark.parametrize("by_words", [True, False])
+def test_a_hot_passage_is_no_shard(llm, monkeypatch, by_words):
+    """A passage in very many texts: no shard gets over two limits, and the rows are those of brute force."""
+    monkeypatch.setattr(repeats, "GROUP_BYTES", 1 << 14)
+    rng = np.random.default_rng(4)
+
+    def prose(n):
+        return " ".join(str(x) for x in rng.integers(0, 1 << 40, n))
+
+    shared, twice = prose(60), prose(55)
+    rows = [(int(i), f"{prose(12)} {shared} {prose(9)}") for i in rng.permutation(300)]
+    rows += [(400, f"{twice} {prose(3)} {shared}"), (350, f"{shared} {twice}"), (None, f"{prose(2)} {shared}"), (401, prose(70))]
+    method = substring_dedup if by_words else suffix_dedup
+    kind, limit = method.WORDS if by_words else method.BYTES, 1 << 14
+    decide = method.smallest_ids
+
+    def bounded(segments, kind):
+        assert sum(len(s.content) for s in segments) <= 2 * limit
+        return decide(segments, kind)
+
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    found = repeats.digests(docs, kind, bounded, limit)
+    assert got(found, "doc_id", "n", "n_removed", "n_spans", "kept_sha256") == sort_rows(removal_rows(rows, by_words))
+
+
 def test_drop_repeats_changes_only_repeats(awkward, nothing):
     found = substring_dedup.drop_repeats(awkward)
     assert found.columns == awkward.columns
