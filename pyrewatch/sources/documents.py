@@ -10,6 +10,8 @@ from pyrewatch.functions.times import parse_iso
 
 # The technical notes that have to exist.
 NOTE_NAMES = ("database.md", "memory.md", "networking.md", "troubleshooting.md")
+#: Bytes of a note that is read as one value.
+NOTE_BYTES = 64 << 20
 _TIMES = ("start_time", "end_time", "window_start", "window_end")
 
 
@@ -108,7 +110,17 @@ def parse_postmortems(documents: DataFrame) -> DataFrame:
 
 
 def read_notes(spark: SparkSession, folder: str) -> DataFrame:
-    """The fixed set of technical notes as (document_name, text); a missing one is an error at read time."""
+    """The fixed set of technical notes as (document_name, text); a missing or very large one is an error at once."""
     paths = [f"{folder.rstrip('/')}/{name}" for name in NOTE_NAMES]
+    sizes = spark.read.format("binaryFile").load(paths).select("path", "length")
+    large = [r["path"] for r in sizes.where(F.col("length") > NOTE_BYTES).collect()]
+    if large:
+        raise ValueError(f"notes over {NOTE_BYTES} bytes, to be read by lines: {large}")
     return spark.read.text(paths, wholetext=True).select(
         F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("document_name"), F.col("value").alias("text"))
+
+
+def read_note_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(document_name, line) of notes of any size, each a folder ``document=<name>`` of text files, read in splits."""
+    lines = spark.read.schema("value string, document string").text(folder, lineSep="\n")
+    return lines.where(F.col("document").isin(*NOTE_NAMES)).select(F.col("document").alias("document_name"), F.col("value").alias("line"))

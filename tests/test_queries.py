@@ -31,6 +31,25 @@ def test_query_matches_its_sql(spark, duck, name):
     assert difference(spark_rows(query.run(spark, SMALL)), duck_rows(duck, query.sql)) is None
 
 
+def test_notes_are_many_files_of_lines(spark, tmp_path):
+    """Tasks write their own files and no file is a value: eight tasks make more files than there are names."""
+    texts = ["a\rb", "", "x\n", "two\nlines", "é"]
+    rows = [(i, texts[i % len(texts)]) for i in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", 128 << 20)
+    try:
+        found = load_queries()["note_files"].run(spark, str(tmp_path))
+        assert len(found.inputFiles()) > 4
+        names = ["database.md", "memory.md", "networking.md", "troubleshooting.md"]
+        want = {}
+        for i, text in rows:
+            characters, lines = want.get(names[i % 4], (-1, 0))
+            want[names[i % 4]] = (characters + len(text) + 1, lines + text.count("\n") + 1)
+        assert {r["document_name"]: (r["characters"], r["lines"]) for r in found.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_contract():
     queries, sqls = entry.queries(), entry.oracle_sql()
     assert set(sqls) <= set(queries)
