@@ -2,7 +2,8 @@
 
 1. One pass over the texts tokenizes them and cuts each document into full windows and a rest in pieces of at most
    ``PIECE`` ids. A row per piece leaves that pass; ids never travel.
-2. Pieces are dealt by hash to groups of about ``GROUP_WINDOWS`` windows.
+2. Pieces are dealt by hash to groups of about ``GROUP_WINDOWS`` windows. Equal pieces are counted first and their
+   copies dealt in turn to the groups from there on, so that repeated rows spread.
 3. A group is partitioned into windows by differencing: each piece starts as a partition of its own with one loaded
    window; the two partitions of largest imbalance are merged, the heaviest windows of one with the lightest of the
    other, until one is left with nearly equal windows. If a window exceeds the capacity, the count of windows rises by
@@ -226,6 +227,7 @@ def fill_windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 def _window_rows(capacity: int):
     def run(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.repeat(np.arange(len(table)), table.column("copies").to_numpy())))
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         lengths = table.column("length").to_pylist()
         group = table.column("grp")[0].as_py() if len(table) else 0
@@ -237,7 +239,7 @@ def _window_rows(capacity: int):
             for item in window:
                 sequence[item], offset[item] = (group << 32) + number, at
                 at += lengths[item]
-        table = table.drop_columns(["grp"])
+        table = table.drop_columns(["grp", "copies"])
         return table.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
     return run
 
@@ -248,5 +250,10 @@ def pack(docs: DataFrame, stages, tokenizer: str = TOKENIZER, capacity: int = CA
     rows = stages.keep(pieces(docs, tokenizer, capacity, piece))
     total = rows.filter(F.col("length") < capacity).agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(total / (group_windows * capacity)))
-    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(groups)))
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    turn = F.explode(F.sequence(F.lit(0).cast("long"), F.least("n", F.lit(groups)) - 1)).alias("turn")
+    home = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(groups))
+    dealt = counted.select("*", turn).select(
+        *rows.columns, F.pmod(home + F.col("turn"), F.lit(groups)).alias("grp"),
+        (F.floor((F.col("n") - 1 - F.col("turn")) / F.lit(groups)) + 1).alias("copies"))
     return dealt.groupBy("grp").applyInArrow(_window_rows(capacity), _PIECE + ", sequence_id long, offset long")

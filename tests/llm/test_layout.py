@@ -55,6 +55,17 @@ def reference_ids(text):
     return tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_equal_pieces_spread_over_groups(llm):
+    """Repeated rows are all kept and no group gets more than its share of them."""
+    rows = [(None, "one two three " * 40)] * 1000 + [(i, f"text {i}") for i in range(50)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    found = packing.pack(docs, Stages(llm), group_windows=2).collect()
+    alike = [r["sequence_id"] >> 32 for r in found if r["doc_id"] is None]
+    groups = len(set(alike))
+    assert len(found) == 1050 and len(alike) == 1000 and groups > 4
+    assert max(alike.count(g) for g in set(alike)) <= -(-1000 // groups)
+
+
 @pytest.mark.parametrize("source", ["awkward", "documents", "nothing"])
 def test_packed_pieces(source, request, llm):
     docs = request.getfixturevalue(source)
