@@ -103,3 +103,24 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyrewatch.llm.toxicity import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_centroid_clustering", sql.lloyd())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyrewatch.llm.lloyd import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_conversation_repair", sql.conversation_repair())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyrewatch.llm.conversations import repair_damaged
+
+    return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_quality_rules", sql.quality_rules())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyrewatch.llm.rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))
