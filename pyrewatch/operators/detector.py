@@ -224,7 +224,14 @@ def flag_with_feedback(series: DataFrame, settings: DetectorSettings | None = No
     return dealt.mapInPandas(_walk_partition(settings), ANOMALY_POINT).select(*POINT_COLUMNS)
 
 
-def detect(series: DataFrame, settings: DetectorSettings | None = None) -> DataFrame:
-    """Anomaly points under ``settings``: the walk when flags feed back, plain frames otherwise."""
+def detect(series: DataFrame, settings: DetectorSettings | None = None, rows_per_block: int | None = None) -> DataFrame:
+    """Anomaly points under ``settings``: the walk when flags feed back, plain frames otherwise.
+
+    With ``rows_per_block`` a series is walked in blocks on many tasks, which pays from some hundred thousand rows of one series.
+    """
     settings = settings or DetectorSettings()
+    if settings.exclude_flagged and rows_per_block:
+        from pyrewatch.operators.blockwalk import flag_in_blocks
+
+        return flag_in_blocks(series, settings, rows_per_block)
     return (flag_with_feedback if settings.exclude_flagged else flag_without_feedback)(series, settings)

@@ -807,12 +807,12 @@ block("hourly_fold", "hourly_rows", fold().replace("fold f JOIN series_rows", "h
 SELECT incident_id, timestamp, value, detection_method, severity, round(z_score, 6) AS z_score FROM hourly_fold
 WHERE detection_method IS NOT NULL""", "hourly_fold"))
 def _(spark, sf):
-    """A month-long hourly series per event type, each walked as a whole."""
+    """A month-long hourly series per event type, its weeks walked at once."""
     hour = F.col("ts").cast("date").cast("timestamp_ntz") + F.make_dt_interval(hours=F.hour("ts"))
     hourly = t.read(spark, sf, "events").groupBy(F.col("event_type").alias("incident_id"), hour.alias("timestamp")).agg(
         F.round(F.sum("value"), 2).alias("value")).select(
         "incident_id", F.col("incident_id").alias("service"), F.lit("latency_ms").alias("metric_name"), "timestamp", "value")
-    out = detect(hourly, DetectorSettings())
+    out = detect(hourly, DetectorSettings(), rows_per_block=7 * 24)
     return out.select("incident_id", "timestamp", "value", "detection_method", "severity", F.round("z_score", 6).alias("z_score"))
 
 

@@ -5,7 +5,8 @@ from builders import collect, minute, noise, points, series
 from pyspark.sql import functions as F
 
 from pyrewatch.config import DetectorSettings, MetricRule
-from pyrewatch.operators.detector import flag_with_feedback
+from pyrewatch.operators import blockwalk
+from pyrewatch.operators.detector import detect, flag_with_feedback
 from pyrewatch.operators.ordered import with_previous, with_row_number, with_session_number
 from pyrewatch.operators.scoring import flag_without_feedback, with_baselines
 from pyrewatch.operators.windows import anomaly_windows
@@ -289,3 +290,51 @@ def test_stream_windows_equal_batch(spark, tmp_path):
     batch = [(r["start_time"], r["end_time"], r["anomaly_count"]) for r in collect(anomaly_windows(table), "start_time")]
     # The last window stays open until the watermark passes it.
     assert closed == batch[:-1]
+
+
+def block_cases(spark):
+    rng = np.random.default_rng(3)
+    values = rng.normal(50, 1, 1500)
+    values[100:180] += 25
+    values[420:900] += np.linspace(0, 30, 480)
+    values[1000:] += 20
+    return (series(spark, values, "cpu_usage", every=60)
+            .unionByName(series(spark, rng.normal(50, 1, 900), "latency_ms", every=30))
+            .unionByName(series(spark, [95.0] * 5, "db_connection_utilization")))
+
+
+def same_points(a, b):
+    assert len(a) == len(b) > 100
+    for x, y in zip(a, b, strict=True):
+        for name in x:
+            assert x[name] == (pytest.approx(y[name]) if isinstance(y[name], float) else y[name]), name
+
+
+def test_blocks_give_the_points_of_one_walk(spark):
+    """Ramps and lasting steps make guesses wrong; the blocks behind them are walked again."""
+    table = block_cases(spark)
+    order = ("metric_name", "timestamp")
+    want = collect(flag_with_feedback(table), *order)
+    for rows, blocks in ((200, 14), (50, 49)):
+        walk = blockwalk.walk_blocks(table, rows_per_block=rows)
+        assert walk.walked[0] == blocks and (rows == 200 or walk.repeated > 0)
+        same_points(collect(walk.points, *order), want)
+    same_points(collect(detect(table, rows_per_block=500), *order), want)
+
+
+def test_blocks_left_over_are_walked_in_order(spark, monkeypatch):
+    monkeypatch.setattr(blockwalk, "MOST_ROUNDS", 1)
+    monkeypatch.setattr(blockwalk, "GUESS_DEPTH", 1)
+    table = block_cases(spark)
+    order = ("metric_name", "timestamp")
+    same_points(collect(blockwalk.walk_blocks(table, rows_per_block=40).points, *order), collect(flag_with_feedback(table), *order))
+
+
+def test_one_quiet_series_is_on_many_tasks_and_repeats_little(spark):
+    rng = np.random.default_rng(9)
+    table = series(spark, rng.normal(50, 1, 6000), "cpu_usage")
+    walk = blockwalk.walk_blocks(table, rows_per_block=250)
+    assert walk.walked[0] == 24 and walk.repeated <= 6
+    steps = walk.points.count()
+    assert steps == flag_with_feedback(table).count()
+    assert blockwalk.walk_blocks(table.limit(0)).points.count() == 0
