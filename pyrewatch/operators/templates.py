@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from math import ceil
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pyrewatch.functions.text import DESCRIPTION_WORDS, KEYWORDS, template_of
@@ -53,63 +52,95 @@ def template_totals(logs: DataFrame, labels: DataFrame) -> DataFrame:
     return coverage.join(distinct, "scenario", "left").na.fill(0, ["unique_error_templates"])
 
 
-def _bits(sets: list, columns: dict) -> np.ndarray:
-    """One row per set over the numbered templates; others are left out."""
-    out = np.zeros((len(sets), max(1, len(columns))), dtype=np.float32)
-    for row, templates in enumerate(sets):
-        at = [columns[t] for t in templates if t in columns]
-        out[row, at] = 1
-    return out
+def _set_blocks(rows: int):
+    """Consecutive sets of one scenario in blocks: their numbers and cases, their templates end to end, and all templates."""
+    names = ["scenario", "block", "sigs", "cases", "sizes", "templates", "known"]
 
+    def emit(scenario: str, number: int, sets: list[tuple]) -> pa.RecordBatch:
+        flat = np.concatenate([np.array(x[2], np.int64) for x in sets])
+        parts = [[x[0] for x in sets], [x[1] for x in sets], [len(x[2]) for x in sets], flat, np.unique(flat)]
+        lists = [pa.array([np.asarray(part, np.int64)], pa.list_(pa.int64())) for part in parts]
+        return pa.record_batch([pa.array([scenario]), pa.array([number]), *lists], names=names)
 
-def _against(block: pd.DataFrame, width: int = 4096, rows: int = 1024):
-    """Jaccard figures of the sets of a partition against a block of sets; only three numbers per batch leave the task."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, current, held = TaskContext.get().partitionId() << 32, None, []
         for batch in batches:
-            for scenario, own in batch.groupby("scenario"):
-                other = block[block["scenario"] == scenario]
-                for at in range(0, len(own) if len(other) else 0, rows):
-                    yield _figures(scenario, own.iloc[at:at + rows], other, width)
+            for row in batch.to_pylist():
+                if held and (row["scenario"] != current or len(held) == rows):
+                    yield emit(current, number, held)
+                    number, held = number + 1, []
+                current = row["scenario"]
+                held.append((row["sig"], row["cases"], row["templates"]))
+        if held:
+            yield emit(current, number, held)
     return run
 
 
-def _figures(scenario: str, own: pd.DataFrame, other: pd.DataFrame, width: int) -> pd.DataFrame:
-    left, right = own["templates"].tolist(), other["templates"].tolist()
-    names = sorted({t for s in right for t in s})
-    shared = np.zeros((len(left), len(right)))
-    for at in range(0, len(names), width):
-        columns = {t: i for i, t in enumerate(names[at:at + width])}
-        shared += _bits(left, columns) @ _bits(right, columns).T
-    sizes = [np.array([len(s) for s in side]) for side in (left, right)]
-    score = shared / (sizes[0][:, None] + sizes[1][None, :] - shared)
-    # Each pair of different sets counts once, as often as its incidents pair up; equal sets pair among themselves.
-    a, b = own["sig"].to_numpy()[:, None], other["sig"].to_numpy()[None, :]
-    m, n = own["cases"].to_numpy(dtype=float)[:, None], other["cases"].to_numpy(dtype=float)[None, :]
-    pairs = np.where(a < b, m * n, np.where(a == b, m * (m - 1) / 2, 0.0))
-    score = np.where(a == b, 1.0, score)
-    return pd.DataFrame({"scenario": [scenario], "_sum": [float((score * pairs).sum())],
-                         "_max": [float(score[pairs > 0].max()) if (pairs > 0).any() else 0.0], "_pairs": [int(pairs.sum())]})
-
-
-def template_similarity(logs: DataFrame, labels: DataFrame, block_sets: int = 8192) -> DataFrame:
+def _postings(sizes: np.ndarray, templates: np.ndarray, wanted: np.ndarray) -> list[np.ndarray]:
+    """Per wanted template the sets that hold it."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.searchsorted(wanted, templates)
+    place[place == len(wanted)] = 0
+    kept = wanted[place] == templates if len(wanted) else np.zeros(len(templates), bool)
+    order = np.argsort(place[kept], kind="stable")
+    return np.split(owner[kept][order], np.searchsorted(place[kept][order], np.arange(1, len(wanted))))
+
+
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum and maximum of the Jaccard scores of two blocks, counted along the posting lists of their common templates."""
+    def numbers(batch: pa.RecordBatch, name: str, at: int) -> np.ndarray:
+        return np.asarray(batch.column(name)[at].values, dtype=np.int64)
+
+    for batch in batches:
+        for at in range(batch.num_rows):
+            (sizes, cases), (others, other_cases) = ([numbers(batch, f"{side}_{n}", at) for n in ("sizes", "cases")] for side in "ab")
+            common = np.intersect1d(numbers(batch, "a_known", at), numbers(batch, "b_known", at), assume_unique=True)
+            shared = np.zeros((len(sizes), len(others)), np.int32)
+            for rows, columns in zip(_postings(sizes, numbers(batch, "a_templates", at), common),
+                                     _postings(others, numbers(batch, "b_templates", at), common), strict=True):
+                shared[np.ix_(rows, columns)] += 1
+            if batch.column("same")[at].as_py():
+                # Each pair of different sets of a block counts once.
+                shared = np.triu(shared, 1)
+            row, column = np.nonzero(shared)
+            both = shared[row, column]
+            score = both / (sizes[row] + others[column] - both)
+            pairs = cases[row].astype(float) * other_cases[column]
+            yield pa.record_batch([batch.column("scenario").slice(at, 1), pa.array([float((score * pairs).sum())]),
+                                   pa.array([float(score.max(initial=0.0))])], names=["scenario", "_sum", "_max"])
+
+
+def template_similarity(logs: DataFrame, labels: DataFrame, block_sets: int = 1024) -> DataFrame:
     """Mean and largest Jaccard similarity of the ERROR template sets of two cases of one failure scenario.
 
-    Pairs without a common template count as 0. Cases with equal sets are one row with a count. Sets stay where they
-    are: a block of at most ``block_sets`` of them goes to all tasks and is one pass over the others as a product of
-    bit columns, so no pair is ever a row and no set is copied.
+    Cases with equal sets are one row with a count, and pairs without a common template add to the number of pairs alone.
+    Sets lie in blocks of similar ones; two blocks meet only if a template occurs in both, and there the overlaps are counted
+    along posting lists. So no pair is a row, and the work follows the pairs that overlap.
     """
     chosen = labels.where(F.col("scenario").isin(*FAILURES)).select("incident_id", "scenario")
     rows = incident_templates(logs, ("ERROR",)).join(chosen, "incident_id")
     per_case = rows.groupBy("scenario", "incident_id").agg(F.sort_array(F.collect_set(F.xxhash64("template"))).alias("templates"))
     sets = cut_lineage(per_case.withColumn("sig", F.xxhash64("templates")).groupBy("scenario", "sig").agg(
         F.count("*").alias("cases"), F.first("templates").alias("templates")))
-    blocks = max(1, ceil(sets.count() / block_sets))
-    schema = "scenario string, _sum double, _max double, _pairs long"
-    parts = [sets.mapInPandas(_against(sets.where(F.pmod("sig", F.lit(blocks)) == block).toPandas()), schema)
-             for block in range(blocks)]
-    return reduce(DataFrame.unionByName, parts).groupBy("scenario").agg(
-        F.try_divide(F.sum("_sum"), F.sum("_pairs")).alias("mean_similarity"), F.max("_max").alias("max_similarity"),
-        F.sum("_pairs").alias("pairs"))
+    near = sets.repartitionByRange("scenario", "templates").sortWithinPartitions("scenario", "templates")
+    longs = ", ".join(f"{n} array<bigint>" for n in ("sigs", "cases", "sizes", "templates", "known"))
+    blocks = cut_lineage(near.mapInArrow(_set_blocks(block_sets), f"scenario string, block bigint, {longs}"))
+    postings = blocks.select("scenario", F.explode("known").alias("template"), "block")
+    others = postings.withColumnRenamed("block", "other")
+    pairs = postings.join(others, ["scenario", "template"]).where("block <= other").groupBy("block", "other").agg(F.first("scenario").alias("scenario"))
+    kept = ("sizes", "cases", "templates", "known")
+    left = blocks.select("block", *[F.col(n).alias(f"a_{n}") for n in kept])
+    right = blocks.select(F.col("block").alias("other"), *[F.col(n).alias(f"b_{n}") for n in kept])
+    met = pairs.join(left, "block").join(right, "other").withColumn("same", F.col("block") == F.col("other"))
+    scores = met.drop("block", "other").mapInArrow(_overlaps, "scenario string, _sum double, _max double")
+    n = F.col("cases")
+    totals = sets.groupBy("scenario").agg(
+        F.sum(n).alias("_n"), F.sum(n * (n - 1) / 2).alias("_equal"), F.max(n).alias("_most"))
+    count = (F.col("_n") * (F.col("_n") - 1) / 2).cast("long")
+    best = F.greatest(F.coalesce("_best", F.lit(0.0)), F.when(F.col("_most") > 1, 1.0).otherwise(0.0))
+    found = totals.join(scores.groupBy("scenario").agg(F.sum("_sum").alias("_total"), F.max("_max").alias("_best")), "scenario", "left")
+    return found.select("scenario", F.try_divide(F.coalesce("_total", F.lit(0.0)) + F.col("_equal"), count).alias("mean_similarity"),
+                        best.alias("max_similarity"), count.alias("pairs"))
 
 
 def keyword_presence(logs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from builders import collect, incident, points
 from pyspark.sql import functions as F
@@ -201,3 +202,33 @@ def test_pack_clips_and_hides_metadata(spark):
     assert row["short_description"].startswith("Retrieved prior incident HIST-1 (similarity 0.500). word")
     assert (len(row["short_description"]), len(row["detail"]), row["timestamp"]) == (240, 500, "2025")
     assert hits.select(F.size("metadata")).first()[0] == 2
+
+
+def test_blocks_below_the_floor_are_not_scored(spark):
+    """Short texts over many slots: a query meets few blocks, and the hits are those of a full scan."""
+    from pyrewatch.operators import search
+
+    draw = np.random.default_rng(6)
+    topics = [[f"t{topic}w{i}" for i in range(6)] for topic in range(40)]
+    texts = [(f"d{i:04}", " ".join(draw.choice(topics[i % 40], 5))) for i in range(1200)]
+    items = r.hash_vectors(spark.createDataFrame(texts, "id string, text string"), 512)
+    queries = items.where("id < 'd0060'").withColumnRenamed("id", "query_id")
+    found = search.search(queries, items, 3, items=32, chunk=16)
+    rows = {x["id"]: np.array(x["vector"]) for x in items.collect()}
+    want = set()
+    for q in queries.collect():
+        ranked = sorted((-round(float(np.dot(q["vector"], v)), 9), i) for i, v in rows.items())[:3]
+        want |= {(q["query_id"], rank, i, -score) for rank, (score, i) in enumerate(ranked, 1)}
+    got = {(x["query_id"], x["rank"], x["id"], x["score"]) for x in found.hits.collect()}
+    assert {x[:3] for x in got} == {x[:3] for x in want}
+    assert found.scored() < 0.2 * 60 * 1200
+    assert search.search(queries.limit(0), items).hits.count() == 0
+
+
+def test_search_collects_nothing():
+    """No query, item or set passes through the driver."""
+    import pathlib
+
+    for name in ("search.py", "retrieval.py", "templates.py"):
+        text = pathlib.Path(r.__file__).with_name(name).read_text()
+        assert ".collect()" not in text and "toPandas" not in text, name
