@@ -13,6 +13,7 @@ from pyrewatch.functions.evaluate import once
 from pyrewatch.functions.events import with_event_type
 from pyrewatch.functions.text import normalize_level
 from pyrewatch.functions.times import parse_iso
+from pyrewatch.session import cut_lineage
 from pyrewatch.sources.lines import files_without_rows, read_lines
 
 #: Bits of a line number in ``seq``.
@@ -85,24 +86,19 @@ def valid_logs(checked: DataFrame) -> DataFrame:
     ``seq`` names a line of its incident: the place of its file among the incident's files, by path, in the upper bits
     and the line number below. It keeps file order for ties and is the line number where an incident has one file.
     """
-    good = checked.where(F.size("reasons") == 0)
-    bad_files = checked.where(F.size("reasons") > 0).select("path").distinct()
     record = F.col("record")
-    level = normalize_level(record["level"])
-    rows = good.join(bad_files, "path", "left_anti").select(
-        "path", F.col("line_no").alias("seq"), parse_iso(record["timestamp"]).alias("timestamp"), "incident_id",
-        record["service"].alias("service"), record["host"].alias("host"), level.alias("level"),
-        record["logger"].alias("logger"), record["message"].alias("message"), record["trace_id"].alias("trace_id"),
-    )
-    # One row per incident and file.
-    place = F.row_number().over(Window.partitionBy("incident_id").orderBy("path")) - 1
-    files = rows.select("incident_id", "path").distinct().withColumn("_file", place)
-    rows = rows.join(files, ["incident_id", "path"]).withColumn(
-        "seq", F.shiftleft(F.col("_file").cast("long"), LINE_BITS) + F.col("seq")).drop("_file")
+    # One row per file and incident it names: whether the file is sound, and its place among the incident's files.
+    files = checked.groupBy("path", "incident_id").agg(F.count_if(F.size("reasons") > 0).alias("_bad"))
+    files = files.withColumn("_bad", F.sum("_bad").over(Window.partitionBy("path"))).where("_bad = 0").select(
+        "path", "incident_id", (F.row_number().over(Window.partitionBy("incident_id").orderBy("path")) - 1).cast("long").alias("_file"))
+    rows = checked.join(files, ["path", "incident_id"]).select(
+        "path", (F.shiftleft("_file", LINE_BITS) + F.col("line_no")).alias("seq"), parse_iso(record["timestamp"]).alias("timestamp"),
+        "incident_id", record["service"].alias("service"), record["host"].alias("host"), normalize_level(record["level"]).alias("level"),
+        record["logger"].alias("logger"), record["message"].alias("message"), record["trace_id"].alias("trace_id"))
     return with_event_type(rows, F.col("message"), F.col("level"))
 
 
 def ingest_logs(lines: DataFrame, expected: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, rejects) of (path, line_no, line). Nothing is stored: each result parses the lines it reads."""
-    checked = check_log_lines(lines, expected)
+    """(valid rows, rejects) of (path, line_no, line). Lines are parsed once; the checked records are stored for both results."""
+    checked = cut_lineage(check_log_lines(lines, expected).drop("line"))
     return valid_logs(checked), rejects(checked)

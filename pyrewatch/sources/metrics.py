@@ -1,6 +1,7 @@
 """Metric CSV files: read every cell as text, then check, type and de-duplicate.
 
-A row is one line. Cells may be quoted: a comma inside quotes belongs to the cell, and two quotes stand for one.
+A row is one record. Cells may be quoted: a comma or a line break inside quotes belongs to the cell, and two quotes stand
+for one. Files are read in splits all the same; a quote that is never closed is a problem of its file.
 """
 
 from __future__ import annotations
@@ -11,48 +12,57 @@ from pyrewatch import schemas as S
 from pyrewatch.functions.evaluate import once
 from pyrewatch.functions.text import stripped
 from pyrewatch.functions.times import iso_text, parse_iso
-from pyrewatch.sources.lines import files_without_rows, read_lines
+from pyrewatch.sources.lines import files_without_rows, read_records
 
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 NOT_FINITE = r"(?i)^[+-]?(nan|inf|infinity)$"
 
 
-# A comma with an even number of quotes behind it.
-_BETWEEN_CELLS = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+#: Stands between cells while a record is cut: a noncharacter, which no text holds.
+_BORDER = "\ufdd0"
 
 
-def csv_cells(line: Column) -> Column:
-    """The cells of a CSV line, without their quotes."""
+def csv_cells(record: Column) -> Column:
+    """The cells of a CSV record, without their quotes. The record is cut at its quotes first, so the work is linear."""
     def cell(text: Column) -> Column:
         inner = F.replace(F.substring(text, 2, F.length(text) - 2), F.lit('""'), F.lit('"'))
         return F.when((F.length(text) > 1) & text.startswith('"') & text.endswith('"'), inner).otherwise(text)
-    return F.transform(F.split(F.regexp_replace(line, r"\r$", ""), _BETWEEN_CELLS, -1), cell)
+    # Every second part lies between quotes.
+    parts = F.transform(F.split(F.regexp_replace(record, r"\r$", ""), '"', -1), lambda part, i: F.when(
+        i % 2 == 0, F.translate(part, ",", _BORDER)).otherwise(part))
+    return F.transform(F.split(F.array_join(parts, '"'), _BORDER, -1), cell)
 
 
 def read_metric_cells(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(cells, file problems). Row 1 is the header; a file whose header is wrong yields no cells."""
-    lines = read_lines(spark, path)
+    records = read_records(spark, path)
     wanted = F.array(*[F.lit(c) for c in S.METRIC_COLUMNS])
-    headers = lines.where(F.col("line_no") == 1).select("path", csv_cells(F.col("line")).alias("header")).withColumns({
+    headers = records.where((F.col("row_no") == 1) & F.col("line").isNotNull()).select("path", csv_cells(F.col("line")).alias("header")).withColumns({
         "missing": F.array_except(wanted, "header"), "unexpected": F.array_except("header", wanted)})
     wrong = (F.size("missing") > 0) | (F.size("unexpected") > 0)
-    body = lines.where(F.col("line_no") > 1)
+    unclosed = records.where(F.col("line").isNull())
+    body = records.where(F.col("row_no") > 1).join(unclosed.select("path").distinct(), "path", "left_anti")
     note = F.concat_ws(
         "; ",
         F.when(F.size("missing") > 0, F.concat(F.lit("missing columns "), F.array_join("missing", ","))),
         F.when(F.size("unexpected") > 0, F.concat(F.lit("unexpected columns "), F.array_join("unexpected", ","))))
 
-    def problem(files: DataFrame, location: str, reason: Column) -> DataFrame:
-        return files.select("path", F.lit(0).cast("long").alias("location_no"), F.lit(location).alias("location"),
-                            reason.alias("reason"), F.lit(None).cast("string").alias("incident_id"))
+    def problem(files: DataFrame, location: Column, reason: Column, number: Column | None = None) -> DataFrame:
+        number = F.lit(0) if number is None else number
+        return files.select("path", number.cast("long").alias("location_no"), location.alias("location"), reason.alias("reason"), F.lit(None).cast("string").alias("incident_id"))
 
-    bare = headers.where(~wrong).join(body.select("path").distinct(), "path", "left_anti")
-    problems = problem(headers.where(wrong), "header", note).unionByName(
-        problem(bare, "file", F.lit("contains no metric rows")))
+    row = F.concat(F.lit("row "), F.col("row_no").cast("string"))
+    note_unclosed = F.concat(F.lit("a quote is not closed within "), F.col("lines").cast("string"), F.lit(" lines"))
+
+    bare = headers.where(~wrong).join(body.select("path").distinct(), "path", "left_anti").join(
+        unclosed.select("path"), "path", "left_anti")
+    problems = problem(headers.where(wrong), F.lit("header"), note).unionByName(
+        problem(bare, F.lit("file"), F.lit("contains no metric rows"))).unionByName(
+        problem(unclosed, row, note_unclosed, F.col("row_no")))
     cells = once(body, "_split", csv_cells(F.col("line"))).join(headers.where(~wrong).select("path", "header"), "path").withColumn(
         "_cells", F.map_from_arrays("header", F.transform("header", lambda name, i: F.get("_split", i))))
     named = [F.col("_cells")[c].alias(c) for c in S.METRIC_COLUMNS]
-    return cells.select("path", F.col("line_no").alias("row_no"), *named), problems
+    return cells.select("path", "row_no", *named), problems
 
 
 def files_without_metrics(expected: DataFrame, cells: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+from hashlib import sha256
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pyrewatch.operators.ordered import with_row_number
@@ -80,15 +84,62 @@ def issue_report(rejects: DataFrame, shown: int = 10) -> DataFrame:
 
 
 #: Largest file that is read as one row.
-LARGEST_FILE = 512 << 20
+LARGEST_FILE = 64 << 20
+_MARK = b"\xef\xbb\xbf"
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, digest) of every file below ``path``. A file is one row, so one over ``LARGEST_FILE`` is an error."""
+def _streamed_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of each file from its lines in order, one batch at a time.
+
+    Lines come without their breaks, and the reader leaves out a mark at the front of a file. The length of the file tells
+    whether the last line had a break, and whether there was a mark, so both hashes are carried to the end.
+    """
+    current, size, seen, hashes = None, 0, 0, ()
+
+    def done() -> pa.RecordBatch:
+        # The first line was led by no break, so one break is still due where the file ends with one.
+        plain, marked = hashes
+        rest = size - seen
+        chosen = marked if rest >= len(_MARK) else plain
+        if rest in (1, 1 + len(_MARK)):
+            chosen.update(b"\n")
+        return pa.record_batch([[current], [size], [chosen.hexdigest()]], names=["path", "length", "digest"])
+
+    for batch in batches:
+        paths, sizes, lines = (batch.column(i).to_pylist() for i in range(3))
+        at = 0
+        while at < len(paths):
+            end = bisect_right(paths, paths[at], lo=at)
+            if paths[at] != current:
+                if current is not None:
+                    yield done()
+                current, size, seen = paths[at], sizes[at], -1
+                hashes = (sha256(), sha256(_MARK))
+            part = b"\n".join(lines[at:end])
+            part = part if seen < 0 else b"\n" + part
+            seen = max(seen, 0) + len(part)
+            for h in hashes:
+                h.update(part)
+            at = end
+    if current is not None:
+        yield done()
+
+
+def file_digests(spark: SparkSession, path: str, whole: int = LARGEST_FILE) -> DataFrame:
+    """(path, length, digest) of every file below ``path``.
+
+    A file of up to ``whole`` bytes is one row. A larger one is read in splits of lines, which are brought together in order and
+    hashed as a stream: a digest of a file is one chain, so one task ends it, but it holds no more than a batch of lines.
+    Spark scans no empty file, so such a file has no row.
+    """
+    name = F.col("_metadata.file_path").alias("path")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    too_long = F.raise_error(F.concat(F.lit("too large for one row: "), "path")).cast("binary")
-    content = F.when(F.col("length") > LARGEST_FILE, too_long).otherwise(F.col("content"))
-    return files.select("path", "length", F.sha2(content, 256).alias("digest"))
+    small = files.where(F.col("length") <= whole).select(name, "length", F.sha2("content", 256).alias("digest"))
+    rows = spark.read.option("recursiveFileLookup", True).text(path, lineSep="\n").where(F.col("_metadata.file_size") > whole).select(
+        name, F.col("_metadata.file_size").alias("length"), F.col("value").cast("binary").alias("line"),
+        F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"))
+    dealt = rows.repartition("path").sortWithinPartitions("path", "_split", "_id").select("path", "length", "line")
+    return small.unionByName(dealt.mapInArrow(_streamed_digests, "path string, length bigint, digest string"))
 
 
 def manifest_audit(files: DataFrame, manifest: DataFrame) -> DataFrame:

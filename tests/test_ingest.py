@@ -269,3 +269,82 @@ def test_line_numbers_over_many_splits(spark, tmp_path):
         assert wrong.count() == 0
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def records_of(text):
+    """Records of a text by one scan: a line break counts outside quotes only."""
+    out, current, quoted = [], "", False
+    for letter in text:
+        quoted ^= letter == '"'
+        if letter == "\n" and not quoted:
+            out.append(current)
+            current = ""
+        else:
+            current += letter
+    return [*out, current] if current else out
+
+
+@pytest.mark.parametrize("split", [1, 7, 40, 1000])
+def test_records_with_line_breaks_over_many_splits(spark, tmp_path, split):
+    import random
+
+    from pyrewatch.sources.lines import read_records
+
+    draw = random.Random(split)
+    texts = {"plain": "a,b\n1,2\n3,4\n"}
+    for name in ("x", "y", "z"):
+        rows = [",".join(draw.choice(['"a\nb"', '"\n"', "7", '""', '"say ""hi""\n,\n"', "word", '"x,y"', '"\n\n\n"']) for _ in range(3))
+                for _ in range(40)]
+        texts[name] = "\n".join(rows) + ("\n" if name != "z" else "")
+    for name, text in texts.items():
+        (tmp_path / "t").mkdir(exist_ok=True)
+        (tmp_path / f"t/{name}.csv").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        found = read_records(spark, str(tmp_path / "t")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, text in texts.items():
+        own = sorted((r["row_no"], r["line"]) for r in found if r["path"].endswith(f"/{name}.csv"))
+        assert own == list(enumerate(records_of(text), 1)), name
+
+
+def test_quotes_that_never_close(spark, tmp_path):
+    from pyrewatch.sources.lines import read_records
+
+    write_lines(tmp_path / "m/INC-001.csv", [HEADER, ROW.format(0, 1), 'x,"open', *["more"] * 30])
+    write_lines(tmp_path / "m/INC-002.csv", [HEADER, ROW.format(0, 1).replace("INC-001", "INC-002").replace("api", '"a\n\nb"')])
+    cells, problems = metric_source.read_metric_cells(spark, str(tmp_path / "m"))
+    assert [(r["location"], r["reason"]) for r in problems.collect()] == [("row 3", "a quote is not closed within 31 lines")]
+    assert {(r["row_no"], r["service"]) for r in cells.collect()} == {(2, "a\n\nb")}
+    long = read_records(spark, str(tmp_path / "m/INC-002.csv"), most_lines=2).where("line is null").collect()
+    assert [(r["row_no"], r["lines"]) for r in long] == [(2, 3)]
+
+
+def test_cells_of_a_record(spark):
+    texts = {'a,"b,c",d': ["a", "b,c", "d"], '"x""y",,': ['x"y', "", ""], '"l1\nl2",2\r': ["l1\nl2", "2"], "": [""], '""': [""]}
+    table = spark.createDataFrame([(t,) for t in texts], "line string")
+    assert {r["line"]: r["cells"] for r in table.select("line", metric_source.csv_cells(F.col("line")).alias("cells")).collect()} == texts
+
+
+def test_digests_of_large_files_are_streamed(spark, tmp_path):
+    """Files over the limit are read in splits and hashed in order: no last line break, a mark in front, bytes that are no text."""
+    import hashlib
+    import random
+
+    draw = random.Random(8)
+    contents = {"small": b"a\n", "lines": b"".join(b"line %d\r\n" % i for i in range(900)), "open": b"x\n" * 700 + b"end",
+                "mark": b"\xef\xbb\xbf" + b"y\n" * 800, "bytes": bytes(draw.randrange(256) for _ in range(9000)), "breaks": b"\n" * 1500,
+                "mark only in front": b"\xef\xbb\xbf" + b"z" * 1200}
+    (tmp_path / "d/deep").mkdir(parents=True)
+    for i, (name, data) in enumerate(contents.items()):
+        (tmp_path / ("d/deep" if i % 2 else "d") / f"{name}.bin").write_bytes(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        found = reports.file_digests(spark, str(tmp_path / "d"), whole=1000).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = {r["path"].split("/")[-1].removesuffix(".bin").replace("%20", " "): (r["length"], r["digest"]) for r in found}
+    assert got == {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in contents.items()}
