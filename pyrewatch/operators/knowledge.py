@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import batched
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pyrewatch import schemas as S
+from pyrewatch.functions.evaluate import once
 from pyrewatch.functions.text import LABEL_LEAK, RELATIVE_TIME, stripped
 from pyrewatch.operators.quality import flagged, problems, union
 
@@ -12,7 +17,6 @@ from pyrewatch.operators.quality import flagged, problems, union
 SHORT_CHUNK = 280
 LONG_CHUNK = 1800
 _STRINGS = "array<string>"
-_PIECE = "struct<section:string,body:string>"
 
 
 def _bullets(head: str, items: Column) -> Column:
@@ -67,87 +71,124 @@ def leaking_documents(documents: DataFrame) -> DataFrame:
     return documents.where(F.coalesce(F.col("text").contains(cause), F.lit(False)))
 
 
-def _sections(text: Column) -> Column:
+class _Chunks:
+    """The chunks of one document, closed one after another; two pieces are held at most.
+
+    Short pieces run into the next one, and a short last piece goes back to the one before.
+    """
+
+    def __init__(self, least: int):
+        self.least = least
+        self.ready: tuple[str, list[str]] | None = None
+        self.now: tuple[str, list[str]] | None = None
+        self.size = 0
+
+    def add(self, section: str, body: str) -> tuple[str, str] | None:
+        """Take a piece; the chunk that is certain now, if any."""
+        if self.now is not None and self.size < self.least:
+            self.now = (f"{self.now[0]} / {section}", [*self.now[1], body])
+            self.size += 2 + len(body)
+            return None
+        closed, self.ready = self.ready, self.now
+        self.now, self.size = (section, [body]), len(body)
+        return self._text(closed)
+
+    def rest(self) -> list[tuple[str, str]]:
+        if self.now is not None and self.ready is not None and self.size < self.least:
+            self.now = (f"{self.ready[0]} / {self.now[0]}", [*self.ready[1], *self.now[1]])
+            self.ready = None
+        return [self._text(held) for held in (self.ready, self.now) if held is not None]
+
+    @staticmethod
+    def _text(held: tuple[str, list[str]] | None) -> tuple[str, str] | None:
+        return held and (held[0], "\n\n".join(held[1]))
+
+
+def _groups(body: str, limit: int) -> Iterator[str]:
+    """A body that is not too long, or its paragraphs in groups of at most ``limit`` characters."""
+    paragraphs = [body] if len(body) <= limit else [p for p in map(str.strip, body.split("\n\n")) if p] or [body]
+    held, size = [], 0
+    for paragraph in paragraphs:
+        if held and size + 2 + len(paragraph) > limit:
+            yield "\n\n".join(held)
+            held, size = [], 0
+        size += len(paragraph) + (2 if held else 0)
+        held.append(paragraph)
+    yield "\n\n".join(held)
+
+
+def _sections(text: str) -> Iterator[tuple[str, str]]:
     """(section, body) after each ``## `` heading; what stands before the first one is dropped."""
-    parts = F.split(F.concat(F.lit("\n"), text), r"\n## ")
-    return F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.struct(
-        stripped(F.substring_index(p, "\n", 1)).alias("section"),
-        stripped(F.when(F.instr(p, "\n") > 0, F.regexp_replace(p, r"^[^\n]*\n", "")).otherwise(F.lit(""))).alias("body")))
-
-
-def _packed(body: Column, limit: int) -> Column:
-    """Paragraphs of a long body packed into groups of at most ``limit`` characters."""
-    paragraphs = F.filter(F.transform(F.split(body, r"\n\n"), stripped), lambda p: p != "")
-    start = F.struct(F.array().cast(_STRINGS).alias("done"), F.lit("").alias("now"))
-
-    def add(acc, p):
-        longer = F.concat(acc["now"], F.lit("\n\n"), p)
-        fits = F.length(longer) <= limit
-        empty = acc["now"] == ""
-        return F.struct(
-            F.when(empty | fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))).alias("done"),
-            F.when(empty, p).when(fits, longer).otherwise(p).alias("now"))
-
-    def close(acc):
-        return F.when(acc["now"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"])))
-
-    groups = F.aggregate(paragraphs, start, add, close)
-    return F.when(F.length(body) <= limit, F.array(body)).when(F.size(groups) == 0, F.array(body)).otherwise(groups)
-
-
-def _pieces(sections: Column, limit: int) -> Column:
-    def parts(s):
-        groups = _packed(s["body"], limit)
-        return F.transform(groups, lambda g, i: F.struct(
-            F.when(F.size(groups) == 1, s["section"]).otherwise(F.concat(
-                s["section"], F.lit(" (part "), (i + 1).cast("string"), F.lit(")"))).alias("section"), g.alias("body")))
-    return F.flatten(F.transform(sections, parts))
-
-
-def _merged(pieces: Column, least: int) -> Column:
-    """Short pieces run into the next one; a short last piece goes back to the one before."""
-    def join(a, b):
-        return F.struct(F.concat(a["section"], F.lit(" / "), b["section"]).alias("section"),
-                        F.concat(a["body"], F.lit("\n\n"), b["body"]).alias("body"))
-
-    nothing = F.lit(None).cast(_PIECE)
-    start = F.struct(F.array().cast(f"array<{_PIECE}>").alias("done"), nothing.alias("now"))
-
-    def add(acc, p):
-        now, short = acc["now"], F.length(acc["now"]["body"]) < least
-        flush = now.isNotNull() & ~short
-        return F.struct(
-            F.when(flush, F.concat(acc["done"], F.array(now))).otherwise(acc["done"]).alias("done"),
-            F.when(now.isNull() | ~short, p).otherwise(join(now, p)).alias("now"))
-
-    def close(acc):
-        done, last = acc["done"], acc["now"]
-        back = (F.size(done) >= 1) & (F.length(last["body"]) < least)
-        tail = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(join(F.element_at(done, -1), last)))
-        return F.when(last.isNull(), done).when(back, tail).otherwise(F.concat(done, F.array(last)))
-
-    return F.aggregate(pieces, start, add, close)
+    text = "\n" + text
+    at = text.find("\n## ")
+    while at >= 0:
+        end = text.find("\n## ", at + 4)
+        heading, _, body = text[at + 4: end if end >= 0 else len(text)].partition("\n")
+        yield heading.strip(), body.strip()
+        at = end
+
+
+def _pieces(text: str, limit: int) -> Iterator[tuple[str, str]]:
+    for section, body in _sections(text):
+        first, number = None, 1
+        for group in _groups(body, limit):
+            if first is None:
+                first = group
+                continue
+            if number == 1:
+                yield f"{section} (part 1)", first
+            number += 1
+            yield f"{section} (part {number})", group
+        if number == 1:
+            yield section, first
+
+
+def _chunked(limit: int, least: int):
+    """One row per chunk of each document, in rows of a bounded number of chunks."""
+    names = ["document_name", "_stem", "_title", "_at", "_section", "_body"]
+
+    def chunks(text: str) -> Iterator[tuple[str, str]]:
+        found = _Chunks(least)
+        for section, body in _pieces(text, limit):
+            closed = found.add(section, body)
+            if closed:
+                yield closed
+        yield from found.rest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                name, stem, title, text = (column[at].as_py() for column in batch.columns)
+                for start, part in enumerate(batched(chunks(text or ""), 1000)):
+                    n = len(part)
+                    yield pa.record_batch(
+                        [pa.array([name] * n, pa.string()), pa.array([stem] * n, pa.string()), pa.array([title] * n, pa.string()),
+                         pa.array(range(1000 * start, 1000 * start + n), pa.int32()), pa.array([s for s, _ in part], pa.string()),
+                         pa.array([b for _, b in part], pa.string())], names=names)
+    return run
 
 
 def chunk_markdown(notes: DataFrame, limit: int = LONG_CHUNK, least: int = SHORT_CHUNK) -> DataFrame:
-    """Chunks of markdown documents (document_name, text). Folds run over a document's own section array."""
+    """Chunks of markdown documents (document_name, text).
+
+    Where a chunk ends depends on the one before, so a document is cut by one task, in one pass: its time is linear in the text,
+    and beside the text no more than two chunks are held.
+    """
     text = stripped(F.replace("text", F.lit("\r\n"), F.lit("\n")))
     stem = F.regexp_replace("document_name", r"\.[^.]*$", "")
     heading = F.regexp_extract(F.concat(F.lit("\n"), F.col("_text")), r"\n# ([^\n]*)", 1)
     has_title = F.col("_text").rlike(r"(^|\n)# ")
-    rows = notes.select("document_name", text.alias("_text"), stem.alias("_stem"))
-    rows = rows.withColumn("_title", F.when(has_title, stripped(heading)).otherwise(F.col("_stem")))
-    rows = rows.select("document_name", "_stem", "_title", F.posexplode(
-        _merged(_pieces(_sections(F.col("_text")), limit), least)).alias("_at", "_piece"))
+    rows = once(notes.select("document_name", "text"), "_text", text).select("document_name", stem.alias("_stem"), F.when(
+        has_title, stripped(heading)).otherwise(stem).alias("_title"), "_text")
+    rows = rows.mapInArrow(_chunked(limit, least), "document_name string, _stem string, _title string, _at int, _section string, _body string")
     number = F.col("_at") + 1
     digits = F.when(number > 999, number.cast("string")).otherwise(F.lpad(number.cast("string"), 3, "0"))
-    body = F.concat(F.lit("Document: "), "_title", F.lit("\nSection: "), F.col("_piece.section"), F.lit("\n\n"),
-                    stripped(F.col("_piece.body")), F.lit("\n"))
+    body = F.concat(F.lit("Document: "), "_title", F.lit("\nSection: "), F.col("_section"), F.lit("\n\n"), stripped(F.col("_body")), F.lit("\n"))
     identity = F.concat_ws("_", "_stem", digits)
     return rows.select(
         identity.alias("id"), body.alias("text"), F.col("_at").alias("position"), F.create_map(
             F.lit("document_id"), identity, F.lit("document_name"), F.col("document_name"),
-            F.lit("section"), F.col("_piece.section"), F.lit("source_type"), F.lit("technical_document")).alias("metadata"))
+            F.lit("section"), F.col("_section"), F.lit("source_type"), F.lit("technical_document")).alias("metadata"))
 
 
 def corpus_problems(postmortems: DataFrame, incidents: DataFrame, cutoff, cases_per_cause: int = 10) -> DataFrame:

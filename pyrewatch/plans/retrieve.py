@@ -361,7 +361,7 @@ LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY positi
 
 
 def texts(spark, sf):
-    points = t.points(spark, sf)
+    points = c.cut_lineage(t.points(spark, sf))
     incidents = t.incidents(spark, sf)
     found = c.cut_lineage(c.correlate(t.logs(spark, sf), incidents, points, t.windows_of(points)))
     return found, r.query_texts(incidents, points, found)
@@ -410,7 +410,7 @@ def search(spark, sf):
     vectors = r.hash_vectors(asked.withColumnRenamed("query_id", "id")).withColumnRenamed("id", "query_id")
     def collection(documents):
         documents = c.cut_lineage(documents.select("id", "text", "metadata"))
-        return documents.join(r.hash_vectors(documents), "id")
+        return documents.join(c.cut_lineage(r.hash_vectors(documents)), "id")
     history = r.hits(vectors, collection(kn.postmortem_documents(postmortems(spark, sf))))
     notes_found = r.hits(vectors, collection(chunks(spark, sf)))
     return found, asked, history, notes_found

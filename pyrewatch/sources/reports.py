@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import time
 from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import sha256
 from uuid import uuid4
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pyrewatch.operators.ordered import with_row_number
@@ -34,35 +37,91 @@ def write_summary(df: DataFrame, path: str, kind: str = "json") -> None:
     writer.option("header", True).csv(path) if kind == "csv" else writer.json(path)
 
 
+#: Versions that are tried before a writer gives up.
+TRIES = 100
+_VERSION = "version bigint, folder string, documents bigint, ids bigint"
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _created(spark: SparkSession, path: str) -> bool:
+    """Create an empty file unless there is one; of several writers one succeeds."""
+    files, where = _file_system(spark, path)
+    files.mkdirs(where.getParent())
+    if files.getUri().getScheme() == "file":
+        return spark._jvm.java.io.File(where.toUri().getPath()).createNewFile()
+    try:
+        files.create(where, False).close()
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in str(error.java_exception):
+            return False
+        raise
+    return True
+
+
+def _written(spark: SparkSession, path: str, text: str) -> None:
+    files, where = _file_system(spark, path)
+    out = files.create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers taken so far, complete or not."""
+    files, where = _file_system(spark, f"{path}/versions")
+    names = [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+    return [int(name.removesuffix(".json")) for name in names if name.endswith(".json") and not name.startswith((".", "_"))]
+
+
 def replace_collection(collection: DataFrame, path: str) -> DataFrame:
-    """Write a collection (id, ...) as a new version and make it the one that readers get.
+    """Write a collection (id, ...) as a new version and make it the one that readers get. Returns its row.
 
-    The rows go to a folder of their own. Only when they are complete one row (version, folder, documents, distinct ids)
-    is added to the table of versions, so a run that fails leaves readers with the version before. Returns that row.
+    The rows go to a folder of their own. Only when they are complete the next free number is taken, by creating the version's
+    file where there is none, and the file gets one row (version, folder, documents, distinct ids). Two writers get two numbers;
+    a run that fails leaves readers with the version before, as a file without a row is not a version.
     """
     spark = collection.sparkSession
     folder = f"{path}/rows-{uuid4().hex}"
     collection.write.parquet(folder)
-    row = spark.read.parquet(folder).agg(
-        F.lit(_last_version(spark, path) + 1).cast("long").alias("version"), F.lit(folder).alias("folder"),
-        F.count("*").alias("documents"), F.countDistinct("id").alias("ids"))
-    row.write.mode("append").parquet(f"{path}/versions")
-    return spark.read.parquet(f"{path}/versions").orderBy(F.desc("version")).limit(1)
+    counts = spark.read.parquet(folder).agg(F.count("*").alias("documents"), F.countDistinct("id").alias("ids")).first()
+    for _ in range(TRIES):
+        number = max(_versions(spark, path), default=0) + 1
+        name = f"{path}/versions/{number:012}.json"
+        if _created(spark, name):
+            row = {"version": number, "folder": folder, **counts.asDict()}
+            _written(spark, name, json.dumps(row) + "\n")
+            return spark.read.schema(_VERSION).json(name)
+    raise RuntimeError(f"no version could be taken in {TRIES} tries: {path}")
 
 
-def _last_version(spark: SparkSession, path: str) -> int:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return 0
-    return spark.read.parquet(f"{path}/versions").agg(F.max("version")).first()[0] or 0
+def read_versions(spark: SparkSession, path: str) -> DataFrame:
+    """All complete versions of a collection."""
+    return spark.read.schema(_VERSION).json(f"{path}/versions").where(F.col("version").isNotNull())
 
 
 def read_collection(spark: SparkSession, path: str) -> DataFrame:
     """The newest complete version of a collection."""
-    newest = spark.read.parquet(f"{path}/versions").orderBy(F.desc("version")).first()
+    newest = read_versions(spark, path).orderBy(F.desc("version")).first()
+    if newest is None:
+        raise FileNotFoundError(f"no complete version: {path}")
     return spark.read.parquet(newest["folder"])
 
 
+def remove_unnamed(spark: SparkSession, path: str, older_than_hours: float = 24.0) -> int:
+    """Remove folders of rows that no version names, left by runs that failed; young ones may belong to a run at work."""
+    files, where = _file_system(spark, path)
+    named = {r["folder"].rstrip("/").rsplit("/", 1)[-1] for r in read_versions(spark, path).select("folder").toLocalIterator()}
+    oldest = (time.time() - older_than_hours * 3600) * 1000
+    unnamed = [f.getPath() for f in files.listStatus(where) if f.getPath().getName().startswith("rows-")
+               and f.getPath().getName() not in named and f.getModificationTime() <= oldest]
+    for folder in unnamed:
+        files.delete(folder, True)
+    return len(unnamed)
+
+
 def issue_report(rejects: DataFrame, shown: int = 10) -> DataFrame:
     """Per file: number of problems and a message with the first ``shown`` of them and the rest as a count.
 

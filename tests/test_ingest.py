@@ -348,3 +348,35 @@ def test_digests_of_large_files_are_streamed(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     got = {r["path"].split("/")[-1].removesuffix(".bin").replace("%20", " "): (r["length"], r["digest"]) for r in found}
     assert got == {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in contents.items()}
+
+
+def test_two_writers_replace_a_collection(spark, tmp_path):
+    """Writers at once get numbers of their own, and no version is lost."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "collection")
+
+    def write(n):
+        return reports.replace_collection(spark.range(n).withColumnRenamed("id", "id"), path).first().asDict()
+
+    with ThreadPoolExecutor(4) as pool:
+        rows = list(pool.map(write, range(1, 9)))
+    assert sorted(r["version"] for r in rows) == list(range(1, 9))
+    assert {(r["version"], r["documents"]) for r in reports.read_versions(spark, path).collect()} == {(r["version"], r["documents"]) for r in rows}
+    newest = max(rows, key=lambda r: r["version"])
+    assert reports.read_collection(spark, path).count() == newest["documents"]
+
+
+def test_a_run_that_fails_leaves_the_version_before(spark, tmp_path):
+    path = str(tmp_path / "collection")
+    with pytest.raises(Exception):
+        reports.replace_collection(spark.range(3).select(F.raise_error(F.lit("lost")).alias("id")), path)
+    first = reports.replace_collection(spark.range(3), path).first()
+    assert (first["version"], first["documents"], first["ids"]) == (1, 3, 3)
+    (tmp_path / "collection/versions/000000000002.json").touch()  # a writer that died behind its claim
+    (tmp_path / "collection/rows-lost").mkdir()
+    assert reports.read_collection(spark, path).count() == 3
+    assert reports.replace_collection(spark.range(5), path).first()["version"] == 3
+    assert reports.remove_unnamed(spark, path) == 0
+    assert reports.remove_unnamed(spark, path, older_than_hours=-1) >= 1
+    assert not (tmp_path / "collection/rows-lost").exists() and reports.read_collection(spark, path).count() == 5

@@ -232,3 +232,30 @@ def test_search_collects_nothing():
     for name in ("search.py", "retrieval.py", "templates.py"):
         text = pathlib.Path(r.__file__).with_name(name).read_text()
         assert ".collect()" not in text and "toPandas" not in text, name
+
+
+def test_chunks_of_a_very_long_note_take_linear_time(spark):
+    """Twice the sections, about twice the time; every paragraph is in a chunk."""
+    import time
+
+    paragraph = "w" * 700
+    seconds = []
+    for sections in (2_000, 8_000):
+        text = "# T\n" + "\n".join(f"## S{i}\n{paragraph}\n\n{i} {paragraph}\n\n{paragraph} {i}" for i in range(sections))
+        start = time.process_time()
+        found = [c for s, b in kn._pieces(text, kn.LONG_CHUNK) for c in [(s, b)]]
+        seconds.append(time.process_time() - start)
+        assert len(found) == 2 * sections and found[0][0] == "S0 (part 1)"
+    assert seconds[1] < 12 * max(seconds[0], 0.02)
+    table = spark.createDataFrame([("big.md", text)], "document_name string, text string")
+    rows = kn.chunk_markdown(table)
+    assert rows.count() == 16_000
+    last = rows.orderBy(F.desc("position")).first()
+    assert last["id"] == "big_16000" and last["text"].endswith(f"{paragraph} 7999\n")
+
+
+def test_short_pieces_in_a_row(spark):
+    sections = [("A", "x"), ("B", "y"), ("C", "z" * 300), ("D", ""), ("E", "q")]
+    text = "".join(f"## {s}\n{b}\n" for s, b in sections)
+    assert [(i, s) for i, s, _ in chunks_of(spark, text)] == [("note_001", "A / B / C / D / E")]
+    assert chunks_of(spark, "## Only\nshort") == [("note_001", "Only", "Document: note\nSection: Only\n\nshort\n")]
