@@ -18,7 +18,7 @@ from pyrewatch.schemas import ANOMALY_POINT
 from pyrewatch.session import cut_lineage, delete_at_end, shared_folder
 from pyrewatch.sources import documents as docs, logs as log_source, metrics as metric_source, reports
 from pyrewatch.sources.documents import NOTE_NAMES
-from pyrewatch.streaming.detector import detect_stream
+from pyrewatch.streaming.detector import detect_stream, stream_windows
 
 
 def folder(spark, name):
@@ -139,6 +139,45 @@ def _(spark, sf):
     return summary.select("version", "documents", "ids").join(F.broadcast(readable))
 
 
+def _streamed(spark, rows, arrival, run):
+    """``rows`` as files that arrive by thirds of a month of ``arrival``; ``run`` makes a stream of them, which runs to its end."""
+    source, found, state = (folder(spark, name) for name in ("arrivals", "found", "stream"))
+    rows = cut_lineage(rows.withColumn("_day", F.dayofmonth(arrival)).withColumn("_arrival", arrival))
+    for first, last in ((1, 10), (11, 20), (21, 31)):
+        part = rows.where(F.col("_day").between(first, last))
+        part.repartition(4).sortWithinPartitions(F.xxhash64("_arrival", "service")).drop("_day", "_arrival").write.mode("append").parquet(source)
+    kept = rows.drop("_day", "_arrival").schema
+    out = run(spark.readStream.schema(kept).option("maxFilesPerTrigger", 4).parquet(source))
+    out.writeStream.trigger(availableNow=True).option("checkpointLocation", state).start(
+        path=found, format="parquet", outputMode="append").awaitTermination()
+    return spark.read.schema(out.schema).parquet(found)
+
+
+@query("late_stream_points", "E5 F2", sql(f"""
+SELECT {_POINT} FROM points WHERE timestamp < (SELECT max(timestamp) FROM series) - INTERVAL '3' HOUR""", "points series"))
+def _(spark, sf):
+    """The detector over rows that arrive up to two hours late and in no order: all points that the watermark has passed."""
+    series = t.series(spark, sf).select(*SERIES, "timestamp", "value")
+    late = F.make_dt_interval(mins=F.pmod(F.xxhash64("service", "timestamp"), F.lit(120)).cast("int"))
+    return rounded(_streamed(spark, series, F.col("timestamp") + late, lambda rows: detect_stream(rows, late="3 hours")))
+
+
+@query("streamed_windows", "E7 D4", sql("""
+SELECT incident_id, start_time, end_time, anomaly_count, array_to_string(services, '|') AS affected_services,
+  array_to_string(metrics, '|') AS affected_metrics FROM (
+  SELECT incident_id, min(timestamp) AS start_time, max(timestamp) AS end_time, count(*) AS anomaly_count,
+    list_sort(list_distinct(list(service))) AS services, list_sort(list_distinct(list(metric_name))) AS metrics FROM (
+    SELECT *, sum(opens) OVER (PARTITION BY incident_id ORDER BY timestamp, service, metric_name) AS no FROM (
+      SELECT *, CASE WHEN timestamp <= lag(timestamp) OVER (PARTITION BY incident_id ORDER BY timestamp, service, metric_name)
+        + INTERVAL '30' MINUTE THEN 0 ELSE 1 END AS opens FROM points)) GROUP BY incident_id, no)
+WHERE end_time + INTERVAL '30' MINUTE <= (SELECT max(timestamp) FROM points) - INTERVAL '10' MINUTE""", "points"))
+def _(spark, sf):
+    """Windows of points that arrive by thirds of a month, each one when the watermark has passed its end."""
+    found = _streamed(spark, t.points(spark, sf), F.col("timestamp"), lambda rows: stream_windows(rows, 30))
+    lists = ("affected_services", "affected_metrics")
+    return found.withColumns({c: F.array_join(c, "|") for c in lists})
+
+
 @query("streamed_points", "E5 F2", sql(f"SELECT {_POINT} FROM points", "points"))
 def _(spark, sf):
     """The detector as a stream over files that arrive by thirds of a month, run to their end into a table."""

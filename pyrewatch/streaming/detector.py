@@ -1,8 +1,11 @@
-"""The detector over a stream of observations, with the same points as the batch form on in-order input.
+"""The detector over a stream of observations, with the same points as the batch form.
 
-State per series is its last ``window + lag`` accepted values and the time of its last scored row. Rows of one trigger
-are scored in time order; a row that is not later than the last scored one of its series is dropped. The source's
-rate limit (files or offsets per trigger) bounds what one call holds.
+State per series is its last ``window + lag`` accepted values and the time of its last scored row. A row that is not later
+than that is dropped. The source's rate limit (files or offsets per trigger) bounds what one call holds.
+
+Without ``late`` rows are scored as they come, those of one trigger in time order. With ``late`` they wait, sorted, in the
+state of their series until the watermark has passed them, and a timer lets them go, so input in any order within that time
+gives the batch points. A series that has been silent for ``keep`` is forgotten and starts anew.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ CUT_ROWS = 50_000
 
 _STATE = T.StructType([
     T.StructField("accepted", T.ArrayType(T.DoubleType())), T.StructField("last", T.LongType())])
+_WAITING = T.StructType([*_STATE, T.StructField("times", T.ArrayType(T.LongType())), T.StructField("values", T.ArrayType(T.DoubleType()))])
 
 
 def _advance(settings: DetectorSettings):
@@ -58,12 +62,51 @@ def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({**{c: [v] * len(some) for c, v in keys.items()}, "timestamp": times[some], "value": values[some]})
 
 
-def detect_stream(series: DataFrame, settings: DetectorSettings | None = None) -> DataFrame:
-    """Anomaly points of a streaming series table (incident, service, metric, timestamp, value)."""
+def _release(settings: DetectorSettings, keep_ms: int):
+    """Rows wait until the watermark has passed them, then they are scored in order."""
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        accepted, last, times, values = state.get if state.exists else ([], None, [], [])
+        parts = [b[["timestamp", "value"]] for b in batches if len(b)]
+        at = np.concatenate([np.array(times, dtype=np.int64), *[p["timestamp"].to_numpy().astype("datetime64[us]").astype(np.int64) for p in parts]])
+        value = np.concatenate([np.array(values, dtype=float), *[p["value"].to_numpy(dtype=float) for p in parts]])
+        at, first = np.unique(at, return_index=True)  # of rows with one time the first one that came
+        value = value[first]
+        if last is not None:
+            value, at = value[at > last], at[at > last]
+        mark = state.getCurrentWatermarkMs()
+        ready = int(np.searchsorted(at, mark * 1000))
+        walk = Walk(settings)
+        walk.accepted[tuple(key)] = [float(v) for v in accepted]
+        for start in range(0, ready, CUT_ROWS):
+            some = slice(start, min(ready, start + CUT_ROWS))
+            rows = pd.DataFrame({**{c: [k] * (some.stop - start) for c, k in zip(SERIES, key, strict=True)},
+                                 "timestamp": at[some].astype("datetime64[us]"), "value": value[some]})
+            yield walk.batch(rows)[POINT_COLUMNS]
+        last = int(at[ready - 1]) if ready else last
+        at, value = at[ready:], value[ready:]
+        if not len(at) and (last is None or mark > last // 1000 + keep_ms):
+            if state.exists:
+                state.remove()
+            return
+        state.update((walk.accepted[tuple(key)], last, at.tolist(), value.tolist()))
+        state.setTimeoutTimestamp(max(mark + 1, int(at[0]) // 1000 if len(at) else last // 1000 + keep_ms))
+    return step
+
+
+def detect_stream(series: DataFrame, settings: DetectorSettings | None = None, late: str | None = None, keep_hours: float = 24 * 7) -> DataFrame:
+    """Anomaly points of a streaming series table (incident, service, metric, timestamp, value).
+
+    With ``late``, such as ``"10 minutes"``, rows may come that much behind the newest one; later ones are dropped. The watermark
+    needs a zoned time, so run such a stream with the session time zone set to UTC.
+    """
     settings = settings or DetectorSettings()
-    rows = series.where(F.col("metric_name").isin(*settings.active_rules))
-    return rows.select(*SERIES, "timestamp", "value").groupBy(*SERIES).applyInPandasWithState(
-        _advance(settings), ANOMALY_POINT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = series.where(F.col("metric_name").isin(*settings.active_rules)).select(*SERIES, "timestamp", "value")
+    if late is None:
+        return rows.groupBy(*SERIES).applyInPandasWithState(
+            _advance(settings), ANOMALY_POINT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    marked = rows.withColumn("_event_time", F.col("timestamp").cast("timestamp")).withWatermark("_event_time", late)
+    return marked.groupBy(*SERIES).applyInPandasWithState(
+        _release(settings, round(keep_hours * 3_600_000)), ANOMALY_POINT, _WAITING, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_windows(points: DataFrame, max_gap_minutes: float = 2.0, late: str = "10 minutes") -> DataFrame:

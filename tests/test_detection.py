@@ -338,3 +338,43 @@ def test_one_quiet_series_is_on_many_tasks_and_repeats_little(spark):
     steps = walk.points.count()
     assert steps == flag_with_feedback(table).count()
     assert blockwalk.walk_blocks(table.limit(0)).points.count() == 0
+
+
+def run_stream(spark, tmp_path, table, parts, name, **options):
+    """``table`` as a stream of one file per condition of ``parts``, run to its end."""
+    from pyrewatch.streaming.detector import detect_stream
+
+    source = str(tmp_path / "in")
+    for part in parts:
+        table.where(part).orderBy(F.xxhash64("timestamp")).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    job = detect_stream(stream, **options).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return collect(spark.table(name), "timestamp")
+
+
+def test_late_rows_within_the_watermark_change_nothing(spark, tmp_path):
+    """Every third row comes a file later than the others; the points are those of the batch, up to the last watermark."""
+    values = long_values(260)
+    table = series(spark, values, "cpu_usage")
+    at = F.expr("cast((unix_timestamp(cast(timestamp as timestamp)) - unix_timestamp(timestamp'2026-01-01')) / 60 as int)")
+    arrival = F.when(at % 3 == 0, at + 40).otherwise(at)
+    found = run_stream(spark, tmp_path, table, [F.floor(arrival / 90) == part for part in range(4)], "in_any_order", late="100 minutes")
+    batch = [p for p in collect(flag_with_feedback(table), "timestamp") if p["timestamp"] < minute(259 - 100)]
+    assert found == batch and len(found) > 50
+
+
+def test_rows_behind_the_watermark_are_dropped_and_silent_series_forgotten(spark, tmp_path):
+    values = [50 + noise(i, 0.3) for i in range(60)] + [None] * 600 + [90.0, 50.0] + [50.0] * 120
+    table = series(spark, values, "cpu_usage")
+    first = F.col("timestamp") < F.lit(minute(60))
+    parts = [first & (F.col("timestamp") != F.lit(minute(30))), ~first, F.col("timestamp") == F.lit(minute(30))]
+    kept = run_stream(spark, tmp_path / "a", table, parts, "kept", late="10 minutes")
+    assert [(p["timestamp"], p["baseline_points"]) for p in kept] == [(minute(660), 15)]
+    # Another series moves the watermark on; after two silent hours the first one starts anew, and only the ceiling is left.
+    other = series(spark, [None] * 60 + [100.0] * 600, "latency_ms")
+    both = table.unionByName(other)
+    parts = [first, F.col("metric_name") == "latency_ms", (F.col("metric_name") == "cpu_usage") & ~first]
+    for name, hours, want in (("anew", 2, ("absolute_threshold", 0)), ("remembered", 100, ("rolling_zscore", 15))):
+        found = run_stream(spark, tmp_path / name, both, parts, name, late="10 minutes", keep_hours=hours)
+        assert [(p["timestamp"], p["detection_method"], p["baseline_points"]) for p in found] == [(minute(660), *want)]
