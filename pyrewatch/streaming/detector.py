@@ -5,12 +5,13 @@ than that is dropped. The source's rate limit (files or offsets per trigger) bou
 
 Without ``late`` rows are scored as they come, those of one trigger in time order. With ``late`` they wait, sorted, in the
 state of their series until the watermark has passed them, and a timer lets them go, so input in any order within that time
-gives the batch points. A series that has been silent for ``keep`` is forgotten and starts anew.
+gives the batch points. A series that has been silent for ``keep_hours`` starts anew, and its state goes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -77,8 +78,13 @@ def _release(settings: DetectorSettings, keep_ms: int):
         ready = int(np.searchsorted(at, mark * 1000))
         walk = Walk(settings)
         walk.accepted[tuple(key)] = [float(v) for v in accepted]
-        for start in range(0, ready, CUT_ROWS):
-            some = slice(start, min(ready, start + CUT_ROWS))
+        before = np.concatenate([[at[0] if last is None else last], at[:ready - 1]]) if ready else at[:0]
+        anew = set(np.flatnonzero(at[:ready] - before > keep_ms * 1000).tolist())
+        cuts = sorted({*range(0, ready, CUT_ROWS), *anew, ready})
+        for start, stop in pairwise(cuts):
+            some = slice(start, stop)
+            if start in anew:
+                walk.accepted[tuple(key)] = []
             rows = pd.DataFrame({**{c: [k] * (some.stop - start) for c, k in zip(SERIES, key, strict=True)},
                                  "timestamp": at[some].astype("datetime64[us]"), "value": value[some]})
             yield walk.batch(rows)[POINT_COLUMNS]
