@@ -88,14 +88,31 @@ def _(spark, sf):
 SELECT incident_id, title, len(symptoms) + len(observed_signals) + len(timeline) + len(contributing_factors) + len(resolution)
   + len(lessons_learned) AS lines FROM postmortems""", "postmortems"))
 def _(spark, sf):
-    """Whole documents as postmortem files; every line of a text is in one of the lists."""
-    path = written(spark, postmortem_files(spark, sf).select("stem", F.col("text").alias("value")), ["stem"], [], "postmortems")
-    found = docs.parse_postmortems(docs.read_documents(spark, path).withColumn("stem", _name("path", "stem")))
+    """Whole documents as postmortems, many to a file; every line of a text is in one of the lists."""
+    path = folder(spark, "postmortems")
+    docs.write_bundles(postmortem_files(spark, sf), path)
+    found = docs.parse_postmortems(docs.read_bundles(spark, path))
     lists = ("symptoms", "observed_signals", "timeline", "contributing_factors", "resolution", "lessons_learned")
     lines = sum((F.size(name) for name in lists[1:]), F.size(lists[0]))
     return found.where(F.size("reasons") == 0).select("incident_id", "title", lines.cast("long").alias("lines"))
 
 
+@query("technical_notes", "A11 H2", sql("""
+WITH notes AS (SELECT ['database.md', 'memory.md', 'networking.md', 'troubleshooting.md'][item_id % 4 + 1] AS document_name,
+  '## Item ' || item_id || chr(10) || text || chr(10) AS part, item_id FROM benchmark)
+SELECT document_name, length(string_agg(part, '' ORDER BY item_id)) AS characters, count(*) AS items FROM notes GROUP BY document_name"""))
+def _(spark, sf):
+    """The four technical notes, each a file with the benchmark items of its share as sections, read whole."""
+    path = folder(spark, "technical")
+    items = t.read(spark, sf, "benchmark")
+    for place, name in enumerate(NOTE_NAMES):
+        part = F.concat(F.lit("## Item "), F.col("item_id").cast("string"), F.lit("\n"), "text").alias("value")
+        items.where(F.col("item_id") % 4 == place).orderBy("item_id").coalesce(1).select(part).write.text(f"{path}/{name}", lineSep="\n")
+    found = docs.read_notes(spark, path)
+    heads = F.regexp_count("text", F.lit(r"(^|\n)## Item \d+\n"))
+    return found.select("document_name", F.length("text").cast("long").alias("characters"), heads.cast("long").alias("items"))
+
+
 @query("note_files", "A11", sql("""
 SELECT CASE doc_id % 4 WHEN 0 THEN 'database.md' WHEN 1 THEN 'memory.md' WHEN 2 THEN 'networking.md' ELSE 'troubleshooting.md' END
   AS document_name, sum(length(text) + 1)::BIGINT - 1 AS characters, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT

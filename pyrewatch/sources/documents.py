@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pyrewatch import schemas as S
@@ -23,6 +25,20 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     ).withColumn("stem", F.regexp_replace(name, r"\.[^.]*$", ""))
 
 
+def read_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """(path, stem, text) of documents that lie many to a file: JSON lines with the name and the text of each.
+
+    A folder with a file per document costs a listing and an open per document; bundles are read in splits.
+    """
+    rows = spark.read.schema("stem string, text string").json(path)
+    return rows.select(F.col("_metadata.file_path").alias("path"), "text", "stem")
+
+
+def write_bundles(documents: DataFrame, path: str) -> None:
+    """Write (stem, text) as JSON lines, one file per task."""
+    documents.select("stem", "text").write.json(path)
+
+
 def _filled(column: Column) -> Column:
     return F.coalesce(column, F.lit("")) != ""
 
@@ -110,14 +126,17 @@ def parse_postmortems(documents: DataFrame) -> DataFrame:
 
 
 def read_notes(spark: SparkSession, folder: str) -> DataFrame:
-    """The fixed set of technical notes as (document_name, text); a missing or very large one is an error at once."""
+    """The fixed set of technical notes as (document_name, text); a missing or very large one is an error at once.
+
+    A note is a file, or a folder that holds one.
+    """
     paths = [f"{folder.rstrip('/')}/{name}" for name in NOTE_NAMES]
     sizes = spark.read.format("binaryFile").load(paths).select("path", "length")
-    large = [r["path"] for r in sizes.where(F.col("length") > NOTE_BYTES).collect()]
+    large = [r["path"] for r in sizes.where(F.col("length") > NOTE_BYTES).collect()]  # four files
     if large:
         raise ValueError(f"notes over {NOTE_BYTES} bytes, to be read by lines: {large}")
-    return spark.read.text(paths, wholetext=True).select(
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("document_name"), F.col("value").alias("text"))
+    name = F.regexp_extract(F.col("_metadata.file_path"), f"/({'|'.join(map(re.escape, NOTE_NAMES))})(/[^/]*)?$", 1)
+    return spark.read.text(paths, wholetext=True).select(name.alias("document_name"), F.col("value").alias("text"))
 
 
 def read_note_lines(spark: SparkSession, folder: str) -> DataFrame:

@@ -380,3 +380,30 @@ def test_a_run_that_fails_leaves_the_version_before(spark, tmp_path):
     assert reports.remove_unnamed(spark, path) == 0
     assert reports.remove_unnamed(spark, path, older_than_hours=-1) >= 1
     assert not (tmp_path / "collection/rows-lost").exists() and reports.read_collection(spark, path).count() == 5
+
+
+def test_technical_notes(spark, tmp_path, monkeypatch):
+    """Four notes are read whole; one may be a folder; a missing and a very large one are errors before anything is read."""
+    for name in docs.NOTE_NAMES[:3]:
+        (tmp_path / name).write_text(f"# {name}\r\n## One\ntext")
+    with pytest.raises(Exception, match="troubleshooting.md"):
+        docs.read_notes(spark, str(tmp_path)).collect()
+    (tmp_path / "troubleshooting.md").mkdir()
+    (tmp_path / "troubleshooting.md/part-0.txt").write_text("## Two\nmore")
+    notes = {r["document_name"]: r["text"] for r in docs.read_notes(spark, f"{tmp_path}/").collect()}
+    assert notes == {**{n: f"# {n}\r\n## One\ntext" for n in docs.NOTE_NAMES[:3]}, "troubleshooting.md": "## Two\nmore"}
+    monkeypatch.setattr(docs, "NOTE_BYTES", 20)
+    with pytest.raises(ValueError, match="memory.md"):
+        docs.read_notes(spark, str(tmp_path))
+
+
+def test_bundles_hold_many_documents(spark, tmp_path):
+    texts = {"HIST-001": '{"incident_id": "HIST-001", "title": "t"}', "HIST-002": '{"incident_id": "HIST-009"}', "HIST-003": 'no "object"\n\r\t\u0001é'}
+    table = spark.createDataFrame([(k, v, 1) for k, v in texts.items()], "stem string, text string, extra int").coalesce(1)
+    docs.write_bundles(table, str(tmp_path / "b"))
+    found = docs.read_bundles(spark, str(tmp_path / "b"))
+    assert {r["stem"]: r["text"] for r in found.collect()} == texts and len(found.inputFiles()) == 1
+    reasons = {r["stem"]: r["reasons"] for r in docs.parse_postmortems(found).collect()}
+    assert reasons == {"HIST-001": [], "HIST-002": ["incident_id: differs from the file name"], "HIST-003": ["not a JSON object"]}
+    write_lines(tmp_path / "w/HIST-001.json", [texts["HIST-001"]])
+    assert [(r["stem"], r["title"]) for r in docs.parse_postmortems(docs.read_documents(spark, str(tmp_path / "w"))).collect()] == [("HIST-001", "t")]
