@@ -165,8 +165,12 @@ def block(name: str, reads: str, text: str) -> None:
     BLOCKS[name] = (reads, text)
 
 
-def sql(body: str, reads: str = "") -> str:
-    """``body`` with the blocks it reads, and what those read, as a WITH clause."""
+def sql(body: str, reads: str = "", stored: str = "") -> str:
+    """``body`` with the blocks it reads, and what those read, as a WITH clause.
+
+    ``stored`` names blocks to compute once as a whole: with a LIMIT around it, a union of joins over recursive blocks is
+    otherwise streamed, and the recursion runs again and again.
+    """
     ordered: list[str] = []
 
     def visit(name: str) -> None:
@@ -183,7 +187,7 @@ def sql(body: str, reads: str = "") -> str:
 
     def kind(name: str) -> str:
         """A block that several read is computed once; a recursive one always is."""
-        again = readers.count(name) > 1 and f"FROM {name} " not in BLOCKS[name][1]
+        again = (readers.count(name) > 1 or name in stored.split()) and f"FROM {name} " not in BLOCKS[name][1]
         return "AS MATERIALIZED" if again else "AS"
 
     clause = ",\n".join(f"{name} {kind(name)} ({BLOCKS[name][1]})" for name in ordered)

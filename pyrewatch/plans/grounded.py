@@ -30,7 +30,7 @@ FROM (SELECT incident_id, evidence_id, source_type, summary AS detail, {iso('tim
     printf('%.3f', score) || '). ' || text, '' FROM note_hits h JOIN chunks c ON c.id = h.id)""")
 
 
-@query("evidence_packs", "I1 F6", sql("SELECT * FROM pack", "pack"))
+@query("evidence_packs", "I1 F6", sql("SELECT * FROM pack", "pack", stored="pack"))
 def _(spark, sf):
     found, _, history, notes = search(spark, sf)
     return packs.evidence_pack(found, history, notes)
