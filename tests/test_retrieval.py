@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from builders import collect, incident, points
 from pyspark.sql import functions as F
@@ -259,3 +260,33 @@ def test_short_pieces_in_a_row(spark):
     text = "".join(f"## {s}\n{b}\n" for s, b in sections)
     assert [(i, s) for i, s, _ in chunks_of(spark, text)] == [("note_001", "A / B / C / D / E")]
     assert chunks_of(spark, "## Only\nshort") == [("note_001", "Only", "Document: note\nSection: Only\n\nshort\n")]
+
+
+def test_vectors_of_long_texts_and_many_tokens(spark, monkeypatch):
+    """Pieces end between tokens, and forgetting tokens changes nothing."""
+    import hashlib
+    import re
+
+    draw = random.Random(1)
+    words = ["ab", "Éa", "x1", "日本", "_", "--", "Ünder_score", "ΣΑΣ", "42", "\u00b2", "a\u0301b"]
+    texts = [" ".join(draw.choice(words) + str(draw.randint(0, 9)) for _ in range(n)) for n in (0, 1, 50, 4000)] + [None, "", "___", "ab" * 900]
+    want = {}
+    for i, text in enumerate(texts):
+        sums = [0] * 32
+        for token in re.findall(r"[^\W_]+", (text or "").lower()):
+            digest = hashlib.sha256(token.encode()).digest()
+            for slot, sign in zip(digest[:4], digest[4:8]):
+                sums[slot % 32] += 1 if sign % 2 == 0 else -1
+        norm = math.sqrt(sum(x * x for x in sums))
+        if norm:
+            want[i] = [x / norm for x in sums]
+    table = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = [{x["id"]: x["vector"] for x in r.hash_vectors(table, 32).collect()}]
+    monkeypatch.setattr(r, "PIECE_CHARS", 64)
+    monkeypatch.setattr(r, "MOST_TOKENS", 30)
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    found.append({x["id"]: x["vector"] for out in r._vectors(32)(iter([batch])) for x in out.to_pylist()})
+    for got in found:
+        assert set(got) == set(want)
+        for i, vector in want.items():
+            assert got[i] == pytest.approx(vector)
