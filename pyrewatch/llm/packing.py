@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 CAPACITY = 4096
 PIECE = 1024
 END = 2
+#: Pieces of a group: each is an item of differencing, however short it is.
+GROUP_PIECES = 1 << 14
 GROUP_WINDOWS = 128
 TOKENIZER = "word_bpe_49k.json"
 
@@ -248,8 +250,8 @@ def pack(docs: DataFrame, stages, tokenizer: str = TOKENIZER, capacity: int = CA
          group_windows: int = GROUP_WINDOWS) -> DataFrame:
     """The contract's rows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     rows = stages.keep(pieces(docs, tokenizer, capacity, piece))
-    total = rows.filter(F.col("length") < capacity).agg(F.sum("length")).first()[0] or 0
-    groups = max(1, round(total / (group_windows * capacity)))
+    total, count = rows.filter(F.col("length") < capacity).agg(F.sum("length"), F.count(F.lit(1))).first()
+    groups = max(1, round((total or 0) / (group_windows * capacity)), -(-count // GROUP_PIECES))
     counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
     turn = F.explode(F.sequence(F.lit(0).cast("long"), F.least("n", F.lit(groups)) - 1)).alias("turn")
     home = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(groups))
