@@ -34,6 +34,8 @@ MAX_CENTRES = 512
 LEAF_ROWS = 128
 QUERY_BLOCK = 20_000
 SCALE = 256.0
+#: Bounds of queries and balls held at once, and visits of a batch.
+BOUND_CELLS, VISIT_ROWS = 1 << 22, 1 << 14
 #: Bounds are raised by this share, so that rounding never hides a point.
 SLACK = 1e-9
 #: Below every score, and safe to negate.
@@ -169,43 +171,54 @@ def _ball_rows(table: pa.Table) -> pa.Table:
                      "n": pa.array([len(rows)], pa.int64())})
 
 
-def _visits(balls: list, first: bool):
-    """Shards that each query visits: the one of largest bound, or all others that can reach its k-th score."""
-    by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-    for width in {b["width"] for b in balls}:
-        own = [b for b in balls if b["width"] == width]
-        by_width[width] = (np.array([b["shard"] for b in own]), np.array([b["centre"] for b in own]),
-                           np.array([b["radius"] for b in own]))
+def _ball_arrays(balls: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Shards, centres and radii of the balls of each width."""
+    widths = balls.column("width").to_numpy()
+    out = {}
+    for width in np.unique(widths).tolist():
+        own = balls.filter(pa.array(widths == width))
+        centres = np.asarray(own.column("centre").combine_chunks().flatten(), dtype=float).reshape(-1, width)
+        out[width] = own.column("shard").to_numpy(), centres, own.column("radius").to_numpy()
+    return out
+
+
+def _visits(by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], first: bool):
+    """Shards that each query visits: the one of largest bound, or all others that can reach its k-th score.
+
+    Bounds are taken for some queries at a time, ``BOUND_CELLS`` numbers at most.
+    """
+    def reached(batch: pa.RecordBatch, column: pa.Array, at: np.ndarray, width: int) -> pa.RecordBatch:
+        shards, centres, radii = by_width[width]
+        queries = integers(pa.chunked_array([column.take(pa.array(at))]))
+        bound = _bounds(queries, np.sqrt((queries ** 2).sum(axis=1)), centres, radii)
+        if first:
+            which, shard = np.arange(len(at)), bound.argmax(axis=1)
+            floor = np.full(len(which), NO_SCORE)
+        else:
+            floors = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)[at]
+            reach = bound >= floors[:, None]
+            reach[np.arange(len(at)), bound.argmax(axis=1)] = False
+            which, shard = np.nonzero(reach)
+            floor = floors[which]
+        chosen = pa.array(at[which])
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(chosen), column.take(chosen), pa.array(shards[shard], pa.int64()), pa.array(floor, pa.int64())],
+            ["query", "embedding", "shard", "floor"])
 
     def run(batches):
         for batch in batches:
-            out_ids, out_rows, out_shards, out_floor = [], [], [], []
             column = batch.column(1)
             lengths = np.diff(column.offsets.to_numpy())
             for width in np.unique(lengths).tolist():
-                at = np.flatnonzero(lengths == width)
-                shards, centres, radii = by_width.get(width, (None, None, None))
-                if shards is None:
+                if width not in by_width:
                     continue
-                queries = integers(pa.chunked_array([column.take(pa.array(at))]))
-                bound = _bounds(queries, np.sqrt((queries ** 2).sum(axis=1)), centres, radii)
-                if first:
-                    which, shard = np.arange(len(at)), bound.argmax(axis=1)
-                    floor = np.full(len(which), NO_SCORE)
-                else:
-                    floors = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)[at]
-                    reach = bound >= floors[:, None]
-                    reach[np.arange(len(at)), bound.argmax(axis=1)] = False
-                    which, shard = np.nonzero(reach)
-                    floor = floors[which]
-                out_ids.append(batch.column(0).take(pa.array(at[which])))
-                out_rows.append(column.take(pa.array(at[which])))
-                out_shards.append(pa.array(shards[shard], pa.int64()))
-                out_floor.append(pa.array(floor, pa.int64()))
-            if out_ids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays(x) for x in (out_ids, out_rows, out_shards, out_floor)],
-                    ["query", "embedding", "shard", "floor"])
+                at = np.flatnonzero(lengths == width)
+                rows = max(1, BOUND_CELLS // len(by_width[width][0]))
+                for start in range(0, len(at), rows):
+                    found = reached(batch, column, at[start:start + rows], width)
+                    # A query may reach every shard, so what leaves is cut up too.
+                    for part in range(0, found.num_rows, VISIT_ROWS):
+                        yield found.slice(part, VISIT_ROWS)
     return run
 
 
@@ -260,7 +273,8 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     crowds = dealt.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).alias("parts"))
     shards = dealt.join(F.broadcast(crowds), "near").select(
         "vec_id", "embedding", F.xxhash64("near", F.pmod(F.xxhash64("vec_id"), "parts")).alias("shard"))
-    balls = shards.groupBy("shard").applyInArrow(_ball_rows, _BALL).collect()
+    # At most a few times MAX_SHARDS rows, whatever the table's size.
+    balls = _ball_arrays(shards.groupBy("shard").applyInArrow(_ball_rows, _BALL).toArrow())
     blocks = -(-asked.count() // QUERY_BLOCK)
     out = None
     for block in range(blocks):
@@ -270,7 +284,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     return out if out is not None else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
 
-def _search_block(asked: DataFrame, shards: DataFrame, balls: list, k: int, stages: Stages) -> DataFrame:
+def _search_block(asked: DataFrame, shards: DataFrame, balls: dict, k: int, stages: Stages) -> DataFrame:
     distinct = asked.select("query", "embedding").dropDuplicates(["query", "embedding"])
     groups = shards.groupBy("shard")
     first = distinct.mapInArrow(_visits(balls, True), _VISIT)

@@ -205,3 +205,36 @@ def test_every_copy_within_the_budget_is_found(llm):
             [(i,) for i, _ in texts if i not in {d for d, _, _ in want}])
     assert decontamination.matches(docs, benchmark.limit(0)).count() == 0
     assert decontamination.matches(docs.limit(0), benchmark).count() == 0
+
+
+def test_bounds_of_many_balls_stay_small():
+    """Ten thousand queries of a batch against five thousand balls: bounds are taken in slices."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    draw = np.random.default_rng(0)
+    balls = {32: (np.arange(5000), draw.normal(size=(5000, 32)) * 256, np.full(5000, 1.0))}
+    rows = draw.normal(size=(10_000, 32))
+    batch = pa.record_batch([pa.array(np.arange(10_000)), pa.array(list(rows), pa.list_(pa.float64())), pa.array(np.full(10_000, 1 << 20))],
+                            names=["query", "embedding", "floor"])
+    for first in (True, False):
+        tracemalloc.start()
+        found = sum(out.num_rows for out in ball_tree._visits(balls, first)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found == 10_000 if first else found < 10_000 * 5000
+        assert peak < 200e6
+
+
+def test_very_many_short_pieces_are_several_groups(llm):
+    """Six hundred thousand empty texts: a group has a bounded number of pieces, and windows are full."""
+    docs = llm.range(600_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    found = packing.pack(docs, Stages(llm)).groupBy("sequence_id").agg(F.sum("length").alias("tokens"), F.count("*").alias("pieces"))
+    rows = found.collect()
+    groups = Counter()
+    for r in rows:
+        groups[r["sequence_id"] >> 32] += r["pieces"]
+    assert sum(groups.values()) == 600_000 and max(groups.values()) < 1.1 * packing.GROUP_PIECES
+    assert all(r["tokens"] <= packing.CAPACITY for r in rows)
+    assert 600_000 / (packing.CAPACITY * len(rows)) > 0.85
