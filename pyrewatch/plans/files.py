@@ -18,6 +18,7 @@ from pyrewatch.schemas import ANOMALY_POINT
 from pyrewatch.session import cut_lineage, delete_at_end, shared_folder
 from pyrewatch.sources import documents as docs, logs as log_source, metrics as metric_source, reports
 from pyrewatch.sources.documents import NOTE_NAMES
+from pyrewatch.sources.folder import documents_of, numbered, read_folder
 from pyrewatch.streaming.detector import detect_stream, stream_windows
 
 
@@ -50,6 +51,25 @@ def _(spark, sf):
     return log_source.rejects(found).select(_name("path", "of").alias("incident_id"), "location_no", "reason")
 
 
+@query("incident_folder", "A1 A2 A3 A8", sql("""
+SELECT 'INC-' || file AS incident_id, 'logs' AS kind, row_number() OVER (PARTITION BY file ORDER BY line_no) AS location_no, reason
+FROM (SELECT substr(path, 10, 8) AS file, * FROM line_issues) QUALIFY reason IS NOT NULL
+UNION ALL SELECT incident_id, 'incidents', 0, reason FROM document_issues WHERE reason IS NOT NULL""", "line_issues document_issues"))
+def _(spark, sf):
+    """Logs and records of all incidents in one folder, read through its data source; what is wrong with either."""
+    root = folder(spark, "incidents")
+    lines = t.raw_lines(spark, sf).select(
+        F.regexp_extract("path", r"(INC-\d+)", 1).alias("of"), "line_no", F.col("line").alias("value"))
+    lines.repartition("of").sortWithinPartitions("of", "line_no").select("of", "value").write.partitionBy("of").text(f"{root}/logs")
+    incident_documents(spark, sf).select("stem", F.col("text").alias("value")).repartition("stem").write.partitionBy("stem").text(f"{root}/incidents")
+    found = log_source.check_log_lines(numbered(read_folder(spark, root, ["logs"])).select("path", "line_no", "line"), _name("path", "of"))
+    records = docs.check_incident_documents(documents_of(read_folder(spark, root, ["incidents"]))).where(F.size("reasons") > 0)
+    return log_source.rejects(found).select(
+        _name("path", "of").alias("incident_id"), F.lit("logs").alias("kind"), "location_no", "reason").unionByName(
+        records.select(F.col("stem").alias("incident_id"), F.lit("incidents").alias("kind"), F.lit(0).cast("long").alias("location_no"),
+                       F.array_join("reasons", "; ").alias("reason")))
+
+
 @query("metric_files", "A4 A5", sql("""
 SELECT * REPLACE ('team "a",' || chr(10) || service AS service) FROM metrics""", "metrics"))
 def _(spark, sf):

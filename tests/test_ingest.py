@@ -407,3 +407,52 @@ def test_bundles_hold_many_documents(spark, tmp_path):
     assert reasons == {"HIST-001": [], "HIST-002": ["incident_id: differs from the file name"], "HIST-003": ["not a JSON object"]}
     write_lines(tmp_path / "w/HIST-001.json", [texts["HIST-001"]])
     assert [(r["stem"], r["title"]) for r in docs.parse_postmortems(docs.read_documents(spark, str(tmp_path / "w"))).collect()] == [("HIST-001", "t")]
+
+
+def incident_folder(tmp_path):
+    for i in (1, 2, 3):
+        write_lines(tmp_path / f"logs/INC-00{i}.jsonl", [f"{i} line {n} " + "é" * (n % 30) for n in range(1, 60 * i)])
+        write_lines(tmp_path / f"metrics/of=INC-00{i}/part-0.csv", [HEADER, ROW.format(i, 1)])
+        write_lines(tmp_path / f"incidents/INC-00{i}.json", [{**CASE, "incident_id": f"INC-00{i}"}])
+        write_lines(tmp_path / f"postmortems/HIST-00{i}.json", ['{"incident_id": "HIST-00%d",\r' % i, '"title": "t"}'])
+    (tmp_path / "logs/_SUCCESS").write_text("")
+    (tmp_path / "logs/INC-009.jsonl").write_text("")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("split_bytes", [1, 50, 1 << 20])
+def test_a_folder_is_planned_by_file_and_offset(tmp_path, split_bytes):
+    """Every line is read once, whatever the ranges are."""
+    from pyrewatch.sources.folder import FolderReader
+
+    reader = FolderReader(incident_folder(tmp_path), split_bytes)
+    parts = reader.partitions()
+    assert max(sum(stop - start for _, _, start, stop in p.pieces) for p in parts if len(p.pieces) > 1 or p.kind == "logs") <= max(split_bytes, 1)
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    for i in (1, 2, 3):
+        want = (tmp_path / f"logs/INC-00{i}.jsonl").read_text(encoding="utf-8").splitlines()
+        own = [r["value"] for r in sorted((r for r in rows if r["kind"] == "logs" and r["incident_id"] == f"INC-00{i}"), key=lambda r: (r["split"], r["place"]))]
+        assert own == want
+    assert sorted((r["incident_id"], r["value"].count("\n")) for r in rows if r["kind"] == "postmortems") == [(f"HIST-00{i}", 2) for i in (1, 2, 3)]
+
+
+def test_a_folder_prunes_files_by_incident(spark, tmp_path):
+    from pyrewatch.session import ship_package
+    from pyrewatch.sources import folder
+
+    path = incident_folder(tmp_path)
+    reader = folder.FolderReader(path, kinds=["logs"], incidents=["INC-001", "INC-003"])
+    assert sorted(p[0].rsplit("/", 1)[1] for part in reader.partitions() for p in part.pieces) == ["INC-001.jsonl", "INC-003.jsonl"]
+    with pytest.raises(ValueError, match="traces"):
+        folder.FolderReader(path, kinds=["traces"])
+    ship_package(spark)
+    lines = folder.numbered(folder.read_folder(spark, path, ["logs"], ["INC-002", "INC-003"], 200))
+    assert lines.where(F.split("line", " ")[2].cast("long") != F.col("line_no")).count() == 0
+    assert {(r["incident_id"], r["count"]) for r in lines.groupBy("incident_id").count().collect()} == {("INC-002", 119), ("INC-003", 179)}
+    few, every = folder.read_folder(spark, path, ["incidents"], ["INC-001"], 200), folder.read_folder(spark, path, ["logs"], split_bytes=200)
+    assert few.rdd.getNumPartitions() == 1 and every.rdd.getNumPartitions() > 10
+    both = folder.read_folder(spark, path, ["incidents"]).unionByName(folder.read_folder(spark, path, ["metrics"]))
+    assert {(r["kind"], r["count"]) for r in both.groupBy("kind").count().collect()} == {("incidents", 3), ("metrics", 6)}
+    checked = docs.check_incident_documents(folder.documents_of(folder.read_folder(spark, path, ["incidents"])))
+    assert {r["stem"]: r["reasons"] for r in checked.collect()} == {f"INC-00{i}": [] for i in (1, 2, 3)}
+    assert folder.read_folder(spark, path, incidents=["INC-777"]).count() == 0
