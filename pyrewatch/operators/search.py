@@ -189,7 +189,8 @@ def search(queries: DataFrame, collection: DataFrame, k: int = 3, items: int = I
     ids, asked = collection.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     weights = F.transform("vector", lambda x, i: F.struct((-F.abs(x)).alias("w"), i.alias("i"), (x > 0).alias("up")))
     leading = F.transform(F.slice(F.array_sort(weights), 1, LEADING), lambda x: F.struct(x["i"], x["up"]))
-    near = collection.select("id", "vector", leading.alias("_lead")).repartitionByRange("_lead", "id").sortWithinPartitions("_lead", "id")
+    # Ranges are drawn from a first pass over the rows, so they are stored and not made twice.
+    near = cut_lineage(collection.select("id", "vector", leading.alias("_lead"))).repartitionByRange("_lead", "id").sortWithinPartitions("_lead", "id")
     blocks = cut_lineage(near.select("id", "vector").mapInArrow(
         _cut(items, _block), f"block bigint, ids array<{ids}>, items binary, bounds binary"))
     groups = blocks.select("block", "bounds").mapInArrow(_cut(BOUNDS, _group), "number bigint, blocks binary, bounds binary")
