@@ -1,7 +1,8 @@
 """Times the headline queries and prints one JSON line.
 
 Each query runs once unrecorded, for compilation and caches of the file system, and then three times into the ``noop``
-sink, so every column is computed and nothing is collected. The median counts.
+sink, so every column is computed and nothing is collected. The median counts. A fixed plain Spark job is timed the same way,
+to compare the machine between runs.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from pyrewatch.plans import load_queries  # noqa: E402
 from pyrewatch.session import local_session  # noqa: E402
 
@@ -30,18 +33,23 @@ def main() -> None:
     spark = local_session("bench", os.environ.get("BENCH_CPUS", "8"))
     registry = load_queries()
 
-    def seconds(name: str) -> float:
+    def fixed(*_):
+        return spark.range(30_000_000).groupBy((F.col("id") * 7 % 100_003).alias("k")).agg(F.sum("id").alias("s"))
+
+    def seconds(run) -> float:
         start = time.perf_counter()
-        registry[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
+        run(spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
-    times = {}
-    for name in sys.argv[1:] or HEADLINE:
-        seconds(name)
-        times[name] = round(statistics.median(seconds(name) for _ in range(RUNS)), 3)
+    def median(run) -> float:
+        seconds(run)
+        return round(statistics.median(seconds(run) for _ in range(RUNS)), 3)
+
+    plain = median(fixed)
+    times = {name: median(registry[name].run) for name in sys.argv[1:] or HEADLINE}
     scale = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": float(scale)}), flush=True)
+                      "queries": times, "sf": float(scale), "fixed_job_sec": plain}), flush=True)
 
 
 if __name__ == "__main__":
