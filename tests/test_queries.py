@@ -65,3 +65,17 @@ def test_every_inventory_row_is_covered():
     letters = {"A": 20, "B": 17, "C": 12, "D": 42, "E": 15, "F": 9, "G": 11, "H": 8, "I": 8}
     wanted = {f"{k}{i}" for k, n in letters.items() for i in range(1, n + 1)}
     assert wanted <= covered
+
+
+@pytest.mark.parametrize("name", ["late_stream_points", "streamed_points", "streamed_windows"])
+def test_streams_over_several_months(spark, tmp_path, name):
+    """Arrivals follow the whole period, so the first days of a second month do not come before the last of the first."""
+    if not os.path.isdir(SMALL):
+        pytest.skip("no test tables")
+    events = spark.read.parquet(f"{SMALL}/events.parquet").selectExpr("*", "explode(array(0, 1)) AS copy").selectExpr(
+        "event_id + copy * 1000000 AS event_id", "ts + copy * INTERVAL '31' DAY AS ts", "user_id", "event_type", "value", "props")
+    events.coalesce(1).write.parquet(f"{tmp_path}/part")
+    next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    query = load_queries()[name]
+    found = spark_rows(query.run(spark, str(tmp_path)))
+    assert found[2] and difference(found, duck_rows(connect(str(tmp_path)), query.sql)) is None
