@@ -456,3 +456,15 @@ def test_a_folder_prunes_files_by_incident(spark, tmp_path):
     checked = docs.check_incident_documents(folder.documents_of(folder.read_folder(spark, path, ["incidents"])))
     assert {r["stem"]: r["reasons"] for r in checked.collect()} == {f"INC-00{i}": [] for i in (1, 2, 3)}
     assert folder.read_folder(spark, path, incidents=["INC-777"]).count() == 0
+
+
+def test_orphans_come_from_one_aggregate(spark):
+    """Both sides are read once and no join sorts them; a null is alone on either side."""
+    from pyrewatch.operators.quality import orphans
+
+    ours = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "incident_id string")
+    known = spark.createDataFrame([("b",), ("c",), ("c",), (None,)], "incident_id string")
+    found = orphans(ours, known)
+    assert sorted((r["incident_id"] or "", r["problem"]) for r in found.collect()) == [
+        ("", "no evidence"), ("", "unknown incident"), ("a", "unknown incident"), ("c", "no evidence")]
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
