@@ -468,3 +468,14 @@ def test_orphans_come_from_one_aggregate(spark):
     assert sorted((r["incident_id"] or "", r["problem"]) for r in found.collect()) == [
         ("", "no evidence"), ("", "unknown incident"), ("a", "unknown incident"), ("c", "no evidence")]
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_issue_report_limits_ranks_before_the_shuffle(spark):
+    from pyrewatch.sources.reports import issue_report
+
+    rows = [("a", i, f"line {i}", "bad", None) for i in range(1, 13)] + [("b", 1, "line 1", "bad", "INC-001")]
+    found = issue_report(spark.createDataFrame(rows, "path string, location_no long, location string, reason string, incident_id string"))
+    texts = {r["path"]: (r["problems"], r["message"]) for r in found.collect()}
+    assert texts["b"] == (1, "b: 1 problem(s)\n  - line 1 [INC-001]: bad")
+    assert texts["a"][0] == 12 and texts["a"][1].endswith("  - line 10: bad\n  - ... 2 more")
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
