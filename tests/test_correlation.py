@@ -1,3 +1,6 @@
+import os
+
+import pytest
 from builders import LOGS, collect, incident, log, logs, minute, points
 from pyspark.sql import functions as F
 
@@ -6,6 +9,9 @@ from pyrewatch.operators import correlate as c
 from pyrewatch.operators.quality import label_columns
 from pyrewatch.operators.timelines import with_boundaries
 from pyrewatch.operators.windows import anomaly_windows
+from pyrewatch.plans import tables
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def correlated(spark, log_rows, point_rows):
@@ -119,3 +125,25 @@ def test_causal_wording_is_found_in_our_text_only(spark):
     assert c.causal_wording(evidence).count() == 0
     changed = evidence.withColumn("summary", F.concat("summary", F.lit(" because of load")))
     assert c.causal_wording(changed).count() == evidence.where("source_type <> 'LOG'").count()
+
+
+def test_lines_out_of_reach_need_no_event_type(spark):
+    """Lines without a type are typed where a span or window reaches them, and give the same items."""
+    rows = [log(47, message="request failed x", event_type="request_failed"), log(2, message="request failed y", event_type="request_failed"),
+            log(30, level="INFO", message="rolling update started", event_type="deployment_started"),
+            log(69, message="retrying call", event_type="retry", level="WARN"), log(119, message="OOMKilled", event_type="oom_killed")]
+    found = points(spark, *BURST)
+    typed = logs(spark, *rows)
+    far = incident(spark, start=300, end=310, closed=600, incident_id="INC-002")
+    cases = incident(spark).unionByName(far)
+    picked = c.select_windows(anomaly_windows(found), cases)
+    want = collect(c.select_logs(typed, cases, picked), "seq")
+    assert len(want) == 3
+    assert collect(c.select_logs(typed.drop("event_type"), cases, picked), "seq") == want
+
+
+def test_points_are_walked_once(spark):
+    if not os.path.isdir(SMALL):
+        pytest.skip("no test tables")
+    plan = tables.points(spark, SMALL)._jdf.queryExecution().toString()
+    assert "MapInPandas" not in plan
