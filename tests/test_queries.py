@@ -79,3 +79,16 @@ def test_streams_over_several_months(spark, tmp_path, name):
     query = load_queries()[name]
     found = spark_rows(query.run(spark, str(tmp_path)))
     assert found[2] and difference(found, duck_rows(connect(str(tmp_path)), query.sql)) is None
+
+
+def test_cards_do_not_store_whole_reports(spark, monkeypatch):
+    """A card reads two lists of a report once, so no report is written."""
+    from pyrewatch.plans import grounded
+
+    def refuse(_):
+        raise AssertionError("reports were stored")
+    if not os.path.isdir(SMALL):
+        pytest.skip("no test tables")
+    run = load_queries()["evidence_cards"].run
+    monkeypatch.setattr(grounded, "cut_lineage", refuse)
+    run(spark, SMALL)
