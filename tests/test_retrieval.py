@@ -290,3 +290,40 @@ def test_vectors_of_long_texts_and_many_tokens(spark, monkeypatch):
         assert set(got) == set(want)
         for i, vector in want.items():
             assert got[i] == pytest.approx(vector)
+
+
+def test_a_task_forgets_tokens_that_do_not_return():
+    """Most distinct tokens of a large table are met once, so what a task remembers may not grow with the table."""
+    known = r._Slots(64)
+    for part in range(20):
+        known.of([f"token{part}x{i}" for i in range(20_000)])
+    assert len(known.known) < 100_000
+
+
+def test_a_block_comes_once_for_all_its_visits():
+    from pyrewatch.operators import search
+
+    rng = np.random.default_rng(3)
+    items, queries = rng.normal(size=(5, 8)), rng.normal(size=(6, 8))
+    none = np.full(2, search.NO_FLOOR).tobytes()
+    rows = pa.table({
+        "ids": pa.array([[10, 11, 12, 13, 14], None, None, None], pa.list_(pa.int64())),
+        "query_ids": pa.array([None, [0, 1], [2, 3], [4, 5]], pa.list_(pa.int64())),
+        "floors": pa.array([None, none, none, none], pa.binary()),
+        "data": pa.array([items.tobytes(), *[queries[i:i + 2].tobytes() for i in (0, 2, 4)]], pa.binary())})
+    # One row at a time, as a block and its visits may lie in different batches.
+    found = pa.Table.from_batches(list(search._scores(1)(iter(rows.to_batches(max_chunksize=1)))))
+    assert found["query_id"].to_pylist() == list(range(6))
+    assert found["id"].to_pylist() == (10 + (queries @ items.T).argmax(axis=1)).tolist()
+
+
+def test_hits_take_texts_without_vectors(spark):
+    """The texts are not joined with their vectors, and the setting for wide rows is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    texts = spark.createDataFrame([(f"d{i}", f"word{i} other") for i in range(5)], "id string, text string").withColumn(
+        "metadata", F.create_map(F.lit("n"), "id"))
+    asked = r.hash_vectors(spark.createDataFrame([("q", "word3")], "id string, text string")).withColumnRenamed("id", "query_id")
+    best = r.hits(asked, texts, 1).collect()
+    assert [(x["query_id"], x["id"], x["text"], x["metadata"]["n"]) for x in best] == [("q", "d3", "word3 other", "d3")]
+    assert spark.conf.get(key) == before
