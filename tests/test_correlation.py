@@ -147,3 +147,20 @@ def test_points_are_walked_once(spark):
         pytest.skip("no test tables")
     plan = tables.points(spark, SMALL)._jdf.queryExecution().toString()
     assert "MapInPandas" not in plan
+
+
+def test_a_source_is_told_the_reach(spark):
+    """A source may leave lines out by the reach before it makes them, and the same lines are kept."""
+    rows = [log(47, message="request failed x", event_type="request_failed"), log(2, message="request failed y", event_type="request_failed"),
+            log(69, message="retrying call", event_type="retry", level="WARN"), log(590, message="OOMKilled", event_type="oom_killed")]
+    found, typed, asked = points(spark, *BURST), logs(spark, *rows), []
+    cases = incident(spark)
+    picked = c.select_windows(anomaly_windows(found), cases)
+
+    def source(reach):
+        near = typed.join(reach, "incident_id").where("timestamp between reach_from and reach_to").select(*typed.columns)
+        asked.append(near.count())
+        return near
+    want = collect(c.select_logs(typed, cases, picked), "seq")
+    assert want and collect(c.select_logs(source, cases, picked), "seq") == want
+    assert asked[0] < len(rows)
