@@ -12,8 +12,8 @@ are routed first, without losing any:
 3. Windows of shared anchors are routed by the anchor's owner, the text of smallest label that holds it, so a copied
    document travels as a few long segments. Anchors of very many texts are routed by themselves and then dealt
    further by a second, finer anchor: equal windows still meet, and texts that share little more than it part.
-4. Equal segments are merged; a shard holds whole routes and answers, by an index of its own, which windows of a
-   segment also stand in a smaller document. How it does so is the caller's method (``shard``).
+4. Equal segments are merged, in each group and again in a shard; a shard holds whole routes and answers, by an index of
+   its own, which windows of a segment also stand in a smaller document. How it does so is the caller's method (``shard``).
 5. A passage that very many texts hold stays one route under any anchor, with a segment for each text around it. A
    route over the bytes of a shard is therefore no shard: its segments are dealt to chunks, each chunk sends a row per
    distinct window (128 bits of its content, smallest and largest id), rows of equal windows are aggregated, and the
@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from pyrewatch.llm.arrays import BYTE_CODES, U64, RollingHash, Texts, mix, sliding_min, text_slices, words_of
 from pyrewatch.llm.stages import Stages
+from pyrewatch.session import shuffles_end_with_jobs
 
 NO_ID = (1 << 63) - 1
 #: Text of a group, and anchor bytes of a bucket, as bytes of the corpus.
@@ -210,15 +211,15 @@ def _shared_rows(table: pa.Table) -> pa.Table:
                      "blob": pa.array(blobs, pa.binary())})
 
 
-_SEGMENT = "route long, sid binary, content binary, grp int, key long, smallest long, at int, windows int"
+_SEGMENT = "route long, sid binary, content binary, least long, grp int, key long, smallest long, at int, windows int"
 
 
 def _segment_rows(kind: Windows, shift: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Per group: the segments of its texts that hold shared anchors. Equal content is sent once."""
+    """Per group: the segments of its texts that hold shared anchors. Equal content is sent once, with its smallest id."""
     def run(table: pa.Table, back: pa.Table) -> pa.Table:
-        out = {name: [] for name in ("route", "sid", "content", "grp", "key", "smallest", "at", "windows")}
+        out = {name: [] for name in ("route", "sid", "content", "least", "grp", "key", "smallest", "at", "windows")}
         keys, owners, parts = _lookup(back)
-        sent: set[bytes] = set()
+        sent: dict[bytes, int] = {}
         if len(table) and len(keys):
             ids, names = table.column("smallest").to_pylist(), table.column("key").to_pylist()
             group = table.column("grp")[0].as_py()
@@ -233,16 +234,19 @@ def _segment_rows(kind: Windows, shift: int) -> Callable[[pa.Table, pa.Table], p
                         content = view.content(at, windows)
                         where = int(route[at])
                         sid = xxhash.xxh3_128_digest(content, where)
-                        out["content"].append(None if sid in sent else content)
-                        sent.add(sid)
+                        mine, this = ids[texts.first + row], len(out["sid"])
+                        first = sent.setdefault(sid, this)
+                        out["content"].append(content if first == this else None)
+                        out["least"].append(mine if first == this else None)
+                        out["least"][first] = min(out["least"][first], mine)
                         out["route"].append(where)
                         out["sid"].append(sid)
                         out["grp"].append(group)
                         out["key"].append(names[texts.first + row])
-                        out["smallest"].append(ids[texts.first + row])
+                        out["smallest"].append(mine)
                         out["at"].append(at - int(view.bounds[row]))
                         out["windows"].append(windows)
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
         return pa.table({name: pa.array(column, t) for (name, column), t in zip(out.items(), kinds, strict=True)})
     return run
 
@@ -269,7 +273,7 @@ _ANSWER = "sid binary, first_id long, edges binary"
 
 
 def _shard_batches(kind: Windows, shard: Shard, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows come sorted by route. Whole routes are gathered to shards of about ``limit`` bytes."""
+    """Rows come sorted by route and segment. Whole routes are gathered to shards of about ``limit`` bytes."""
     def answer(rows: list[tuple[bytes, Segment]]) -> pa.RecordBatch:
         found = shard([segment for _, segment in rows], kind)
         blobs = []
@@ -289,6 +293,9 @@ def _shard_batches(kind: Windows, shard: Shard, limit: int) -> Callable[[Iterato
                         yield answer(held)
                         held, size = [], 0
                     last = route
+                if held and held[-1][0] == sid:  # sent by another group too
+                    held[-1] = (sid, Segment(content, min(smallest, held[-1][1].smallest)))
+                    continue
                 held.append((sid, Segment(content, smallest)))
                 size += len(content)
         if held:
@@ -322,7 +329,7 @@ def _window_rows(kind: Windows) -> Callable[[pa.Table], pa.Table]:
         keys, ids = keys[order], ids[order]
         head = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
         return pa.table({"one": keys[head, 0], "two": keys[head, 1],
-                         "chunk": pa.array([table.column("chunk")[0].as_py()] * len(head), pa.int32()),
+                         "chunk": pa.array([table.column("chunk")[0].as_py()] * len(head), pa.int64()),
                          "low": np.minimum.reduceat(ids, head), "high": np.maximum.reduceat(ids, head)})
     return run
 
@@ -360,7 +367,16 @@ class _Plan:
     @classmethod
     def of(cls, docs: DataFrame) -> _Plan:
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        return cls(max(4, -(-total // GROUP_BYTES)), 1 << max(2, (total // BUCKET_BYTES).bit_length()))
+        partitions = docs.sparkSession._jsparkSession.sessionState().conf().numShufflePartitions()
+        return cls(_aligned(max(4, -(-total // GROUP_BYTES)), partitions), 1 << max(2, (total // BUCKET_BYTES).bit_length()))
+
+
+def _aligned(groups: int, partitions: int) -> int:
+    """At least ``groups``, and a multiple or a divisor of the shuffle partitions unless that is far more."""
+    if groups > partitions:
+        return partitions * -(-groups // partitions)
+    divisor = next(n for n in range(groups, partitions + 1) if partitions % n == 0)
+    return divisor if divisor <= 8 * groups else groups
 
 
 #: Two hashes name a text; one of 64 bits could be shared by chance among billions.
@@ -370,28 +386,37 @@ def text_keys(prefix: str = "") -> list:
 
 
 def distinct_texts(docs: DataFrame, stages: Stages, plan: _Plan) -> DataFrame:
-    """Each distinct text once with its smallest id, written to buckets of groups."""
+    """Each distinct text once with its smallest id, written to buckets of groups.
+
+    Groups are dealt by the hash that deals texts to shuffle partitions, so a partition holds whole groups, or a group whole
+    partitions. Dealt by another hash, every task would write a file of every group, tiny ones in a large corpus.
+    """
     spark = docs.sparkSession
     texts = (docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("id"))
                  .groupBy("text").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("smallest")))
     key, check = text_keys()
-    texts = texts.select("text", "smallest", key, check).withColumn("grp", F.pmod("key", F.lit(plan.groups)).cast("int"))
+    texts = texts.select("text", "smallest", key, check, F.pmod(F.hash("text"), F.lit(plan.groups)).cast("int").alias("grp"))
     name = f"texts_{uuid4().hex}"
     (texts.write.bucketBy(plan.groups, "grp").option("compression", "zstd")
           .option("path", f"{stages.folder}/texts").saveAsTable(name))
     return spark.table(name)
 
 
-def _crowded(distinct: DataFrame, stages: Stages, plan: _Plan, kind: Windows) -> DataFrame:
-    """Answers for segments of routes that are too large for a shard, window by window."""
-    chunk = F.pmod(F.xxhash64("sid"), F.lit(plan.groups)).cast("int").alias("chunk")
-    dealt = stages.keep(distinct.select(chunk, "sid", "content", "smallest"))
+def _crowded(distinct: DataFrame, stages: Stages, kind: Windows, limit: int) -> DataFrame:
+    """Answers for segments of routes that are too large for a shard, window by window.
+
+    A chunk is of one route, so the windows that its segments share are one row of the chunk.
+    """
+    part = F.pmod(F.xxhash64("sid"), F.ceil(F.col("n") / F.lit(limit)))
+    dealt = stages.keep(distinct.select(F.xxhash64("route", part).alias("chunk"), "sid", "content", "smallest"))
     windows = stages.keep(dealt.groupBy("chunk").applyInArrow(
-        _window_rows(kind), "one long, two long, chunk int, low long, high long"))
+        _window_rows(kind), "one long, two long, chunk long, low long, high long"))
     met = (windows.groupBy("one", "two").agg(F.min("low").alias("first_id"), F.max("high").alias("last_id"))
                   .filter(F.col("first_id") < F.col("last_id")).drop("last_id"))
     back = windows.join(met, ["one", "two"]).filter(F.col("first_id") < F.col("high")).select("chunk", "one", "two", "first_id")
-    return dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_window_answers(kind), _ANSWER)
+    answers = stages.keep(dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_window_answers(kind), _ANSWER))
+    stages.drop(dealt, windows)
+    return answers
 
 
 def verdicts(table: DataFrame, stages: Stages, plan: _Plan, kind: Windows, shard: Shard, limit: int) -> DataFrame:
@@ -401,21 +426,29 @@ def verdicts(table: DataFrame, stages: Stages, plan: _Plan, kind: Windows, shard
     shared = anchors.groupBy("bucket").applyInArrow(_shared_rows, "grp int, bucket long, blob binary")
     segments = stages.keep(table.select("grp", "key", "smallest", "text").groupBy("grp").cogroup(shared.groupBy("grp"))
                                 .applyInArrow(_segment_rows(kind, plan.shift), _SEGMENT))
-    sizes = segments.groupBy("sid").agg(F.min("route").alias("route"), F.max(F.octet_length("content")).alias("n"))
-    large = stages.keep(sizes.groupBy("route").agg(F.sum("n").alias("n")).filter(F.col("n") > limit).select("route"))
-
-    def distinct(how: str) -> DataFrame:
-        return (segments.join(F.broadcast(large), "route", how)
-                        .groupBy("sid").agg(F.min("route").alias("route"), F.max("content").alias("content"),
-                                            F.min("smallest").alias("smallest"))
-                        .select("route", "sid", "content", "smallest"))
-
-    answers = (distinct("left_anti").repartition("route").sortWithinPartitions("route", "sid")
-                                    .mapInArrow(_shard_batches(kind, shard, limit), _ANSWER))
-    answers = answers.unionByName(_crowded(distinct("left_semi"), stages, plan, kind))
-    found = segments.select("sid", "grp", "key", "smallest", "at", "windows").join(answers, "sid")
-    return (found.filter((F.col("smallest") > F.col("first_id")) | (F.octet_length("edges") > 0))
-                 .select("grp", "key", "at", "windows", (F.col("smallest") > F.col("first_id")).alias("whole"), "edges"))
+    sent = segments.filter(F.col("content").isNotNull()).select("route", "sid", "content", F.col("least").alias("smallest"))
+    size = F.octet_length("content")
+    sizes = sent.groupBy("sid").agg(F.min("route").alias("route"), F.max(size).alias("n"), F.sum(size).alias("sent"))
+    heavy = stages.keep(sizes.groupBy("route").agg(F.sum("n").alias("n"), F.sum("sent").alias("sent"))
+                             .filter(F.col("sent") > limit).select("route", "n"))
+
+    def distinct(routes: DataFrame) -> DataFrame:
+        return (sent.join(F.broadcast(routes), "route", "left_semi")
+                    .groupBy("sid").agg(F.min("route").alias("route"), F.max("content").alias("content"),
+                                        F.min("smallest").alias("smallest"))
+                    .select("route", "sid", "content", "smallest"))
+
+    large = heavy.filter(F.col("n") > limit)
+    crowded = _crowded(distinct(large).join(F.broadcast(large), "route"), stages, kind, limit)
+    # Groups merge what they send; only what many of them send again and again is merged before it goes to its shard.
+    light = sent.join(F.broadcast(heavy), "route", "left_anti").unionByName(distinct(heavy.filter(F.col("n") <= limit)))
+    answers = stages.keep(light.repartition("route").sortWithinPartitions("route", "sid")
+                               .mapInArrow(_shard_batches(kind, shard, limit), _ANSWER))
+    found = segments.select("sid", "grp", "key", "smallest", "at", "windows").join(answers.unionByName(crowded), "sid")
+    found = stages.keep(found.filter((F.col("smallest") > F.col("first_id")) | (F.octet_length("edges") > 0))
+                             .select("grp", "key", "at", "windows", (F.col("smallest") > F.col("first_id")).alias("whole"), "edges"))
+    stages.drop(segments, answers, crowded)
+    return found
 
 
 def _removed(n: int, size: int, rows: list[tuple[int, int, bool, bytes]]) -> np.ndarray:
@@ -472,8 +505,9 @@ def repeats(docs: DataFrame, kind: Windows, shard: Shard, limit: int, with_text:
     ``with_text`` returns the changed texts only, with their bytes.
     """
     stages, plan = Stages(docs.sparkSession), _Plan.of(docs)
-    table = distinct_texts(docs, stages, plan)
-    found = verdicts(table, stages, plan, kind, shard, limit)
+    with shuffles_end_with_jobs(docs.sparkSession):
+        table = distinct_texts(docs, stages, plan)
+        found = verdicts(table, stages, plan, kind, shard, limit)
     return (table.select("grp", "key", "check", "smallest", "text").groupBy("grp").cogroup(found.groupBy("grp"))
                  .applyInArrow(_result_rows(kind, with_text), _RESULT))
 

@@ -1,3 +1,6 @@
+import time
+from pathlib import Path
+
 import numpy as np
 import pytest
 from brute import groups, pairs, removal_rows, removals, sort_rows, words
@@ -127,6 +130,82 @@ def test_a_hot_passage_is_no_shard(llm, monkeypatch, by_words):
     assert got(found, "doc_id", "n", "n_removed", "n_spans", "kept_sha256") == sort_rows(removal_rows(rows, by_words))
 
 
+@pytest.fixture
+def tables(monkeypatch):
+    """Folders of the stages that ``repeats`` makes."""
+    made, kind = [], repeats.Stages
+
+    def noted(spark):
+        made.append(kind(spark))
+        return made[-1]
+
+    monkeypatch.setattr(repeats, "Stages", noted)
+    return made
+
+
+def many_texts(spark, n, passage=""):
+    rng = np.random.default_rng(11)
+    rows = [(i, passage + " ".join(str(x) for x in rng.integers(0, 1 << 40, 40))) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(50)
+
+
+@pytest.mark.parametrize("partitions", [7, 60, 200])
+def test_files_of_texts_do_not_multiply(llm, monkeypatch, tables, partitions):
+    """As many as groups or partitions, not a file of each group from each partition."""
+    monkeypatch.setattr(repeats, "GROUP_BYTES", 1 << 12)
+    _, docs = many_texts(llm, 400)
+    before = {k: llm.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        llm.conf.set("spark.sql.shuffle.partitions", partitions)
+        llm.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        plan, stages = repeats._Plan.of(docs), repeats.Stages(llm)
+        texts = repeats.distinct_texts(docs, stages, plan)
+        assert 45 <= plan.groups <= 200
+        files = len(list(Path(stages.folder.removeprefix("file:")).glob("texts/*.parquet")))
+        assert 30 <= files <= max(plan.groups, partitions)
+        assert texts.count() == 400
+    finally:
+        for key, value in before.items():
+            llm.conf.set(key, value)
+
+
+def test_disk_is_given_back_before_the_result(llm, tables):
+    """Of shuffles nothing stays, of stages only the texts and what is to be removed from them."""
+    def shuffled():
+        kept = llm._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {name.rsplit("/", 1)[-1] for name in kept.split("\n") if "/shuffle_" in name}
+
+    _, docs = many_texts(llm, 60, "shared passage " * 40)
+    before = shuffled()
+    repeats.repeats(docs, suffix_dedup.BYTES, suffix_dedup.smallest_ids, suffix_dedup.SHARD_BYTES)
+    until = time.time() + 30
+    while (left := shuffled() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    stages = [p for p in Path(tables[0].folder.removeprefix("file:")).iterdir() if p.name != "texts"]
+    columns = [set(llm.read.parquet(str(p)).columns) for p in stages]
+    assert not [c for c in columns if "content" in c or "sid" in c]
+
+
+def test_what_many_groups_send_is_judged_once(llm, monkeypatch):
+    """A passage that every group sends is one segment of its shard, also where it is merged before."""
+    monkeypatch.setattr(repeats, "GROUP_BYTES", 1 << 9)
+    rng = np.random.default_rng(12)
+    rows, docs = many_texts(llm, 90, " ".join(str(x) for x in rng.integers(0, 1 << 40, 200)) + " ")
+    heavy = []
+
+    def once(segments, kind):
+        contents = [s.content for s in segments]
+        assert len(set(contents)) == len(contents)
+        return suffix_dedup.smallest_ids(segments, kind)
+
+    joined = type(docs).unionByName
+    monkeypatch.setattr(type(docs), "unionByName", lambda a, b, *rest: (heavy.append(b.count()), joined(a, b, *rest))[1])
+    found = repeats.digests(docs, suffix_dedup.BYTES, once, 1 << 17)
+    assert got(found, "doc_id", "n", "n_removed", "n_spans", "kept_sha256") == sort_rows(removal_rows(rows, False))
+    assert heavy[0] > 0
+
+
 def test_drop_repeats_changes_only_repeats(awkward, nothing):
     found = substring_dedup.drop_repeats(awkward)
     assert found.columns == awkward.columns
